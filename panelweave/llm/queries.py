@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, packing
+from . import bpe, exact_dedup, minhash, packing, pii
 from .common import table
 
 #: The vocabulary file of the BPE and packing queries.
@@ -24,6 +24,14 @@ def op4_pack_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
+    digest = F.sha2(pii.spans_text(base).cast("binary"), 256)
+    return found.select("doc_id", *map(count, pii.KINDS), digest.alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
@@ -37,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_pack_concat_cut": op4_pack_concat_cut,
+    "op5_pii_disclosure": op5_pii_disclosure,
     "op7_bpe_trie": op7_bpe_trie,
     "op10_exact_dedup": op10_exact_dedup,
 }
