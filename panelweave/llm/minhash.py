@@ -5,25 +5,28 @@ shingles, so half as many hash evaluations fill a signature of the same length.
 signature propose candidates; every link is confirmed on the two full shingle sets.
 
 Documents with the same set form a class and are compared as one. In each bucket the members are
-first compared with one representative only; since Jaccard distance is a metric, the distances found
-there rule out most other pairs, and members that these links already join need none. What is left
-is compared pair by pair, so no candidate is given up.
+first compared with one representative only, and members that these links join need no further
+comparison. What is left is compared pair by pair, so no candidate is given up. Two bits of each
+of 128 signature values form a sketch that rules out pairs far below the threshold inside the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices
 from .components import component_labels
 
 PERMUTATIONS = 72
+#: Signature values in a sketch.
+SKETCH = 128
 #: Ids that may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _SEED = np.random.default_rng(7919)
@@ -56,6 +59,32 @@ def banding(threshold: float, values: int = 2 * PERMUTATIONS, miss: float = 5e-5
     return max(fit, default=(1, values))
 
 
+def sketch_limit(threshold: float, miss: float = 2e-5) -> int:
+    """Differing values of a sketch up to which a pair may be at ``threshold``, but for this probability."""
+    p, tail, k = 0.75 * (1 - threshold), 1.0, 0
+    while True:
+        tail -= comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if tail <= miss or k == SKETCH:
+            return k
+        k += 1
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first 128 signature values, as four 64-bit numbers a row."""
+    two = (_mix(sig[:, :SKETCH].astype(np.uint64) + np.uint64(1)) & np.uint64(3)).reshape(-1, SKETCH // 32, 32)
+    return np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2).view(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Sketch values in which the array columns ``a`` and ``b`` differ."""
+    total = F.lit(0)
+    for i in range(SKETCH // 32):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        total = total + F.bit_count(either)
+    return total
+
+
 def shingle_sets(documents: list[str], width: int) -> list[np.ndarray]:
     """Of each text, the sorted distinct 64-bit hashes of its shingles of ``width`` words.
 
@@ -137,11 +166,14 @@ def _signed(width: int, rows: int, bands: int) -> Callable[[Iterable[pa.RecordBa
             full = [k for k, s in enumerate(sets) if len(s)]
             sig = np.ascontiguousarray(signatures([sets[k] for k in full])) if full else None
             banded: list[list[int] | None] = [None] * len(sets)
+            sketched: list[list[int] | None] = [None] * len(sets)
+            bits = sketches(sig).tolist() if full else []
             for i, k in enumerate(full):
+                sketched[k] = bits[i]
                 banded[k] = [xxhash.xxh3_64_intdigest(sig[i, j * rows : (j + 1) * rows].tobytes(), seed=j) - 2**63 for j in range(bands)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(banded, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(banded, pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
     return run
@@ -190,45 +222,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, bands = banding(percent / 100)
-    signed = cut(docs.mapInArrow(_signed(width, rows, bands), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    signed = cut(docs.mapInArrow(_signed(width, rows, bands), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"))
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")
+        F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
     )
-    banded = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    in_buckets = cut(banded.join(heads.select("bucket", F.col("first.id").alias("head"), F.col("first.n").alias("head_n")), "bucket"))
-    enough = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent
-    spokes = in_buckets.where(F.col("id") != F.col("head")).where(enough).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    classes = cut(classes)
+    member = F.struct("id", "n", "sketch")
+    banded = classes.select(F.explode("bands").alias("bucket"), member.alias("m"))
+    heads = banded.groupBy("bucket").agg(F.min("m").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    in_buckets = cut(banded.join(heads, "bucket").select("bucket", "m.*", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"), F.col("h.sketch").alias("head_sketch")))
+    near = lambda n, m, s, t: (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_differing(s, t) <= sketch_limit(percent / 100))
+    spokes = in_buckets.where(F.col("id") != F.col("head")).where(near("n", "head_n", "sketch", "head_sketch")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     members = docs.withColumnRenamed("doc_id", "id")
-    spoke_sizes = _measured(spokes, members, width)
     linked = F.col("shared") * 100 >= F.col("total") * percent
-    links = spoke_sizes.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = _measured(cut(spokes), members, width).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = component_labels(links)
 
-    # Members of a bucket that are in different components yet: compare unless a bound forbids a link.
-    gap = 1 - percent / 100 + 1e-9
-    known = spoke_sizes.select(F.col("a").alias("id"), F.col("b").alias("head"), (1 - F.col("shared") / F.col("total")).alias("far"))
-    part = (
-        in_buckets.join(known, ["id", "head"], "left")
-        .join(labels.withColumnRenamed("node", "id"), "id", "left")
-        .select("bucket", "id", "n", "far", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("head")).alias("is_head"))
-    )
+    # Buckets whose members are in different components yet: all pairs of those that can be near enough.
+    # A grade spans one size ratio of the threshold, so partners are in the same grade or the next.
+    part = in_buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
     mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = part.where("not is_head").join(mixed, "bucket", "left_semi")
-    step = float(np.log(100 / percent))
-    rest = rest.withColumn("grade", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
-    ask = rest.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1))).select("bucket", "grade", F.col("id").alias("a"), F.col("n").alias("na"), F.col("far").alias("fa"), F.col("component").alias("ca"))
-    got = rest.select("bucket", "grade", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("component").alias("cb"))
-    close = (
-        (F.col("ca") != F.col("cb"))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (F.col("fa").isNull() | F.col("fb").isNull() | (F.abs(F.col("fa") - F.col("fb")) <= gap))
-    )
-    pairs = ask.join(got, ["bucket", "grade"]).where(close & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _measured(cut(pairs), members, width).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = part.join(mixed, "bucket", "left_semi").withColumn("grade", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9))
+    ask = rest.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1)))
+    names = ["id", "n", "sketch", "component"]
+    ask = ask.select("bucket", "grade", *(F.col(c).alias(f"{c}_a") for c in names))
+    got = rest.select("bucket", "grade", *(F.col(c).alias(f"{c}_b") for c in names))
+    pairs = ask.join(got, ["bucket", "grade"]).where((F.col("component_a") != F.col("component_b")) & near("n_a", "n_b", "sketch_a", "sketch_b"))
+    pairs = cut(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
+    more = _measured(pairs, members, width).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     # What the first links joined is one node here.
-    merged = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
-    final = component_labels(merged)
+    final = component_labels(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)) if more.take(1) else labels
 
     of_class = classes.select("set_key", F.col("id").alias("class_id")).join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     of_class = of_class.select("set_key", F.coalesce("component", "class_id").alias("component"))

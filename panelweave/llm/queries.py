@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, packing, pii
+from . import bpe, exact_dedup, minhash, packing, pii, quality, toxicity
 from .common import table
 
 #: The vocabulary file of the BPE and packing queries.
@@ -38,6 +38,16 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
+def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pack_concat_cut": op4_pack_concat_cut,
     "op5_pii_disclosure": op5_pii_disclosure,
     "op7_bpe_trie": op7_bpe_trie,
+    "op8_quality_ranking": op8_quality_ranking,
+    "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
