@@ -29,8 +29,9 @@ from .common import held_out, slices, training_rows
 #: Labelled rows that the lexicon and the calibration are learned from, at most.
 SAMPLE_ROWS = 20_000
 #: A learned insult: so many different surroundings in toxic documents, and a lower bound of their share.
-WITNESSES, LEAST_SHARE = 5, 0.75
-#: Lengths of stems; shorter words are taken whole.
+#: A stem needs more than a whole word (written with a final $), as it also covers words not seen.
+WITNESSES, STEM_SHARE, WORD_SHARE = 5, 0.85, 0.7
+#: Lengths of stems.
 SHORTEST, LONGEST = 4, 9
 MOST_EVIDENCE = 8.0
 
@@ -124,16 +125,17 @@ class Matcher:
     """The grammar with the fixed lexicon and learned stems of insults."""
 
     def __init__(self, stems: Iterable[str] = ()) -> None:
-        self.words, self.table, self.stems = lexicon(), grammar(), frozenset(stems)
+        self.words, self.table, stems = lexicon(), grammar(), list(stems)
+        self.words = dict.fromkeys([s[:-1] for s in stems if s[-1] == "$"], INSULT) | self.words
         self.hot = frozenset(w for w, s in self.words.items() if s in (INSULT, THREAT))
-        self.short = frozenset(s for s in self.stems if len(s) < SHORTEST)
+        self.stems = frozenset(s for s in stems if s[-1] != "$")
         self.heads = frozenset(s[:SHORTEST] for s in self.stems)
 
     def symbol(self, word: str) -> int:
         known = self.words.get(word)
         if known is None:
             known = OTHER
-            if word[:SHORTEST] in self.heads and (word in self.stems or any(word[:k] in self.stems for k in range(SHORTEST, min(len(word), LONGEST) + 1))):
+            if word[:SHORTEST] in self.heads and any(word[:k] in self.stems for k in range(SHORTEST, min(len(word), LONGEST) + 1)):
                 known = INSULT
         return known
 
@@ -157,7 +159,7 @@ class Matcher:
 
 
 def _stems(words: Iterable[str]) -> set[str]:
-    return {w[:k] for w in words for k in range(min(len(w), SHORTEST), min(len(w), LONGEST) + 1)}
+    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + "$" for w in words}
 
 
 def _stem_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def learn_insults(train: DataFrame) -> list[str]:
     n, z = F.col("bad") + F.col("good"), 1.64
     p = F.col("bad").cast("double") / n  # Wilson's lower bound of the share of toxic documents
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    likely = {r["stem"]: r["bad"] for r in counts.where(low >= LEAST_SHARE).select("stem", "bad").collect()}
+    likely = {r["stem"]: r["bad"] for r in counts.where(low >= F.when(F.col("stem").endswith("$"), WORD_SHARE).otherwise(STEM_SHARE)).select("stem", "bad").collect()}
     if not likely:
         return []
     around = train.where("label = 1").select("text").mapInArrow(_witnesses(frozenset(likely)), "stem string, around long").distinct()
