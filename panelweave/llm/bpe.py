@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts
 
-#: Distinct words whose encodings a worker keeps; when full, it starts anew.
-KEEP_WORDS = 350_000
+#: Distinct words whose encodings a worker keeps, in each of two generations.
+KEEP_WORDS = 600_000
 #: Texts whose words are walked together.
 ROWS = 1024
 #: Texts of these characters only need no Unicode normalisation.
@@ -141,18 +141,22 @@ class TrieBpe:
         self.nodes[key] = node
         return node
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Token ids of each distinct word (in the byte alphabet, without the end mark)."""
-        known, fits, stands, nodes, make = self.pairs.get, self.fits, self.stands, self.nodes.get, self._node
-        last, size, state = [-1] * 64, [0] * 64, [""] * 64  # of the prefix of each length on the path
-        out: dict[str, tuple[int, ...]] = {}
+    def encode_words(self, words: Iterable[str], units: list[Any], empty: Any) -> dict[str, Any]:
+        """Encodings of distinct words (in the byte alphabet, without the end mark) as sums of token units.
+
+        ``units`` has what stands for each token, strings or bytes; ``empty`` is the sum of none.
+        """
+        known, whole, fits, stands, nodes, make = self.pairs.get, self.whole.get, self.fits, self.stands, self.nodes.get, self._node
+        # of the prefix of each length on the path: last token, place in the vocabulary's heads, encoding
+        last, state, coded = [-1] * 64, [""] * 64, [empty] * 64
+        out: dict[str, Any] = {}
         before, deep = "", 0
         for w in sorted(words):
             n = len(w)
             if n >= len(last):
                 last += [-1] * n
-                size += [0] * n
                 state += [""] * n
+                coded += [empty] * n
             d, most = 0, min(deep, n - 1)
             while d < most and w[d] == before[d]:
                 d += 1
@@ -164,24 +168,20 @@ class TrieBpe:
                 state[d] = now
                 for k, t in inside:
                     if k == d:
-                        if stands(t):
+                        if whole(t) or stands(t):
                             break
                     else:
                         l = last[d - k]
                         ok = known(l << 20 | t)
                         if ok or (ok is None and fits(l, t)):
                             break
-                last[d], size[d] = t, k
+                last[d] = t
+                coded[d] = coded[d - k] + units[t]
             key = now + w[n - 1]
             for k, t in (nodes(key) or make(key))[2]:
                 if stands(t) if k == n else fits(last[n - k], t):
                     break
-            ids, at = [t], n - k
-            while at:
-                ids.append(last[at])
-                at -= size[at]
-            ids.reverse()
-            out[w] = tuple(ids)
+            out[w] = coded[n - k] + units[t]
             before, deep = w, n - 1
         return out
 
@@ -213,58 +213,75 @@ class TrieBpe:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps a payload of each distinct piece and word for later batches of the worker."""
+    """Encodes batches of texts; keeps the encodings of distinct pieces and words for later batches of the worker.
+
+    Encodings are sums of ``units``, one for each token. They are kept in two generations: when the
+    younger is full it becomes the older one, from which what occurs again is taken over.
+    """
 
-    def __init__(self, model: TrieBpe, payload: Callable[[TrieBpe, tuple[int, ...]], Any], joined: Callable[[list[Any]], Any]) -> None:
-        self.model, self.payload, self.joined = model, payload, joined
+    def __init__(self, model: TrieBpe, units: list[Any], empty: Any) -> None:
+        self.model, self.units, self.empty = model, units, empty
         self.kept: dict[Any, Any] = {}
+        self.old: dict[Any, Any] = {}
 
-    def encode(self, batch: list[str]) -> list[list[Any]]:
-        """Of each text, the payloads of its pieces in order.
+    def encode(self, batch: list[str]) -> list[Any]:
+        """The encoding of each text.
 
-        Payloads are kept by piece; by word too, where a piece has several or is not ASCII (then
-        under a NUL and the word's bytes, as NUL is in no piece).
+        Kept are pieces; words too, where a piece has several or is not ASCII (then under a NUL and
+        the word's bytes, as NUL is in no piece).
         """
-        model, payload = self.model, self.payload
+        model, units, join = self.model, self.units, self.empty.join
         keyed = [model.pieces(t) for t in batch]
         if len(self.kept) > KEEP_WORDS:
-            self.kept.clear()
-        kept = self.kept
+            self.old, self.kept = self.kept, {}
+        kept, old = self.kept, self.old
         new = set().union(*keyed).difference(kept)
-        parts, words = {}, set()
+        if old:
+            again = new.intersection(old)
+            kept |= {p: old[p] for p in again}
+            new -= again
+        parts, ascii_words, byte_words = {}, set(), set()
         for p in new:
             if type(p) is str:
                 if p.isascii():
                     if p.isalpha():
-                        words.add(p)
+                        ascii_words.add(p)
                         continue
                     ws = _WORDS.findall(p)
+                    ascii_words.update(ws)
                 else:
-                    ws = [w if w.isascii() else "\0" + model.in_bytes(w) for w in ((p,) if p.isalpha() else _WORDS.findall(p))]
+                    ws = []
+                    for w in (p,) if p.isalpha() else _WORDS.findall(p):
+                        if w.isascii():
+                            ascii_words.add(w)
+                            ws.append(w)
+                        else:
+                            byte_words.add(w := model.in_bytes(w))
+                            ws.append("\0" + w)
+                parts[p] = ws
             elif type(p) is tuple:
-                ws = [w if w.isascii() else "\0" + w for w in p]
+                parts[p] = ["\0" + w for w in p]
+                byte_words.update(p)
             else:
-                kept[p] = payload(model, (p,))
-                continue
-            parts[p] = ws
-            words.update([w for w in ws if w not in kept])
-        found = model.encode_words([w.lstrip("\0") for w in words])
-        for w in words:
-            kept[w] = payload(model, found[w.lstrip("\0")])
+                kept[p] = units[p]
+        kept |= model.encode_words([w for w in ascii_words if w not in kept], units, self.empty)
+        coded = model.encode_words([w for w in byte_words if "\0" + w not in kept], units, self.empty)
+        kept |= {"\0" + w: c for w, c in coded.items()}
         for p, ws in parts.items():
-            if p not in words:  # a single mark is its own word
-                kept[p] = kept[ws[0]] if len(ws) == 1 else self.joined([kept[w] for w in ws])
-        return [[kept[p] for p in k] for k in keyed]
+            kept[p] = kept[ws[0]] if len(ws) == 1 else join([kept[w] for w in ws])
+        get = kept.__getitem__
+        return [join(list(map(get, k))) for k in keyed]
 
 
 _OWN: dict[tuple[int, str], Encoder] = {}
 
 
-def worker_encoder(content: str, kind: str, payload: Callable[[TrieBpe, tuple[int, ...]], Any], joined: Callable[[list[Any]], Any]) -> Encoder:
+def worker_encoder(content: str, kind: str, units: Callable[[TrieBpe], list[Any]], empty: Any) -> Encoder:
     """The worker's encoder for this vocabulary; later tasks of the worker use it again."""
     key = hash(content), kind
     if key not in _OWN:
-        _OWN[key] = Encoder(TrieBpe(content), payload, joined)
+        model = TrieBpe(content)
+        _OWN[key] = Encoder(model, units(model), empty)
     return _OWN[key]
 
 
@@ -274,12 +291,14 @@ def broadcast_vocabulary(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def _both(model: TrieBpe, ids: tuple[int, ...]) -> tuple[str, str]:
-    return " ".join(map(str, ids)), " ".join([model.tokens[i] for i in ids])
+def _decimal(model: TrieBpe) -> list[str]:
+    """Units that make up decimal ids, each followed by a space."""
+    return [f"{i} " for i in range(len(model.tokens))]
 
 
-def _both_joined(parts: list[tuple[str, str]]) -> tuple[str, str]:
-    return " ".join([x for x, _ in parts]), " ".join([y for _, y in parts])
+def decode(tokens: dict[str, str], ids: str) -> str:
+    """The text of decimal ids: their tokens, joined by one space."""
+    return " ".join(map(tokens.__getitem__, ids.split()))
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -291,13 +310,12 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     vocabulary = broadcast_vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary.value, "both", _both, _both_joined)
+        encoder = worker_encoder(vocabulary.value, "decimal", _decimal, "")
+        tokens = {str(i): t for i, t in enumerate(encoder.model.tokens)}
         for batch in slices(batches, ROWS):
-            ids, words = [], []
-            for found in encoder.encode(texts(batch)):
-                ids.append(" ".join([x[0] for x in found]))
-                words.append(" ".join([x[1] for x in found]))
+            ids = [x[:-1] for x in encoder.encode(texts(batch))]
             n = [x.count(" ") + 1 if x else 0 for x in ids]
+            words = [decode(tokens, x) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to at most ``rows`` rows, so that few texts are Python objects at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most ``rows`` rows and, beyond one row, ``size`` bytes of text, so that few texts are Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        n = batch.num_rows
+        used = np.zeros(n + 1, np.int64)
+        for column in batch.columns:
+            if any(kind(column.type) for kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary)):
+                used[1:] += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        used = np.cumsum(used)
+        at = 0
+        while at < n:
+            end = min(max(at + 1, int(np.searchsorted(used, used[at] + size, side="right")) - 1), at + rows, n)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

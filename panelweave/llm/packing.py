@@ -8,7 +8,6 @@ fixed length of that row, and a document is cut where a window ends. Only the la
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,9 +21,10 @@ from .common import cut, slices, texts
 LENGTH, END_ID = 2048, 1
 
 
-def _packed_ids(model: TrieBpe, ids: tuple[int, ...]) -> bytes:
+def _packed(model: TrieBpe) -> list[bytes]:
     """Little-endian ids of two bytes, or of four for a vocabulary beyond 65,536."""
-    return struct.pack(f"<{len(ids)}{'H' if len(model.tokens) <= 1 << 16 else 'I'}", *ids)
+    width = 2 if len(model.tokens) <= 1 << 16 else 4
+    return [i.to_bytes(width, "little") for i in range(len(model.tokens))]
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -32,10 +32,10 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     vocabulary = broadcast_vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary.value, "packed", _packed_ids, b"".join)
-        last, width = _packed_ids(encoder.model, (end_id,)), len(_packed_ids(encoder.model, (0,)))
+        encoder = worker_encoder(vocabulary.value, "packed", _packed, b"")
+        last, width = encoder.units[end_id], len(encoder.units[0])
         for batch in slices(batches, ROWS):
-            ids = [b"".join(x) + last for x in encoder.encode(texts(batch))]
+            ids = [x + last for x in encoder.encode(texts(batch))]
             n = [len(x) // width for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([width] * len(n), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n", "width", "ids"])
 
