@@ -8,17 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, packing, pii, quality, toxicity
+from . import additive_quant, bpe, exact_dedup, license_scan, minhash, packing, pii, quality, toxicity
 from .common import table
 
 #: The vocabulary file of the BPE and packing queries.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).withColumn("expressions", F.array_join("expressions", "; "))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quant.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20, measure="ip")
+
+
 def op4_pack_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, length=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -53,7 +62,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_additive_quantisation": op3_additive_quantisation,
     "op4_pack_concat_cut": op4_pack_concat_cut,
     "op5_pii_disclosure": op5_pii_disclosure,
     "op7_bpe_trie": op7_bpe_trie,
