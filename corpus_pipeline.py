@@ -1,5 +1,66 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: toxic documents go, copies and near copies go, personal data is masked, the rest is packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet before the
+next stage reads it; run() does the same in memory-bounded steps through the checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelweave.llm import exact_dedup, minhash, packing, pii, toxicity
+from panelweave.llm.common import cut, table
+from panelweave.llm.queries import WORD_BPE
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the toxicity grammar scores at 0.5 and more."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for white space, keep the one with the least id."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 and more on five-word shingles join, keep the one with the least id."""
+    return minhash.drop_near_copies(docs, width=5, percent=80)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data and the terms that disclose it."""
+    masked = pii.redact_personal_data(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the documents' tokens into sequences of 2048; ids are little-endian 32-bit."""
+    return packing.pack(docs, WORD_BPE, length=2048, end_id=1)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", remove_toxic),
+    ("exact_dedup", remove_copies),
+    ("minhash_near_dedup", remove_near_copies),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Learned scores, shingle links and tokens have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the pieces of packed sequences."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quant, bpe, exact_dedup, license_scan, minhash, packing, pii, quality, toxicity
+from . import additive_quant, bpe, exact_dedup, html_text, license_scan, minhash, packing, pii, quality, toxicity
 from .common import table
 
 #: The vocabulary file of the BPE and packing queries.
@@ -41,6 +41,11 @@ def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), digest.alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract_text(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_additive_quantisation": op3_additive_quantisation,
     "op4_pack_concat_cut": op4_pack_concat_cut,
     "op5_pii_disclosure": op5_pii_disclosure,
+    "op6_html_layout": op6_html_layout,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_quality_ranking": op8_quality_ranking,
     "op9_toxicity_grammar": op9_toxicity_grammar,
