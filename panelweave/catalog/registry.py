@@ -26,17 +26,33 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _nudge(digits: int) -> float:
+    """Far above the noise of double sums and far below the last digit kept: it moves exact halves off the edge where rounding turns."""
+    return 1.7 * 10.0 ** -(digits + 3)
+
+
+def r(sql: str, digits: int = 8) -> str:
+    return f"ROUND(({sql}) + {_nudge(digits):.3e}, {digits})"
+
+
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     """Doubles rounded, so that two engines' sums in different orders agree."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.round(F.col(c) + _nudge(digits), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def rounded_sql(sql: str, doubles: str, rest: str = "", digits: int = 8) -> str:
+    """The query ``sql`` with its columns ``doubles`` rounded alike and ``rest`` as they are."""
+    cols = [*rest.split(), *(f"{r(c, digits)} AS {c}" for c in doubles.split())]
+    head, _, tail = sql.rpartition("\nFINALLY ")
+    return f"{head} SELECT {', '.join(cols)} FROM ({tail})" if head else f"SELECT {', '.join(cols)} FROM ({sql})"
 
 
-def column(name: str, value: Callable[[], Column], sql: str, windows: str = "", source: str = "", panel: str = "s") -> None:
+def column(name: str, value: Callable[[], Column], sql: str, windows: str = "", source: str = "", panel: str = "s", digits: int = 8) -> None:
     """A query that adds one column ``v`` to a panel."""
     load, prefix = (supplier_panel, S) if panel == "s" else (event_panel, E)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return load(spark, sf_dir).select("sym", "date", F.round(value(), 8).alias("v"))
+        return rounded(load(spark, sf_dir).select("sym", "date", value().cast("double").alias("v")), digits)
 
     QUERIES[name] = run
-    SQL[name] = f"{prefix} SELECT sym, date, ROUND({sql}, 8) AS v FROM {source or panel} {windows}"
+    SQL[name] = f"{prefix} SELECT sym, date, {r(sql, digits)} AS v FROM {source or panel} {windows}"

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import FXE_SQL, FXS_SQL, event_panel, supplier_panel
+from ..fixtures import FXS_SQL, event_panel, supplier_panel
 from ..functions import cross_section as cs
 from ..functions import scalar as sc
 from ..functions import time_series as ts
-from .registry import E, S, column, query, rounded
+from .registry import E, S, column, query, r, rounded
 
 D = "OVER (PARTITION BY date)"
 RANK = "(RANK() OVER (PARTITION BY date ORDER BY x) + (COUNT(*) OVER (PARTITION BY date, x) - 1) / 2.0)"
@@ -21,14 +21,14 @@ column("W-05_cs_minmax", lambda: cs.cs_minmax("x", -1, 1), f"-1 + 2 * (x - MIN(x
 column("W-06_cs_3sigma", lambda: cs.cs_3sigma("fv"), f"CASE WHEN fv > AVG(fv) {D} + 3 * STDDEV_SAMP(fv) {D} THEN AVG(fv) {D} + 3 * STDDEV_SAMP(fv) {D} WHEN fv < AVG(fv) {D} - 3 * STDDEV_SAMP(fv) {D} THEN AVG(fv) {D} - 3 * STDDEV_SAMP(fv) {D} ELSE fv END")
 column("W-07_cs_winsorize", lambda: cs.cs_winsorize("x", 0.1, 0.9), f"CASE WHEN x > QUANTILE_CONT(x, 0.9) {D} THEN QUANTILE_CONT(x, 0.9) {D} WHEN x < QUANTILE_CONT(x, 0.1) {D} THEN QUANTILE_CONT(x, 0.1) {D} ELSE x END")
 column("W-08_cs_indneutralize", lambda: cs.cs_indneutralize("x", "ic"), "(x - AVG(x) OVER w) / NULLIF(STDDEV_SAMP(x) OVER w, 0)", "WINDOW w AS (PARTITION BY ic, date)")
-column("W-09_cs_capneutralize", lambda: F.round(F.when(F.count("x").over(cs.section()) >= 3, cs.cs_capneutralize("x", "fv")), 4), f"CASE WHEN COUNT(x) {D} >= 3 THEN ROUND(x - (REGR_INTERCEPT(x, fv) {D} + REGR_SLOPE(x, fv) {D} * fv), 4) END")
+column("W-09_cs_capneutralize", lambda: F.when(F.count("x").over(cs.section()) >= 3, cs.cs_capneutralize("x", "fv")), f"CASE WHEN COUNT(x) {D} >= 3 THEN x - (REGR_INTERCEPT(x, fv) {D} + REGR_SLOPE(x, fv) {D} * fv) END", digits=4)
 column("W-10_cs_rank", lambda: cs.cs_rank("x"), "(k - 1) / NULLIF(CAST(MAX(k) OVER (PARTITION BY date) AS DOUBLE) - 1, 0)", source="(SELECT *, DENSE_RANK() OVER (PARTITION BY date ORDER BY x) AS k FROM s)")
 column("W-11_rank_avg", lambda: cs.rank_avg("x"), RANK)
-column("W-12_rank_to_normal", lambda: F.round(cs.rank_to_normal(cs.ds_rank("x")), 6), """CASE
-  WHEN p < 0.02425 THEN ROUND((((((-7.784894002430293e-03 * zl - 3.223964580411365e-01) * zl - 2.400758277161838e00) * zl - 2.549732539343734e00) * zl + 4.374664141464968e00) * zl + 2.938163982698783e00) / ((((7.784695709041462e-03 * zl + 3.224671290700398e-01) * zl + 2.445134137142996e00) * zl + 3.754408661907416e00) * zl + 1.0), 6)
-  WHEN p <= 0.97575 THEN ROUND((((((-3.969683028665376e01 * r2 + 2.209460984245205e02) * r2 - 2.759285104469687e02) * r2 + 1.383577518672690e02) * r2 - 3.066479806614716e01) * r2 + 2.506628277459239e00) * (p - 0.5) / (((((-5.447609879822406e01 * r2 + 1.615858368580409e02) * r2 - 1.556989798598866e02) * r2 + 6.680131188771972e01) * r2 - 1.328068155288572e01) * r2 + 1.0), 6)
-  ELSE -ROUND((((((-7.784894002430293e-03 * zr - 3.223964580411365e-01) * zr - 2.400758277161838e00) * zr - 2.549732539343734e00) * zr + 4.374664141464968e00) * zr + 2.938163982698783e00) / ((((7.784695709041462e-03 * zr + 3.224671290700398e-01) * zr + 2.445134137142996e00) * zr + 3.754408661907416e00) * zr + 1.0), 6) END""",
-       source=f"(SELECT sym, date, p, (p - 0.5) * (p - 0.5) AS r2, SQRT(-2 * LN(p)) AS zl, SQRT(-2 * LN(1 - p)) AS zr FROM (SELECT sym, date, {RANK} / (COUNT(x) {D} + 1.0) AS p FROM s))")
+column("W-12_rank_to_normal", lambda: cs.rank_to_normal(cs.ds_rank("x")), """CASE
+  WHEN p < 0.02425 THEN ((((((-7.784894002430293e-03 * zl - 3.223964580411365e-01) * zl - 2.400758277161838e00) * zl - 2.549732539343734e00) * zl + 4.374664141464968e00) * zl + 2.938163982698783e00) / ((((7.784695709041462e-03 * zl + 3.224671290700398e-01) * zl + 2.445134137142996e00) * zl + 3.754408661907416e00) * zl + 1.0))
+  WHEN p <= 0.97575 THEN ((((((-3.969683028665376e01 * r2 + 2.209460984245205e02) * r2 - 2.759285104469687e02) * r2 + 1.383577518672690e02) * r2 - 3.066479806614716e01) * r2 + 2.506628277459239e00) * (p - 0.5) / (((((-5.447609879822406e01 * r2 + 1.615858368580409e02) * r2 - 1.556989798598866e02) * r2 + 6.680131188771972e01) * r2 - 1.328068155288572e01) * r2 + 1.0))
+  ELSE -((((((-7.784894002430293e-03 * zr - 3.223964580411365e-01) * zr - 2.400758277161838e00) * zr - 2.549732539343734e00) * zr + 4.374664141464968e00) * zr + 2.938163982698783e00) / ((((7.784695709041462e-03 * zr + 3.224671290700398e-01) * zr + 2.445134137142996e00) * zr + 3.754408661907416e00) * zr + 1.0)) END""",
+       source=f"(SELECT sym, date, p, (p - 0.5) * (p - 0.5) AS r2, SQRT(-2 * LN(p)) AS zl, SQRT(-2 * LN(1 - p)) AS zr FROM (SELECT sym, date, {RANK} / (COUNT(x) {D} + 1.0) AS p FROM s))", digits=6)
 column("W-13_cs_quantile", lambda: cs.cs_quantile("x", 0.3), f"QUANTILE_CONT(x, 0.3) {D}")
 column("W-14_cs_qcut", lambda: cs.cs_qcut("x", 5).cast("double"), "1.0 + " + " + ".join(f"CAST(x > QUANTILE_CONT(x, {i / 5}) {D} AS INT)" for i in range(1, 5)))
 column("W-15_bucket", lambda: cs.bucket("x", 5).cast("double"), f"CAST(LEAST(GREATEST(CEIL(ROUND({RANK} / COUNT(x) {D} * 5, 9)), 1), 5) AS DOUBLE)")
@@ -40,7 +40,7 @@ W = "WINDOW w AS (PARTITION BY sym ORDER BY date ROWS BETWEEN 9 PRECEDING AND CU
 
 
 def rolling(name: str, value, sql: str, digits: int = 6) -> None:
-    column(name, lambda: F.round(value(), digits), f"ROUND(CASE WHEN COUNT(x) OVER w = 10 THEN {sql} END, {digits})", W)
+    column(name, value, f"CASE WHEN COUNT(x) OVER w = 10 THEN {sql} END", W, digits=digits)
 
 
 column("T-01_ts_lag", lambda: ts.ts_lag("x", 3), f"LAG(x, 3) {O}")
@@ -60,8 +60,8 @@ rolling("T-09_ts_var", lambda: ts.ts_var("x", 10), "VAR_SAMP(x) OVER w")
 rolling("T-10_ts_median", lambda: ts.ts_median("x", 10), "MEDIAN(x) OVER w")
 rolling("T-10_ts_quantile", lambda: ts.ts_quantile("x", 10, 0.2), "QUANTILE_CONT(x, 0.2) OVER w")
 MOMENTS = "(SELECT sym, date, x, n, m1 AS m, m2 - m1 * m1 AS v, m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1 AS c3, m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1 AS c4 FROM (SELECT sym, date, x, COUNT(x) OVER w AS n, AVG(x) OVER w AS m1, AVG(x * x) OVER w AS m2, AVG(x * x * x) OVER w AS m3, AVG(x * x * x * x) OVER w AS m4 FROM s " + W + "))"
-column("T-11_ts_kurtosis", lambda: F.round(F.when(ts.ts_var("x", 10) > 1e-6, ts.ts_kurtosis("x", 10)), 5), "ROUND(CASE WHEN n = 10 AND v > 1e-6 THEN c4 / (v * v) - 3 END, 5)", source=MOMENTS)
-column("T-11_ts_skew", lambda: F.round(F.when(ts.ts_var("x", 10) > 1e-6, ts.ts_skew("x", 10)), 5), "ROUND(CASE WHEN n = 10 AND v > 1e-6 THEN c3 / POW(v, 1.5) END, 5)", source=MOMENTS)
+column("T-11_ts_kurtosis", lambda: F.when(ts.ts_var("x", 10) > 1e-6, ts.ts_kurtosis("x", 10)), "CASE WHEN n = 10 AND v > 1e-6 THEN c4 / (v * v) - 3 END", source=MOMENTS, digits=5)
+column("T-11_ts_skew", lambda: F.when(ts.ts_var("x", 10) > 1e-6, ts.ts_skew("x", 10)), "CASE WHEN n = 10 AND v > 1e-6 THEN c3 / POW(v, 1.5) END", source=MOMENTS, digits=5)
 column("T-12_ts_ema", lambda: ts.ts_ema("x", 5), "y", source="""(WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sym ORDER BY date) AS k FROM s)
   SELECT a.sym, a.date, SUM(b.x * POW(2 / 3.0, a.k - b.k)) / SUM(POW(2 / 3.0, a.k - b.k)) AS y FROM n a JOIN n b ON a.sym = b.sym AND b.k BETWEEN a.k - 97 AND a.k GROUP BY 1, 2)""")
 column("T-13_ts_ols_slope", lambda: ts.ts_ols("r", "x", 10)[0], "CASE WHEN COUNT(x) OVER w = 10 AND STDDEV_POP(x) OVER w > 1e-9 THEN REGR_SLOPE(r, x) OVER w END", W)
@@ -71,14 +71,14 @@ column("T-14_ts_weighted_beta", lambda: ts.ts_weighted_beta("r", "x", 10, 5), "b
   SELECT sym, date, CASE WHEN m = 10 THEN (sw * sxy - sx * sy) / NULLIF(sw * sxx - sx * sx, 0) END AS b FROM g)""")
 column("T-15_ffill", lambda: ts.ffill(F.when(F.col("x") > 30, F.col("x"))), "LAST_VALUE(CASE WHEN x > 30 THEN x END IGNORE NULLS) OVER (PARTITION BY sym ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 column("T-16_rolling_min_samples", lambda: ts.ts_avg("x", 10, least=3), "CASE WHEN COUNT(x) OVER w >= 3 THEN AVG(x) OVER w END", W)
-column("T-17_cumulative_compound", lambda: F.round(ts.cumulative_compound(F.col("r") / 100), 7), "ROUND(EXP(SUM(LN(1 + r / 100)) OVER (PARTITION BY sym ORDER BY date)) - 1, 7)")
+column("T-17_cumulative_compound", lambda: ts.cumulative_compound(F.col("r") / 100), "EXP(SUM(LN(1 + r / 100)) OVER (PARTITION BY sym ORDER BY date)) - 1", digits=7)
 rolling("T-18_ts_sum", lambda: ts.ts_sum("x", 10), "SUM(x) OVER w")
 
 
 @query("T-05_fwd_returns", f"""{S}, c AS (SELECT *, SUM(LN(1 + r)) OVER (PARTITION BY sym ORDER BY date) AS cum FROM s)
-  SELECT sym, date, ROUND(EXP(LEAD(cum, 1) OVER w - cum) - 1, 8) AS d1, ROUND(EXP(LEAD(cum, 5) OVER w - cum) - 1, 8) AS d5, ROUND(EXP(LEAD(cum, 10) OVER w - cum) - 1, 8) AS d10 FROM c WINDOW w AS (PARTITION BY sym ORDER BY date)""")
+  SELECT sym, date, {r('EXP(LEAD(cum, 1) OVER w - cum) - 1')} AS d1, {r('EXP(LEAD(cum, 5) OVER w - cum) - 1')} AS d5, {r('EXP(LEAD(cum, 10) OVER w - cum) - 1')} AS d10 FROM c WINDOW w AS (PARTITION BY sym ORDER BY date)""")
 def fwd(spark, sf):
-    return rounded(ts.fwd_returns(supplier_panel(spark, sf), "r", (1, 5, 10)).select("sym", "date", "d1", "d5", "d10"))
+    return rounded(ts.fwd_returns(supplier_panel(spark, sf), "r", (1, 5, 10), digits=14).select("sym", "date", "d1", "d5", "d10"))
 
 
 NULLED = lambda: F.when(F.col("sym").cast("int") % 7 != 0, F.col("x"))
@@ -102,7 +102,7 @@ def _mode_sql(by: str, panel: str) -> str:
     on = " AND ".join(f"f.{c} = m.{c}" for c in by.split(", "))
     return f"""{panel}, f AS (SELECT sym, date, ic, CASE WHEN CAST(sym AS INT) % 7 <> 0 THEN ROUND(x) END AS y FROM e),
       k AS (SELECT {by}, y, COUNT(*) AS n FROM f WHERE y IS NOT NULL GROUP BY {by}, y), t AS (SELECT {by}, y FROM k QUALIFY n = MAX(n) OVER (PARTITION BY {by})),
-      m AS (SELECT {by}, AVG(y) AS mode FROM t GROUP BY {by}) SELECT sym, f.date, ROUND(COALESCE(y, mode), 8) AS v FROM f LEFT JOIN m ON {on}"""
+      m AS (SELECT {by}, AVG(y) AS mode FROM t GROUP BY {by}) SELECT sym, f.date, {r("COALESCE(y, mode)")} AS v FROM f LEFT JOIN m ON {on}"""
 
 
 def _mode(spark, sf, by):
@@ -123,12 +123,10 @@ def is_sample(spark, sf):
     return df.select("sym", "date", sc.is_sample().alias("keep"))
 
 
-@query("N-10_required_fields", f"{S} SELECT sym, date, ROUND(LN(fv), 8) AS factor FROM s")
+@query("N-10_required_fields", f"{S} SELECT sym, date, {r('LN(fv)')} AS factor FROM s")
 def required(spark, sf):
     from ..operators.predicates import require_fields
 
     df = require_fields(supplier_panel(spark, sf), ["sym", "date", "fv"])
     return rounded(require_fields(df.select("sym", "date", F.log("fv").alias("factor")), ["factor"]))
 
-
-assert FXE_SQL
