@@ -5,9 +5,13 @@ shingles, so half as many hash evaluations fill a signature of the same length.
 signature propose candidates; every link is confirmed on the two full shingle sets.
 
 Documents with the same set form a class and are compared as one. In each bucket the members are
-first compared with one representative only, and members that these links join need no further
-comparison. What is left is compared pair by pair, so no candidate is given up. Two bits of each
-of 128 signature values form a sketch that rules out pairs far below the threshold inside the join.
+first compared with one representative only, the one that shares buckets with most others, as the
+text that others were made from does. Members that these links join need no further comparison. What
+is left is compared pair by pair, so no candidate is given up. Two bits of each of 128 signature
+values form a sketch that rules out pairs far below the threshold inside the join. Two members x, y of
+one representative h share at most min(|x & h|, |y & h|) shingles plus those outside of h that both
+have; so they are compared only if the first term suffices or a join on shingles outside of h finds
+enough.
 """
 
 from __future__ import annotations
@@ -190,25 +194,26 @@ def _sets(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Record
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        shared, total = [], []
+        shared, total, rest = [], [], []
         for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate((p, q)), kind="stable")
-            n = int((both[1:] == both[:-1]).sum())
-            shared.append(n)
-            total.append(len(both) - n)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
+            own = p[~np.isin(p, q, assume_unique=True)]
+            shared.append(len(p) - len(own))
+            total.append(len(q) + len(own))
+            rest.append(own.view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "shared", "total", "rest"]
+        )
 
 
 def _measured(pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(a, b, shared, total) of distinct ``pairs`` (a, b): sizes of intersection and union of the full sets."""
+    """(a, b, shared, total, rest) of distinct ``pairs`` (a, b): sizes of intersection and union of the full sets, and what only ``a`` has."""
     used = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     if used.count() <= BROADCAST_IDS:  # then the texts need not be shuffled to find those compared
         used = F.broadcast(used)
     sets = cut(members.join(used, "id", "left_semi").mapInArrow(_sets(width), "id long, hashes binary"))
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-    return cut(both.mapInArrow(_compare, "a long, b long, shared long, total long"))
+    return cut(both.mapInArrow(_compare, "a long, b long, shared long, total long, rest array<long>"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -227,27 +232,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
     )
     classes = cut(classes)
-    member = F.struct("id", "n", "sketch")
-    banded = classes.select(F.explode("bands").alias("bucket"), member.alias("m"))
-    heads = banded.groupBy("bucket").agg(F.min("m").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    in_buckets = cut(banded.join(heads, "bucket").select("bucket", "m.*", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"), F.col("h.sketch").alias("head_sketch")))
+    banded = classes.select("id", F.explode("bands").alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    weight = banded.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
+    paired = classes.join(weight, "id").select(F.explode("bands").alias("bucket"), F.struct("weight", (-F.col("id")).alias("minus_id"), "n", "sketch").alias("m"))
+    heads = paired.groupBy("bucket").agg(F.max("m").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    in_buckets = paired.join(heads, "bucket").select("bucket", (-F.col("m.minus_id")).alias("id"), "m.n", "m.sketch", (-F.col("h.minus_id")).alias("head"), F.col("h.n").alias("head_n"), F.col("h.sketch").alias("head_sketch"))
+    in_buckets = cut(in_buckets)
     near = lambda n, m, s, t: (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_differing(s, t) <= sketch_limit(percent / 100))
     spokes = in_buckets.where(F.col("id") != F.col("head")).where(near("n", "head_n", "sketch", "head_sketch")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     members = docs.withColumnRenamed("doc_id", "id")
     linked = F.col("shared") * 100 >= F.col("total") * percent
-    links = _measured(cut(spokes), members, width).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    measured = _measured(cut(spokes), members, width)
+    links = measured.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = component_labels(links)
 
     # Buckets whose members are in different components yet: all pairs of those that can be near enough.
     # A grade spans one size ratio of the threshold, so partners are in the same grade or the next.
-    part = in_buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+    known = measured.select(F.col("a").alias("id"), F.col("b").alias("head"), "shared")
+    part = in_buckets.join(known, ["id", "head"], "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    part = part.select("bucket", "id", "head", "n", "sketch", "shared", F.coalesce("component", "id").alias("component"))
     mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = part.join(mixed, "bucket", "left_semi").withColumn("grade", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9))
+    rest = part.where("id <> head").join(mixed, "bucket", "left_semi").withColumn("grade", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9))
     ask = rest.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1)))
-    names = ["id", "n", "sketch", "component"]
+    names = ["id", "n", "sketch", "shared", "component"]
     ask = ask.select("bucket", "grade", *(F.col(c).alias(f"{c}_a") for c in names))
     got = rest.select("bucket", "grade", *(F.col(c).alias(f"{c}_b") for c in names))
-    pairs = ask.join(got, ["bucket", "grade"]).where((F.col("component_a") != F.col("component_b")) & near("n_a", "n_b", "sketch_a", "sketch_b"))
+    reaches = lambda common: common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    within = F.when(F.col("shared_a").isNull() | F.col("shared_b").isNull(), True).otherwise(reaches(F.least("shared_a", "shared_b")))
+    pairs = ask.join(got, ["bucket", "grade"]).where((F.col("component_a") != F.col("component_b")) & near("n_a", "n_b", "sketch_a", "sketch_b") & within)
+    # Members of one head that have shingles in common which the head lacks.
+    sizes = part.where("shared is not null").groupBy("id", "head").agg(F.any_value("n").alias("n"), F.any_value("shared").alias("shared"), F.any_value("component").alias("component"))
+    families = sizes.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("head")
+    own = measured.select(F.col("a").alias("id"), F.col("b").alias("head"), F.explode("rest").alias("shingle")).join(sizes.join(families, "head", "left_semi"), ["id", "head"])
+    own = cut(own)
+    one, two = (own.select("head", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "shared", "component"))) for k in "ab")
+    common = one.join(two, ["head", "shingle"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
+    common = common.groupBy("head", "id_a", "id_b").agg(F.count(F.lit(1)).alias("both"), *(F.any_value(c).alias(c) for c in ("n_a", "n_b", "shared_a", "shared_b")))
+    apart = common.where(reaches(F.least("shared_a", "shared_b") + F.col("both"))).select("id_a", "id_b")
+    pairs = pairs.select("id_a", "id_b").union(apart)
     pairs = cut(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
     more = _measured(pairs, members, width).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     # What the first links joined is one node here.
