@@ -1,7 +1,7 @@
 """The registered queries: importing the modules registers them."""
 
-from . import windows
+from . import evaluation, windows
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "R-13_ic"
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "windows"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "evaluation", "windows"]

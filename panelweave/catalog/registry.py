@@ -28,11 +28,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _nudge(digits: int) -> float:
     """Far above the noise of double sums and far below the last digit kept: it moves exact halves off the edge where rounding turns."""
-    return 1.7 * 10.0 ** -(digits + 3)
+    return 1.7320508075 * 10.0 ** -(digits + 3)
 
 
 def r(sql: str, digits: int = 8) -> str:
-    return f"ROUND(({sql}) + {_nudge(digits):.3e}, {digits})"
+    return f"ROUND(({sql}) + {_nudge(digits)!r}, {digits})"
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:

@@ -29,8 +29,16 @@ def cs_calc(aggregate: Column, by: Sequence[str] = DATE) -> Column:
     return aggregate.over(section(by))
 
 
+def safe_corr(x: Column, y: Column, over: WindowSpec | None = None) -> Column:
+    """Correlation of complete pairs as an aggregate, or over a window; null without variance."""
+    both = x.isNotNull() & y.isNotNull()
+    parts = F.covar_pop(x, y), F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
+    cov, sx, sy = (p.over(over) for p in parts) if over is not None else parts
+    return F.try_divide(cov, sx * sy)
+
+
 def cs_corr(x: Column | str, y: Column | str, by: Sequence[str] = DATE) -> Column:
-    return F.corr(_col(x), _col(y)).over(section(by))
+    return safe_corr(_col(x), _col(y), section(by))
 
 
 def cs_scale(x: Column | str, a: float = 1.0, by: Sequence[str] = DATE) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .cross_section import _col
+from .cross_section import _col, safe_corr
 
 SYM, DATE = "sym", "date"
 
@@ -24,7 +24,7 @@ def rolling(aggregate: Callable[..., Column], args: Sequence[Column | str], d: i
     whole = cols[0].isNotNull()
     for c in cols[1:]:
         whole = whole & c.isNotNull()
-    return F.when(F.count(F.when(whole, 1)).over(frame) >= (d if least is None else least), aggregate(*cols).over(frame))
+    return F.when(F.count(F.when(whole, 1)).over(frame) >= (d if least is None else least), aggregate(*cols, over=frame) if aggregate is safe_corr else aggregate(*cols).over(frame))
 
 
 def ts_lag(x: Column | str, d: int, w: WindowSpec | None = None) -> Column:
@@ -53,16 +53,20 @@ def ts_cret(r: Column | str, d: int, w: WindowSpec | None = None) -> Column:
 
 
 def fwd_returns(df: DataFrame, r: str, periods: Sequence[int], sym: str = SYM, date: str = DATE, digits: int = 10) -> DataFrame:
-    """``df`` with d{n}: the compound return of the n rows after each row, from one running sum."""
+    """``df`` with d{n}: the compound return of the n rows after each row, from one running sum.
+
+    Returns are rounded, so that equal ones tie in ranks; the small offset takes exact halves, which
+    products of short decimals often are, off the edge where noise would decide.
+    """
     w = series(sym, date)
     cum = F.sum(F.log1p(F.when(F.col(r) > -1, F.col(r)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = df.withColumn("__cum", cum)
-    ahead = {f"d{n}": F.round(F.exp(F.lead("__cum", n).over(w) - F.col("__cum")) - 1, digits) for n in periods}
+    ahead = {f"d{n}": F.round(F.exp(F.lead("__cum", n).over(w) - F.col("__cum")) - 1 + 1.7320508075 * 10.0 ** -(digits + 3), digits) for n in periods}
     return out.withColumns(ahead).drop("__cum")
 
 
 def ts_corr(x, y, d: int) -> Column:
-    return rolling(F.corr, [x, y], d)
+    return rolling(safe_corr, [x, y], d)
 
 
 def ts_cov(x, y, d: int) -> Column:

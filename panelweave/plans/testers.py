@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cross_section import bucket, demean, rank_avg, section
+from ..functions.cross_section import bucket, demean, rank_avg, safe_corr, section
 from ..functions.time_series import fwd_returns, series
 
 
@@ -182,7 +182,7 @@ def correlations(data: DataFrame, pairs: dict[str, tuple[str, str]], by: str = "
         marked = marked.withColumns({f"__rx_{name}": rank_avg(f"__x_{name}", (by,)), f"__ry_{name}": rank_avg(f"__y_{name}", (by,))})
         x, y, rx, ry = (f"__{k}_{name}" for k in ("x", "y", "rx", "ry"))
         usable = (F.count(x) >= least) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        aggs += [F.when(usable, F.corr(x, y)).alias(f"r_{name}"), F.when(usable, F.corr(rx, ry)).alias(f"rank_{name}")]
+        aggs += [F.when(usable, safe_corr(F.col(x), F.col(y))).alias(f"r_{name}"), F.when(usable, safe_corr(F.col(rx), F.col(ry))).alias(f"rank_{name}")]
     return marked.groupBy(by).agg(*aggs)
 
 
