@@ -104,7 +104,7 @@ FR = " ".join(testers._DAILY) + " " + " ".join(f"{c}_cum" for c in testers._DAIL
 
 def _factor_returns_sql(n: str) -> str:
     q = lambda k, x: f"AVG(CASE WHEN q = {k} THEN {x} END)"
-    daily = ", ".join(f"ROUND({x}, 12) AS {c}" for c, x in {
+    daily = ", ".join(f"{r(x, 10)} AS {c}" for c, x in {
         "fw_ls": "SUM(w * rr) / NULLIF(SUM(ABS(w)), 0)", "fw_raw": "SUM(GREATEST(w, 0) * rr) / NULLIF(SUM(GREATEST(w, 0)), 0)", "fw_ind": "SUM(w * ri) / NULLIF(SUM(ABS(w)), 0)", "fw_ind_raw": "SUM(GREATEST(w, 0) * ri) / NULLIF(SUM(GREATEST(w, 0)), 0)",
         "eq_raw": "AVG(rr)", "eq_ind": "AVG(ri)", "ls": f"{q(5, 'rr')} - {q(1, 'rr')}", "top_raw": q(5, "rr"), "bottom_raw": q(1, "rr"), "ls_ind": f"{q(5, 'ri')} - {q(1, 'ri')}", "hold": f"AVG({n})", "mkt": "AVG(rr)",
     }.items())
@@ -172,10 +172,10 @@ SMOOTHED = f"{DATA}, l AS (SELECT * FROM (SELECT *, {_LEADS} FROM d) WHERE sampl
 query("R-12_smoothed_autocorrelation", rounded_sql(f"{SMOOTHED}\nFINALLY SELECT * FROM y2", _names(AC), "date"))(lambda spark, sf: rounded(testers.autocorrelation(data(spark, sf), SPEC, smooth=True)))
 
 IC = {n: ("factor", n) for n in DS} | {f"g{n[1:]}": ("fg", f"g{n[1:]}") for n in DS}
-ICS = f"{DATA}, h AS (SELECT *, ROUND(factor - AVG(factor) OVER (PARTITION BY date, grp), 10) AS fg, {', '.join(f'ROUND({n} - AVG({n}) OVER (PARTITION BY date, grp), 10) AS g{n[1:]}' for n in DS)} FROM g), {_corr_sql('h', IC)}"
+ICS = f"{DATA}, h AS (SELECT *, {r('factor - AVG(factor) OVER (PARTITION BY date, grp)', 10)} AS fg, {', '.join(r(f'{n} - AVG({n}) OVER (PARTITION BY date, grp)', 10) + f' AS g{n[1:]}' for n in DS)} FROM g), {_corr_sql('h', IC)}"
 query("R-13_ic", rounded_sql(f"{ICS}\nFINALLY SELECT * FROM z", _names(IC), "date"))(lambda spark, sf: rounded(testers.ic(data(spark, sf), SPEC)))
 IC1 = {n: ("factor", n) for n in DS} | {f"g{n[1:]}": ("factor", f"g{n[1:]}") for n in DS}
-query("R-14_ic_returns_only", rounded_sql(f"{DATA}, h AS (SELECT *, {', '.join(f'ROUND({n} - AVG({n}) OVER (PARTITION BY date, grp), 10) AS g{n[1:]}' for n in DS)} FROM g), {_corr_sql('h', IC1)}\nFINALLY SELECT * FROM z", _names(IC1), "date"))(
+query("R-14_ic_returns_only", rounded_sql(f"{DATA}, h AS (SELECT *, {', '.join(r(f'{n} - AVG({n}) OVER (PARTITION BY date, grp)', 10) + f' AS g{n[1:]}' for n in DS)} FROM g), {_corr_sql('h', IC1)}\nFINALLY SELECT * FROM z", _names(IC1), "date"))(
     lambda spark, sf: rounded(testers.ic(data(spark, sf), SPEC, "returns_only"))
 )
 query("R-15_ic_cumulative", rounded_sql(f"{ICS}\nFINALLY SELECT date, {', '.join(f'CASE WHEN r_{n} IS NOT NULL THEN SUM(r_{n}) OVER (ORDER BY date) END AS r_{n}' for n in DS)} FROM z WHERE YEAR(date) >= 1996", " ".join(f"r_{n}" for n in DS), "date"))(

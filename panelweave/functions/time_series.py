@@ -52,16 +52,24 @@ def ts_cret(r: Column | str, d: int, w: WindowSpec | None = None) -> Column:
     return F.when(F.count(grown).over(frame) == abs(d), F.exp(F.sum(grown).over(frame)) - 1)
 
 
+def settle(x: Column, digits: int) -> Column:
+    """``x`` rounded so that what is equal but for noise becomes equal.
+
+    The small offset takes exact halves, which sums and products of short decimals often are, off
+    the edge where noise would decide.
+    """
+    return F.round(x + 1.7320508075 * 10.0 ** -(digits + 3), digits)
+
+
 def fwd_returns(df: DataFrame, r: str, periods: Sequence[int], sym: str = SYM, date: str = DATE, digits: int = 10) -> DataFrame:
     """``df`` with d{n}: the compound return of the n rows after each row, from one running sum.
 
-    Returns are rounded, so that equal ones tie in ranks; the small offset takes exact halves, which
-    products of short decimals often are, off the edge where noise would decide.
+    Returns are settled, so that equal ones tie in ranks.
     """
     w = series(sym, date)
     cum = F.sum(F.log1p(F.when(F.col(r) > -1, F.col(r)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = df.withColumn("__cum", cum)
-    ahead = {f"d{n}": F.round(F.exp(F.lead("__cum", n).over(w) - F.col("__cum")) - 1 + 1.7320508075 * 10.0 ** -(digits + 3), digits) for n in periods}
+    ahead = {f"d{n}": settle(F.exp(F.lead("__cum", n).over(w) - F.col("__cum")) - 1, digits) for n in periods}
     return out.withColumns(ahead).drop("__cum")
 
 

@@ -43,13 +43,11 @@ def preview_formula(df: DataFrame, formula: str) -> DataFrame:
 
 def check_formula(df: DataFrame, formula: str) -> bool:
     """Whether the formula gives one value for each row: aggregates and generators do not, unknown names neither."""
-    probe = F.expr(formula).alias("__field")
+    count = lambda d: len(re.findall(r"^[\s:+-]*(?:Aggregate|Generate)\b", d._jdf.queryExecution().analyzed().toString(), re.M))
     try:
-        plan = df.withColumn("__field", F.lit(0)).select("*", probe)
-        analysed = plan._jdf.queryExecution().analyzed().toString()
-    except Exception:
+        return count(df.select("*", F.expr(formula).alias("__field"))) == count(df)
+    except Exception:  # what cannot be analysed is no formula of a row
         return False
-    return not re.search(r"^\s*(?:[+:]-\s*)?(?:Aggregate|Generate)\b", analysed, re.M)
 
 
 def formula_refs(formula: str, columns: Sequence[str]) -> list[str]:

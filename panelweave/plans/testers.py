@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cross_section import bucket, demean, rank_avg, safe_corr, section
-from ..functions.time_series import fwd_returns, series
+from ..functions.time_series import fwd_returns, series, settle
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def overlapping_cumulative(returns: DataFrame, value: str, n: int, by: Sequence[
 _DAILY = ("fw_ls", "fw_raw", "fw_ind", "fw_ind_raw", "eq_raw", "eq_ind", "ls", "top_raw", "bottom_raw", "ls_ind", "hold", "mkt")
 
 
-def factor_returns(data: DataFrame, spec: TestSpec = TestSpec(), period: int | None = None, digits: int = 12) -> DataFrame:
+def factor_returns(data: DataFrame, spec: TestSpec = TestSpec(), period: int | None = None, digits: int = 10) -> DataFrame:
     """Twelve daily series of portfolios for one period, and each compounded.
 
     Weights are centred ranks (fw_*: long-short or long only, plain or in excess of the group), equal
@@ -120,7 +120,7 @@ def factor_returns(data: DataFrame, spec: TestSpec = TestSpec(), period: int | N
         ratio(F.col("w"), "r", F.abs("w")).alias("fw_ls"), ratio(long, "r", long).alias("fw_raw"), ratio(F.col("w"), "r_ind", F.abs("w")).alias("fw_ind"), ratio(long, "r_ind", long).alias("fw_ind_raw"),
         F.avg("r").alias("eq_raw"), F.avg("r_ind").alias("eq_ind"), (q(top, "r") - q(1, "r")).alias("ls"), q(top, "r").alias("top_raw"), q(1, "r").alias("bottom_raw"), (q(top, "r_ind") - q(1, "r_ind")).alias("ls_ind"), F.avg(n).alias("hold"), F.avg("r").alias("mkt"),
     )
-    daily = daily.withColumns({c: F.round(c, digits) for c in _DAILY})
+    daily = daily.withColumns({c: settle(F.col(c), digits) for c in _DAILY})
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
     return daily.withColumns({f"{c}_cum": F.when(F.col(c).isNotNull(), F.exp(F.sum(F.log1p(F.when(F.col(c) > -1, F.col(c)))).over(w)) - 1) for c in _DAILY})
 
@@ -209,8 +209,8 @@ def ic(data: DataFrame, spec: TestSpec = TestSpec(), level: str = "both") -> Dat
     Inside groups both are taken less the mean of (date, group); ``level="returns_only"`` does so for the returns only.
     """
     g = ("date", "group")
-    rows = _goods(data).withColumn("__fg", F.round(demean("factor", g), 10) if level == "both" else F.col("factor"))
-    rows = rows.withColumns({f"__g{n}": F.round(demean(f"d{n}", g), 10) for n in spec.periods})
+    rows = _goods(data).withColumn("__fg", settle(demean("factor", g), 10) if level == "both" else F.col("factor"))
+    rows = rows.withColumns({f"__g{n}": settle(demean(f"d{n}", g), 10) for n in spec.periods})
     pairs = {f"d{n}": ("factor", f"d{n}") for n in spec.periods} | {f"g{n}": ("__fg", f"__g{n}") for n in spec.periods}
     return correlations(rows, pairs)
 
