@@ -25,7 +25,7 @@ def _settled(edges: DataFrame) -> bool:
     """Whether each node has one link at most, and that to a node without any: then all are stars."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
     sums = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-    return not sums.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).take(1)
+    return sums.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).first()[0] == 0
 
 
 def component_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

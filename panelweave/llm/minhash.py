@@ -208,8 +208,8 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _measured(pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(a, b, shared, total, rest) of distinct ``pairs`` (a, b): sizes of intersection and union of the full sets, and what only ``a`` has."""
-    used = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    if used.count() <= BROADCAST_IDS:  # then the texts need not be shuffled to find those compared
+    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    if 2 * pairs.count() <= BROADCAST_IDS:  # then the texts need not be shuffled to find those compared
         used = F.broadcast(used)
     sets = cut(members.join(used, "id", "left_semi").mapInArrow(_sets(width), "id long, hashes binary"))
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = cut(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
     more = _measured(pairs, members, width).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     # What the first links joined is one node here.
-    final = component_labels(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)) if more.take(1) else labels
+    final = component_labels(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)) if more.count() else labels
 
     of_class = classes.select("set_key", F.col("id").alias("class_id")).join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     of_class = of_class.select("set_key", F.coalesce("component", "class_id").alias("component"))

@@ -1,0 +1,246 @@
+"""Corpus operators against brute force, the tokenizers library, held-out labels and edge cases."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelweave.llm import additive_quant, bpe, exact_dedup, html_text, license_scan, minhash, packing, pii, quality, toxicity
+from panelweave.llm.components import component_labels
+from panelweave.llm.queries import ORACLE_SQL, QUERIES, WORD_BPE
+
+EDGE = [(1, None), (2, ""), (3, "  \n\t "), (4, "a"), (4, "a"), (5, "x " * 60_000), (None, "no id"), (6, "Ünïcode 中文 \U0001f600")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls, empty and very long texts, repeats, and extra columns whose names clash with results."""
+    return spark.createDataFrame(EDGE, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("kept", "score", "spans", "ids", "component_id", "id", "label", "list", "n", "sequence_id")})
+
+
+@pytest.fixture(scope="module")
+def empty(edge):
+    return edge.limit(0)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_twin(name, same):
+    same(QUERIES[name], ORACLE_SQL[name])
+
+
+def test_each_operator_takes_edge_cases(spark, edge, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    for run in (
+        license_scan.scan_licenses, minhash.near_duplicates, lambda d: bpe.encode_decode(d, WORD_BPE), pii.find_personal_data, exact_dedup.exact_groups,
+        lambda d: quality.score_quality(d, labels), lambda d: toxicity.score_toxicity(d, labels), lambda d: quality.score_quality(d, labels.limit(0)), lambda d: toxicity.score_toxicity(d, labels.limit(0)),
+    ):
+        assert run(edge).count() == len(EDGE)
+        assert run(empty).count() == 0
+    for run in (exact_dedup.drop_exact_copies, minhash.drop_near_copies, pii.redact_personal_data, lambda d: toxicity.drop_toxic(d, labels)):
+        assert run(edge).columns == edge.columns and run(edge).count() >= 6
+        assert run(empty).count() == 0
+    assert packing.pack(empty, WORD_BPE).count() == 0
+    pages = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "<p>x", 0), (3, "<p>x", 0)], "page_id long, html string, text int")
+    assert [r.text for r in html_text.extract_text(pages).orderBy("page_id").collect()] == ["", "", "x", "x"]
+
+
+def test_exact_chunks_reset_after_a_shared_passage():
+    rng = np.random.default_rng(0)
+    shared = bytes(rng.integers(97, 123, 60_000, dtype=np.uint8))
+    cut = lambda d: {hashlib.sha256(d[a:b]).digest() for a, b in zip([0, *exact_dedup.chunk_ends(d)], exact_dedup.chunk_ends(d))}
+    a, b = cut(b"one" * 999 + shared), cut(b"another beginning " * 777 + shared)
+    assert len(a & b) >= 5
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for g in range(12):
+        base = [words[i] for i in rng.integers(0, 300, 80)]
+        for k in range(8):
+            copy = list(base)
+            for _ in range(k // 2):
+                copy[rng.integers(0, 80)] = words[rng.integers(0, 300)]
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    parent = list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "u long, v long")
+    got = {r.node: r.component for r in component_labels(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_bpe_equals_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD_BPE)
+    t.no_truncation()
+    t.no_padding()
+    extra = ["", "it's <|endoftext|> x<|startoftext|>", "a" * 500, "ΣΑΣ İstanbul ﬁn é", "日本語 12.5% !!", "\x1c\x85tab\t"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(120).union(spark.createDataFrame([(-i, x) for i, x in enumerate(extra, 1)], "doc_id long, text string"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in bpe.encode_decode(docs, WORD_BPE).collect():
+        ids = t.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == " ".join(map(str, ids)) and r.n_tokens == len(ids) and r.decoded == t.decode(ids, skip_special_tokens=False)
+
+
+def test_packing_is_gapless_and_whole(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)
+    rows = packing.pack(docs, WORD_BPE, length=256).collect()
+    ids = {r.doc_id: [*map(int, r.ids.split()), 1] for r in bpe.encode_decode(docs, WORD_BPE).collect()}
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for d, parts in by_doc.items():
+        parts.sort(key=lambda r: r.start)
+        assert sum((np.frombuffer(p.ids, "<u4").tolist() for p in parts), []) == ids[d] and parts[0].doc_tokens == len(ids[d])
+    assert set(by_doc) == set(ids)
+    for s, parts in by_sequence.items():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 256 or s == max(by_sequence)
+
+
+def test_search_recall(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in QUERIES["op3_additive_quantisation"](spark, sf_dir).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = sorted(zip(-s, ids))[:20]
+        found = sorted(got[ids[q]])
+        assert [k for k, _, _ in found] == list(range(1, 21))
+        hits += len({v for _, v, _ in found} & {v for _, v in best})
+        total += 20
+        assert all(abs(score - s[np.flatnonzero(ids == v)[0]]) < 1e-12 for _, v, score in found)
+    assert hits / total >= 0.9
+
+
+def test_search_leaves_out_unusable_vectors(spark):
+    rng = np.random.default_rng(5)
+    good = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(0, 60)]
+    bad = [(100, None), (120, [0.0] * 8), (140, [None] + [1.0] * 7), (160, [float("nan")] + [1.0] * 7), (180, [1.0] * 3), (None, [1.0] * 8)]
+    df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>")
+    got = additive_quant.nearest(df, 20, 5).collect()
+    assert {r.query_id for r in got} == {0, 20, 40} and all(r.vec_id < 60 for r in got) and len(got) == 15
+    assert additive_quant.nearest(df.where("vec_id = 0"), 20, 5).count() == 0
+
+
+BASE_LICENSES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def test_license_places_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, "MIT licenseMIT License mit license; CC BY-NC and Apache License or the GNU General Public License"), (-2, "SPDX-License-Identifier: (MIT OR GPL-2.0) AND Apache-2.0 WITH x")], "doc_id long, text string"))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    for r in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        places = [(i, label) for p, label in BASE_LICENSES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+        assert g.base_labels == sorted({x for _, x in places}) and set(g.base_labels) <= set(g.labels)
+    assert got[-2].expressions == ["mit gpl-2.0 or apache-2.0 x with and"] and got[-2].score == 1.0
+
+
+def _base(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, "email", m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        s = sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and s % 10 == 0:
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def test_base_spans_equal_patterns(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rng = np.random.default_rng(6)
+    texts += ["".join(rng.choice(list("a1b.2@-+ 5()49%_"), 60)) for _ in range(4000)]
+    texts += ["a@b.c_d@e.f", "x@@y.z", "1.2.3.4.5.6.7.8", "300.1.1.1 0000255.1.1.1", "+1 (555) 123-4567", "4111 1111 1111 1111"]
+    for t in texts:
+        assert pii.base_spans(t) == _base(t), t
+
+
+def test_terms_that_disclose_are_found(spark):
+    filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron sigma upsilon omega".split()
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join(rng.choice(filler, n))
+    rows = [(i, f"{word(9)} Zorblatt {word(2)} jo@ex.org {word(9)}") for i in range(5)] + [(10 + i, word(30)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, rows[i][1][s.start : s.end]) for s in r.spans] for i, r in enumerate(pii.find_personal_data(docs).orderBy("doc_id").collect())}
+    assert all(found[i] == [("term_removed", "Zorblatt"), ("email", "jo@ex.org")] for i in range(5)) and not any(found[i] for i in found if i >= 10)
+    clean = [r.text for r in pii.redact_personal_data(docs).where("doc_id < 5").collect()]
+    assert all("Zorblatt" not in t and "[EMAIL]" in t for t in clean)
+
+
+@pytest.mark.parametrize(("name", "column", "least"), [("op8_quality_ranking", "quality", 0.9), ("op9_toxicity_grammar", "toxic", 0.9)])
+def test_held_out_accuracy(spark, name, column, least):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", column)
+    rows = QUERIES[name](spark, sf).join(labels, "doc_id").where(F.col("held_out") & F.col(column).isNotNull()).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.predicted == r[column] for r in rows]) >= least
+
+
+def test_grammar_weighs_clauses():
+    m = toxicity.Matcher()
+    score = lambda t: sum(s for _, _, s in m.clauses(t))
+    assert score("you are an idiot") > score("an idiot came by") > score("he is not an idiot") > score("a nice day")
+    assert score("she said that idiot") < score("that idiot") and score("i will kill you") > score("it may kill weeds") == 0
+
+
+def test_html():
+    page = "<title>t</title><p>One<p>Two <b>bold</b>  x<ul><li>a<li>b<ol start=3><li>c</ol></ul><table><tr><td>k<td>value<tr><td>longer<td>2</table>tail<br>next<div hidden>no</div><div style='display: none'>no</div><script>if(a<b)</script><pre>a  b\n c</pre>&lt;&copy;"
+    assert html_text.extract(page) == "One\n\nTwo bold x\n\n- a\n- b\n  3. c\n\nk      | value\nlonger | 2\n\ntail\nnext\n\na  b\n c\n\n<©"
+    assert html_text.extract("<div>" * 5000 + "deep") == "deep" and html_text.extract("a < b <c") == "a < b <c"
+    assert html_text.extract("<a " * 20000) is not None
+
+
+def test_pipeline_keeps_and_drops(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 5000, n))
+    one, two = word(120), word(120)
+    rows = [(1, one), (2, one.replace(" ", "  ")), (3, one + " tail"), (4, two), (5, f"{word(30)} you idiot {word(5)}"), (6, word(40) + " write to jo@ex.org")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, got, str(tmp_path))
+        got.write.parquet(str(tmp_path / f"stage{k}"))
+        got = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        kept.append(sorted({r.doc_id for r in got.select("doc_id").collect()}))
+    assert kept == [[1, 2, 3, 4, 6], [1, 3, 4, 6], [1, 4, 6], [1, 4, 6], [1, 4, 6]]
+    assert "[EMAIL]" in spark.read.parquet(str(tmp_path / "stage3")).where("doc_id = 6").first().text
+    direct = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, direct.collect())) == sorted(map(str, got.collect()))
