@@ -31,7 +31,7 @@ DATA = f"""WITH s AS ({FXS_SQL}), c AS (SELECT *, SUM(LN(1 + r)) OVER (PARTITION
   b AS (SELECT sym, date, fv > 20000 AS picked, r AS returns, ic AS grp, fv AS marketcap, CASE WHEN CAST(sym AS INT) % 7 <> 0 THEN x END AS factor,
     ROUND(EXP(LEAD(cum, 1) OVER w - cum) - 1 + 1.7320508075e-13, 10) AS d1, ROUND(EXP(LEAD(cum, 5) OVER w - cum) - 1 + 1.7320508075e-13, 10) AS d5, ROUND(EXP(LEAD(cum, 10) OVER w - cum) - 1 + 1.7320508075e-13, 10) AS d10 FROM c WINDOW w AS (PARTITION BY sym ORDER BY date)),
   k AS (SELECT *, CASE WHEN NOT picked THEN 0 WHEN factor IS NULL THEN -1 ELSE 1 END AS sample, {_avg_rank('factor', 'date')} AS rk, COUNT(factor) OVER (PARTITION BY date) AS nf FROM b),
-  d AS (SELECT * EXCLUDE (picked, rk, nf), CAST(LEAST(GREATEST(CEIL(ROUND(rk / nf * 5, 9)), 1), 5) AS INT) AS q FROM k),
+  d AS (SELECT * EXCLUDE (picked, rk, nf), CASE WHEN factor IS NOT NULL THEN CAST(LEAST(GREATEST(CEIL(ROUND(rk / nf * 5, 9)), 1), 5) AS INT) END AS q FROM k),
   g AS (SELECT * FROM d WHERE sample = 1)"""
 DS = ("d1", "d5", "d10")
 

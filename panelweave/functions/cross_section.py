@@ -112,7 +112,7 @@ def bucket(x: Column | str, q: int = 5, by: Sequence[str] = DATE) -> Column:
     """Quantile bucket 1..q by the share of the average rank; null stays null."""
     x = _col(x)
     share = rank_avg(x, by) / F.count(x).over(section(by))
-    return F.least(F.greatest(F.ceil(F.round(share * q, 9)), F.lit(1)), F.lit(q)).cast("int")
+    return F.when(x.isNotNull(), F.least(F.greatest(F.ceil(F.round(share * q, 9)), F.lit(1)), F.lit(q)).cast("int"))
 
 
 def cs_qcut(x: Column | str, q: int = 5, by: Sequence[str] = DATE) -> Column:
