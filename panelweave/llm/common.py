@@ -27,9 +27,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the checkpoint folder, so that it is computed once and outlives executors."""
+    """Store ``df`` in the checkpoint folder, so that it is computed once and outlives executors.
+
+    Spark deletes the files of shuffles and checkpoints that nothing refers to any more only when the
+    driver's JVM collects garbage; in jobs of many rounds that is asked for here, so that neither disk
+    nor the driver's memory fills with those of earlier rounds.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
+    return stored
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
