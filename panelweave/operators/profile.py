@@ -36,15 +36,15 @@ def profile(df: DataFrame, group: str | None = None, fields: Sequence[str] | Non
     if approximate:
         return _approximate(df, g, kinds, types)
     parts = []
+    g = F.coalesce(g, F.lit("null"))  # a null group is a group of its own
     for c, kind in kinds.items():
         value = F.col(c).cast("double" if kind == "numeric" else "string" if kind == "string" else "timestamp")
         counted = df.groupBy(g.alias("group"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
         whole = F.col("v").isNotNull()
         basic = [F.sum("n").alias("count"), F.sum(F.when(~whole, F.col("n")).otherwise(0)).alias("null_count"), F.count(F.lit(1)).alias("nunique")]
         if kind == "numeric":
-            up = Window.partitionBy("group").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
             rows = F.when(whole, F.col("n")).otherwise(0)
-            ranked = counted.withColumn("upto", F.sum(rows).over(up)).withColumn("total", F.sum(rows).over(Window.partitionBy("group")))
+            ranked = _running_counts(counted)
             at = lambda q: F.floor(q * (F.col("total") - 1) + 0.5)
             holds = lambda k: whole & (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
             mid = lambda f: F.max(F.when(holds(f((F.col("total") - 1) / 2)), F.col("v")))
@@ -63,6 +63,22 @@ def profile(df: DataFrame, group: str | None = None, fields: Sequence[str] | Non
     return out
 
 
+def _running_counts(counted: DataFrame, bins: int = 64) -> DataFrame:
+    """(group, v, n) with ``upto``, the rows of the group up to v, and ``total``; null values count none.
+
+    A group may be the whole table, so its values are not sorted by one task: approximate
+    quantiles cut it into bins, of which the sums are few, and only bins are sorted.
+    """
+    rows = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
+    cuts = counted.groupBy("group").agg(F.percentile_approx("v", [i / bins for i in range(1, bins)]).alias("cuts"))
+    binned = counted.join(cuts, "group").withColumn("bin", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("v"))))
+    sums = binned.groupBy("group", "bin").agg(F.sum(rows).alias("m"))
+    w = Window.partitionBy("group")
+    sums = sums.select("group", "bin", (F.sum("m").over(w.orderBy("bin")) - F.col("m")).alias("before"), F.sum("m").over(w).alias("total"))
+    up = Window.partitionBy("group", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return binned.drop("cuts").join(sums, ["group", "bin"]).withColumn("upto", F.col("before") + F.sum(rows).over(up))
+
+
 def _complete(agg: DataFrame, field: str, dtype: str) -> DataFrame:
     have = set(agg.columns) | {"field", "data_type"}
     agg = agg.withColumns({"field": F.lit(field), "data_type": F.lit(dtype)})
