@@ -98,8 +98,8 @@ def cs_rank(x: Column | str, by: Sequence[str] = DATE) -> Column:
 def rank_avg(x: Column | str, by: Sequence[str] = DATE) -> Column:
     """Rank from 1; equal values share the mean of their ranks; null ranks null."""
     x = _col(x)
-    ties = F.count(x).over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), F.rank().over(section(by).orderBy(x.asc_nulls_last())) + (ties - 1) / 2.0)
+    up = section(by).orderBy(x.asc_nulls_last())  # its default frame ends with the last equal value
+    return F.when(x.isNotNull(), (F.rank().over(up) + F.count(x).over(up)) / 2.0)
 
 
 def ds_rank(x: Column | str, by: Sequence[str] = DATE) -> Column:
