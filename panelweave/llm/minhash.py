@@ -216,6 +216,81 @@ def _measured(pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     return cut(both.mapInArrow(_compare, "a long, b long, shared long, total long, rest array<long>"))
 
 
+def _linked(measured: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the measured pairs that are links."""
+    return measured.where(F.col("shared") * 100 >= F.col("total") * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _near(first: tuple[str, str], second: tuple[str, str], percent: int) -> Column:
+    """Whether two columns (size, sketch) each allow a link."""
+    (n, s), (m, t) = first, second
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_differing(s, t) <= sketch_limit(percent / 100))
+
+
+def _in_buckets(classes: DataFrame) -> DataFrame:
+    """Stored (bucket, id, n, sketch, head, head_n, head_sketch) of the buckets with several classes; the head shares most buckets."""
+    banded = classes.select("id", F.explode("bands").alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    weight = banded.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
+    paired = classes.join(weight, "id").select(F.explode("bands").alias("bucket"), F.struct("weight", (-F.col("id")).alias("minus_id"), "n", "sketch").alias("m"))
+    heads = paired.groupBy("bucket").agg(F.max("m").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    return cut(paired.join(heads, "bucket").select("bucket", (-F.col("m.minus_id")).alias("id"), "m.n", "m.sketch", (-F.col("h.minus_id")).alias("head"), F.col("h.n").alias("head_n"), F.col("h.sketch").alias("head_sketch")))
+
+
+def _spokes(in_buckets: DataFrame, percent: int) -> DataFrame:
+    """Stored (a, b): members with the heads of their buckets."""
+    near = _near(("n", "sketch"), ("head_n", "head_sketch"), percent)
+    return cut(in_buckets.where(F.col("id") != F.col("head")).where(near).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+
+
+def _reaches(common: Column, percent: int) -> Column:
+    return common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
+def _both(table: DataFrame, keys: list[str], names: list[str]) -> tuple[DataFrame, DataFrame]:
+    one, two = (table.select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in names)) for k in "ab")
+    return one, two
+
+
+def _pairs_in_buckets(in_buckets: DataFrame, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Stored (a, b): members of one bucket that are in different components yet and can be near enough.
+
+    A grade spans one size ratio of the threshold, so partners are in the same grade or the next.
+    """
+    part = in_buckets.select("bucket", "id", "head", "n", "sketch").join(known.select("id", "head", "shared"), ["id", "head"], "left").join(labels.toDF("id", "component"), "id", "left")
+    part = cut(part.withColumn("component", F.coalesce("component", "id")))
+    mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    rest = cut(part.where("id <> head").join(mixed, "bucket", "left_semi").withColumn("grade", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)))
+    ask, got = _both(rest, ["bucket", "grade"], ["id", "n", "sketch", "shared", "component"])
+    ask = ask.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1)))
+    within = F.when(F.col("shared_a").isNull() | F.col("shared_b").isNull(), True).otherwise(_reaches(F.least("shared_a", "shared_b"), percent))
+    pairs = ask.join(got, ["bucket", "grade"]).where((F.col("component_a") != F.col("component_b")) & _near(("n_a", "sketch_a"), ("n_b", "sketch_b"), percent) & within)
+    return cut(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
+
+
+def _pairs_outside_heads(measured: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Stored (a, b): members of one head, in different components yet, whose common shingles that the head lacks make a link possible."""
+    families = known.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("head")
+    own = measured.select(F.col("a").alias("id"), F.col("b").alias("head"), F.explode("rest").alias("shingle")).join(known.join(families, "head", "left_semi"), ["id", "head"])
+    one, two = _both(cut(own), ["head", "shingle"], ["id", "n", "shared", "component"])
+    common = one.join(two, ["head", "shingle"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
+    common = common.groupBy("head", "id_a", "id_b").agg(F.count(F.lit(1)).alias("both"), *(F.any_value(c).alias(c) for c in ("n_a", "n_b", "shared_a", "shared_b")))
+    return cut(common.where(_reaches(F.least("shared_a", "shared_b") + F.col("both"), percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+
+def _components(classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that links join. Each step is stored and ends before the next, so that few shuffles run at a time."""
+    in_buckets = _in_buckets(classes)
+    measured = _measured(_spokes(in_buckets, percent), members, width)
+    labels = cut(component_labels(_linked(measured, percent)))
+    known = measured.select(F.col("a").alias("id"), F.col("b").alias("head"), "shared", (F.col("shared") + F.size("rest")).alias("n")).join(labels.toDF("id", "component"), "id", "left")
+    known = cut(known.withColumn("component", F.coalesce("component", "id")))
+    pairs = _pairs_in_buckets(in_buckets, known, labels, percent).union(_pairs_outside_heads(measured, known, percent))
+    more = _linked(_measured(cut(pairs.distinct()), members, width), percent)
+    # What the first links joined is one node here.
+    return component_labels(labels.toDF("u", "v").union(more)) if more.count() else labels
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
@@ -232,50 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
     )
     classes = cut(classes)
-    banded = classes.select("id", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    weight = banded.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
-    paired = classes.join(weight, "id").select(F.explode("bands").alias("bucket"), F.struct("weight", (-F.col("id")).alias("minus_id"), "n", "sketch").alias("m"))
-    heads = paired.groupBy("bucket").agg(F.max("m").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    in_buckets = paired.join(heads, "bucket").select("bucket", (-F.col("m.minus_id")).alias("id"), "m.n", "m.sketch", (-F.col("h.minus_id")).alias("head"), F.col("h.n").alias("head_n"), F.col("h.sketch").alias("head_sketch"))
-    in_buckets = cut(in_buckets)
-    near = lambda n, m, s, t: (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_differing(s, t) <= sketch_limit(percent / 100))
-    spokes = in_buckets.where(F.col("id") != F.col("head")).where(near("n", "head_n", "sketch", "head_sketch")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    members = docs.withColumnRenamed("doc_id", "id")
-    linked = F.col("shared") * 100 >= F.col("total") * percent
-    measured = _measured(cut(spokes), members, width)
-    links = measured.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = component_labels(links)
-
-    # Buckets whose members are in different components yet: all pairs of those that can be near enough.
-    # A grade spans one size ratio of the threshold, so partners are in the same grade or the next.
-    known = measured.select(F.col("a").alias("id"), F.col("b").alias("head"), "shared")
-    part = in_buckets.join(known, ["id", "head"], "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    part = part.select("bucket", "id", "head", "n", "sketch", "shared", F.coalesce("component", "id").alias("component"))
-    mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = part.where("id <> head").join(mixed, "bucket", "left_semi").withColumn("grade", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9))
-    ask = rest.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1)))
-    names = ["id", "n", "sketch", "shared", "component"]
-    ask = ask.select("bucket", "grade", *(F.col(c).alias(f"{c}_a") for c in names))
-    got = rest.select("bucket", "grade", *(F.col(c).alias(f"{c}_b") for c in names))
-    reaches = lambda common: common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    within = F.when(F.col("shared_a").isNull() | F.col("shared_b").isNull(), True).otherwise(reaches(F.least("shared_a", "shared_b")))
-    pairs = ask.join(got, ["bucket", "grade"]).where((F.col("component_a") != F.col("component_b")) & near("n_a", "n_b", "sketch_a", "sketch_b") & within)
-    # Members of one head that have shingles in common which the head lacks.
-    sizes = part.where("shared is not null").groupBy("id", "head").agg(F.any_value("n").alias("n"), F.any_value("shared").alias("shared"), F.any_value("component").alias("component"))
-    families = sizes.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("head")
-    own = measured.select(F.col("a").alias("id"), F.col("b").alias("head"), F.explode("rest").alias("shingle")).join(sizes.join(families, "head", "left_semi"), ["id", "head"])
-    own = cut(own)
-    one, two = (own.select("head", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "shared", "component"))) for k in "ab")
-    common = one.join(two, ["head", "shingle"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
-    common = common.groupBy("head", "id_a", "id_b").agg(F.count(F.lit(1)).alias("both"), *(F.any_value(c).alias(c) for c in ("n_a", "n_b", "shared_a", "shared_b")))
-    apart = common.where(reaches(F.least("shared_a", "shared_b") + F.col("both"))).select("id_a", "id_b")
-    pairs = pairs.select("id_a", "id_b").union(apart)
-    pairs = cut(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
-    more = _measured(pairs, members, width).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # What the first links joined is one node here.
-    final = component_labels(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)) if more.count() else labels
-
+    final = _components(classes, docs.withColumnRenamed("doc_id", "id"), width, percent)
     of_class = classes.select("set_key", F.col("id").alias("class_id")).join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     of_class = of_class.select("set_key", F.coalesce("component", "class_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
