@@ -23,8 +23,8 @@ from .common import cut, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as near it.
 NEAR = 8
-#: Different surroundings in which a term must stand near an entity: copies of a passage are one witness.
-WITNESSES = 3
+#: Weight, in documents, of the belief that a term says nothing about an entity, to which its counts are added.
+PRIOR = 0.5
 GENERALISE, REMOVE = 0.75, 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,14 +121,15 @@ def _document_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     counts: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], ["term", "n"])
         counts.clear()
         return out
 
     for batch in slices(batches):
-        for text in batch.column("text").to_pylist():
+        for text, weight in zip(batch.column("text").to_pylist(), batch.column("weight").to_pylist(), strict=True):
             if text:
-                counts.update({w.lower() for w in set(_TERM.findall(text))})
+                for w in {w.lower() for w in set(_TERM.findall(text))}:
+                    counts[w] += weight
         if len(counts) > 250_000:
             yield flush()
     yield flush()
@@ -142,19 +143,25 @@ def _broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 def telling_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, share): how much of the entity's information content the term discloses.
 
-    Counts are over all documents: those with the entity, with the term, with the term near the entity.
+    Counts are over all documents, and nothing needs a least count. Equal texts count once. A witness
+    is a surrounding of the entity, and no text is more than one, so that copies of a passage are one
+    witness. The term's count is that of its witnesses and of the texts with the term elsewhere. The
+    chance of the entity given the term starts at the entity's own, with the weight of PRIOR documents.
     """
-    near = found.where("row_key is not null").select("row_key", F.explode("near").alias("x")).select("row_key", "x.entity", "x.term", "x.around").distinct()
-    pairs = near.groupBy("entity", "term", "around").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("witnesses"))
-    pairs = cut(pairs.where(F.col("witnesses") >= WITNESSES))
-    of_entity = near.select("entity", "row_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    near = found.where("row_key is not null").select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.term", "x.around")
+    witnesses = F.least(F.count_distinct("around"), F.count_distinct("text_hash"))
+    pairs = cut(near.groupBy("entity", "term").agg(witnesses.alias("k"), F.count_distinct("text_hash").alias("n_both")))
+    of_entity = near.groupBy("entity").agg(witnesses.alias("n_entity"))
+    copies = cut(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     terms = cut(pairs.select("term").distinct())
-    counted = docs.select("text").mapInArrow(_document_terms, "term string, n long")
-    of_term = counted.join(_broadcast_if_small(terms, 200_000), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = F.lit(float(found.count()))
+    weighted = docs.join(_broadcast_if_small(copies, 200_000), "text_hash", "left").select("text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+    counted = weighted.mapInArrow(_document_terms, "term string, n double")
+    of_term = counted.join(_broadcast_if_small(terms, 200_000), "term", "left_semi").groupBy("term").agg(F.round(F.sum("n"), 6).alias("n_term"))
+    total = F.lit(float(found.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)))
     bits = F.log(total / F.col("n_entity"))
-    pmi = F.log(total * F.least("n_both", "n_term", "n_entity") / (F.col("n_term") * F.col("n_entity")))
-    return pairs.join(of_term, "term").join(of_entity, "entity").select("entity", "term", F.when(bits > 0, pmi / bits).otherwise(0.0).alias("share"))
+    elsewhere = F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0.0))
+    given = (F.col("k") + PRIOR * F.col("n_entity") / total) / (F.col("k") + elsewhere + PRIOR)
+    return pairs.join(of_term, "term").join(of_entity, "entity").select("entity", "term", F.when(bits > 0, F.log(given * total / F.col("n_entity")) / bits).otherwise(0.0).alias("share"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -176,7 +183,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     merged = F.concat("spans", F.coalesce("more", F.array().cast(_SPANS_TYPE)))
     order = F.array_sort(F.transform(merged, lambda s: F.struct(s["start"].alias("start"), F.when(rank(s) == 0, 9).otherwise(rank(s)).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    out = found.select("doc_id", "text_hash", "row_key", "spans").join(more, "row_key", "left")
+    # rows without an entity have no key: in the join they would all meet in one task
+    out = found.where("row_key is not null").select("row_key", "doc_id", "text_hash", "spans").join(more, "row_key", "left")
+    out = out.unionByName(found.where("row_key is null").select("row_key", "doc_id", "text_hash", "spans"), allowMissingColumns=True)
     return out.select("doc_id", "text_hash", F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 

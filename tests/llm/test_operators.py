@@ -201,6 +201,25 @@ def test_terms_that_disclose_are_found(spark):
     assert all("Zorblatt" not in t and "[EMAIL]" in t for t in clean)
 
 
+def test_terms_need_no_least_support(spark):
+    rng = np.random.default_rng(2)
+    filler = [f"{a}{b}lo" for a in "bdfghk" for b in "aeiou"]
+    word = lambda n: " ".join(rng.choice(filler, n))
+    copied = f"{word(9)} Quuxley {word(2)} ann@ex.org {word(9)}"
+    rows = [(0, f"{word(9)} Zorblatt {word(2)} jo@ex.org {word(9)}")]  # one document
+    rows += [(i, f"{word(9)} Plimford {word(2)} bo@ex.org {word(9)}") for i in (1, 2)]  # two
+    rows += [(100 + i, copied) for i in range(300)]  # one surrounding in many copies
+    rows += [(1000, f"{word(9)} Common {word(2)} al@ex.org {word(9)}")] + [(1001 + i, f"Common {word(20)}") for i in range(100)]
+    rows += [(2000 + i, word(30)) for i in range(300)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if s.kind.startswith("term")] for r in found}
+    assert len(found) == len(rows)
+    assert got[0] == ["Zorblatt"] and got[1] == got[2] == ["Plimford"]
+    assert all(got[i] == ["Quuxley"] for i in range(100, 400))
+    assert not any(got[i] for i in got if i >= 1000)
+
+
 @pytest.mark.parametrize(("name", "column", "least"), [("op8_quality_ranking", "quality", 0.9), ("op9_toxicity_grammar", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, column, least):
     sf = "/root/testdata/sf0.01"
