@@ -21,7 +21,9 @@ from .common import slices
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math meta link".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas meta link".split())
+#: Not displayed inside of these elements.
+HIDDEN_IN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
 BLOCK = frozenset("address article aside body center details dialog dd div dl dt fieldset figcaption figure footer form header hgroup html legend main nav option search section select summary li tr caption tbody thead tfoot".split())
 APART = frozenset("blockquote h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 CLOSES_P = BLOCK - {"option", "select", "tr", "caption", "tbody", "thead", "tfoot", "legend", "body", "html"} | APART
@@ -35,6 +37,8 @@ BORDER = frozenset(("table", "td", "th", "caption", "button", "body", "html", "t
 
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+#: A tag behind its name, up to its > or the end of the page: a value is quoted only behind =, and an open quote that never closes is none.
+_TAG_REST = re.compile(r"""(?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*+|(?=>|\Z)))?+)*+""")
 _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -47,21 +51,8 @@ class Node:
 
 
 def _tag_end(html: str, start: int) -> int:
-    """The place of the > that ends a tag, outside of quotes where these are closed nearby; -1 without any."""
-    end = html.find(">", start)
-    first = end
-    for _ in range(16):
-        if end < 0:
-            return first
-        part = html[start:end]
-        marks = [c for c in part if c in "\"'"]
-        open_mark = ""
-        for c in marks:
-            open_mark = "" if c == open_mark else open_mark or c
-        if not open_mark or not re.search(r"=\s*[\"']", part):
-            return end
-        end = html.find(">", end + 1)
-    return first
+    """The place of the > that ends a tag, outside of quotes; the page's end if all stand in quotes; -1 without any."""
+    return _TAG_REST.match(html, start).end() if html.find(">", start) >= 0 else -1
 
 
 def parse(html: str) -> Node:
@@ -190,6 +181,7 @@ def render(root: Node) -> str:
     """The visible text of a tree, without recursion, so that deep trees are safe."""
     out = _Writer()
     writers, tables, lists, pre = [], [], [], 0
+    inside = dict.fromkeys(HIDDEN_IN, 0)
     todo: list[tuple[Node | str, bool]] = [(root, True)]
     while todo:
         node, entering = todo.pop()
@@ -201,7 +193,7 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if entering:
-            if _hidden(node):
+            if _hidden(node) or any(n and tag in HIDDEN_IN[t] for t, n in inside.items()):
                 continue
             if tag == "br":
                 out.breaks += 1
@@ -228,7 +220,11 @@ def render(root: Node) -> str:
                 tables.append([])
             elif tag == "tr" and tables:
                 tables[-1].append([])
+            if inside["svg"] and tag == "text":
+                out.block(1)
             pre += tag == "pre"
+            if tag in inside:
+                inside[tag] += 1
             todo.append((node, False))
             kids = node.kids
             if tag == "details" and "open" not in node.attrs:
@@ -236,6 +232,10 @@ def render(root: Node) -> str:
             todo.extend((k, True) for k in reversed(kids))
             continue
         pre -= tag == "pre"
+        if tag in inside:
+            inside[tag] -= 1
+        if inside["svg"] and tag == "text":
+            out.block(1)
         if tag in ("td", "th") and tables:
             cell = " ".join(out.done().split())
             out = writers.pop()

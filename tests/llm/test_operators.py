@@ -243,6 +243,18 @@ def test_html():
     assert html_text.extract("<a " * 20000) is not None
 
 
+def test_html_tags_end_outside_of_quotes():
+    many = "<b>no</b>" * 5000
+    assert html_text.extract(f"<p>a<i data-template=\"{many}\">b</i><i title='{many}'>c</i>") == "abc"
+    assert html_text.extract("<p title=don't>a</p><p title=\"x>b</p>") == "a\n\nb"
+    assert html_text.extract("<a href=x=\"y>z</a>") == "z" and html_text.extract("a<i b='>' " * 20000) == "a"
+
+
+def test_html_shows_formulas_and_drawings():
+    page = "<p>is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math> so<svg><title>t</title><defs><text>no</text></defs><text>left</text><text>right</text></svg><defs>end</defs>"
+    assert html_text.extract(page) == "is E=m so\nleft\nright\nend"
+
+
 def test_pipeline_keeps_and_drops(spark, tmp_path):
     import corpus_pipeline
 
