@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import cross_section as cs
 from panelweave.functions import time_series as ts
+from panelweave import catalog
 from panelweave.operators import graph as gr
 from panelweave.operators import incremental as inc
 from panelweave.operators import panel as pn
@@ -125,3 +126,20 @@ def test_union_and_signature(spark, sf_dir):
     assert len(pq.signature(files).first()[0]) == 64
     u = pr.union_relaxed([spark.range(1).select(F.lit(1).alias("a")), spark.range(1).select(F.lit(1.5).alias("a"), F.lit("x").alias("b"))])
     assert sorted(map(tuple, u.collect())) == [(1.0, None), (1.5, "x")]
+
+
+def test_graph_queries_take_the_whole_edge_table(spark, sf_dir, duck):
+    edges = duck.execute("SELECT DISTINCT 'c' || o_custkey, 'p' || l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey").fetchall()
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    assert {r.id: r.component for r in catalog.QUERIES["G-03_components_whole"](spark, sf_dir).collect()} == {x: root(x) for x in up}
+    assert sum(r.out_degree for r in catalog.QUERIES["G-02_degree_whole"](spark, sf_dir).collect()) == len(edges)
