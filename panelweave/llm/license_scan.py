@@ -100,14 +100,19 @@ def _automaton():
     return found
 
 
+def _words(text: str) -> list[bytes]:
+    """The words of a text: split at spaces only, as a byte of a character beyond ASCII may look like one in Latin-1."""
+    words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split(b" ")
+    return [w for w in words if w] if b"" in words else words
+
+
 def scan(text: str) -> tuple[int, list[tuple[int, str]]]:
     """The number of words, and (first word, phrase) of every place of a phrase, from left to right.
 
     Words are runs of ASCII digits, letters (in lower case) and characters beyond ASCII. Bytes are
     read as Latin-1, which keeps those beyond ASCII apart from all marks.
     """
-    words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split(b" ")
-    words = [w for w in words if w] if b"" in words else words
+    words = _words(text)
     row = " " + b" ".join(words).decode("latin-1") + " "
     out, counted, at = [], 0, 0
     for end, (phrase, size) in _automaton().iter(row):
@@ -127,7 +132,7 @@ def notices(text: str, places: list[tuple[int, str]]) -> list[list[str]]:
     spans = [(at, at + phrase.count(" ") + 1, (BASE | MORE)[phrase]) for at, phrase in places if phrase != TAG]
     # of phrases that begin at the same word the longest counts
     longest = {at: (end, label) for at, end, label in sorted(spans)}
-    words: list[str] | None = None
+    words: list[bytes] | None = None
     infix: list[str] = []
     before = 0
     for at, (end, label) in sorted(longest.items()):
@@ -136,8 +141,8 @@ def notices(text: str, places: list[tuple[int, str]]) -> list[list[str]]:
         joint = None
         if infix and at - before <= JOINED:
             if words is None:
-                words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).decode("latin-1").split()
-            joint = next((w for w in words[before:at] if w in _RANK), None)
+                words = _words(text)
+            joint = next((j for w in words[before:at] if (j := w.decode("latin-1")) in _RANK), None)
         if infix and joint is None:
             out.append(postfix(infix))
             infix = []

@@ -180,6 +180,12 @@ def _base(text):
     return [(k, s, e) for s, _, k, e in sorted(out)]
 
 
+def test_license_joints_behind_words_beyond_ascii():
+    for word in ("no\u00a0break", "хлеб", "мир", "\u00c5ngström", "a\u0085b", "酠"):
+        text = f"{word} {word} {word} MIT License or GNU General Public License"
+        assert license_scan.notices(text, license_scan.scan(text)[1]) == [["mit", "gpl", "or"]], word
+
+
 def test_base_spans_equal_patterns(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     rng = np.random.default_rng(6)
