@@ -92,14 +92,14 @@ def subgraph(edges: DataFrame, centres: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").distinct()
 
 
-def cross_layer_check(column_edges: DataFrame, owners: DataFrame, asset_edges: DataFrame, depth: int = 20) -> DataFrame:
+def cross_layer_check(column_edges: DataFrame, owners: DataFrame, asset_edges: DataFrame) -> DataFrame:
     """Column edges (src, dst) whose owners differ and have no asset path from one to the other."""
     owned = column_edges.join(owners.toDF("src", "src_owner"), "src").join(owners.toDF("dst", "dst_owner"), "dst").where("src_owner <> dst_owner")
     wanted = cut(owned.select("src_owner", "dst_owner").distinct())
     step = cut(asset_edges.select("src", "dst").distinct())
     paths = cut(wanted.select(F.col("src_owner").alias("root")).distinct().join(step, F.col("root") == F.col("src")).select("root", F.col("dst").alias("at")).distinct())
     front = paths
-    for _ in range(depth):
+    while True:
         front = cut(front.join(step, F.col("at") == F.col("src")).select("root", F.col("dst").alias("at")).distinct().join(paths, ["root", "at"], "left_anti"))
         if not front.take(1):
             break

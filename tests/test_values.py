@@ -143,3 +143,10 @@ def test_graph_queries_take_the_whole_edge_table(spark, sf_dir, duck):
         up[b] = a
     assert {r.id: r.component for r in catalog.QUERIES["G-03_components_whole"](spark, sf_dir).collect()} == {x: root(x) for x in up}
     assert sum(r.out_degree for r in catalog.QUERIES["G-02_degree_whole"](spark, sf_dir).collect()) == len(edges)
+
+
+def test_owners_joined_by_a_long_path_are_not_reported(spark):
+    chain_ = spark.createDataFrame([(f"o{i}", f"o{i + 1}") for i in range(24)], "src string, dst string").coalesce(1)
+    owners = spark.createDataFrame([("a", "o0"), ("b", "o24"), ("c", "elsewhere")], "id string, owner string")
+    found = gr.cross_layer_check(spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string"), owners, chain_).collect()
+    assert [(r.src, r.dst) for r in found] == [("a", "c")]
