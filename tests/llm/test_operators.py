@@ -137,6 +137,21 @@ def test_search_recall(spark, sf_dir):
     assert hits / total >= 0.9
 
 
+def test_search_recall_where_the_shortlist_cuts_hard(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")  # 2,000 rows, of which 40 are scored exactly
+    rows = vectors.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in additive_quant.nearest(vectors, 20, 20, "ip", shortlist=2).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.argsort(-s)[:20]]))
+    assert len(rows) >= 50 * 2 * 20 and hits / (20 * len(got)) >= 0.9
+
+
 def test_search_leaves_out_unusable_vectors(spark):
     rng = np.random.default_rng(5)
     good = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(0, 60)]
