@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts
 
-#: Distinct words whose encodings a worker keeps, in each of two generations.
-KEEP_WORDS = 600_000
-#: Texts whose words are walked together.
-ROWS = 1024
+#: Bytes of encodings that a task keeps, in each of two generations.
+KEEP_BYTES = 48 << 20
+#: Texts whose words are walked together, and their bytes.
+ROWS, SIZE = 1024, 4 << 20
+#: Words of more bytes are encoded one by one, without the encodings of their prefixes.
+LONG = 64
 #: Texts of these characters only need no Unicode normalisation.
 _PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -56,6 +59,7 @@ class TrieBpe:
         self.tokens = [""] * size
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = t
+        self.size = [len(t.removesuffix(self.end)) for t in self.tokens]
         self.order, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         self.merged: dict[tuple[int, int], int] = {}
         for rank, m in enumerate(model["merges"]):
@@ -95,7 +99,7 @@ class TrieBpe:
                     r = self.left[r]
                 else:
                     break
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -136,7 +140,7 @@ class TrieBpe:
             state = state[1:]
         found = [(len(state) - i, self.vocab.get(state[i:]), self.vocab.get(state[i:] + self.end)) for i in range(len(state))]
         node = state, tuple((k, t) for k, t, _ in found if t is not None), tuple((k, t) for k, _, t in found if t is not None)
-        if len(self.nodes) > 400_000:
+        if len(self.nodes) > 60_000:
             self.nodes.clear()
         self.nodes[key] = node
         return node
@@ -148,15 +152,14 @@ class TrieBpe:
         """
         known, whole, fits, stands, nodes, make = self.pairs.get, self.whole.get, self.fits, self.stands, self.nodes.get, self._node
         # of the prefix of each length on the path: last token, place in the vocabulary's heads, encoding
-        last, state, coded = [-1] * 64, [""] * 64, [empty] * 64
+        last, state, coded = [-1] * LONG, [""] * LONG, [empty] * LONG
         out: dict[str, Any] = {}
         before, deep = "", 0
         for w in sorted(words):
             n = len(w)
-            if n >= len(last):
-                last += [-1] * n
-                state += [""] * n
-                coded += [empty] * n
+            if n > LONG:
+                out[w] = empty.join([units[t] for t in self._long(w)])
+                continue
             d, most = 0, min(deep, n - 1)
             while d < most and w[d] == before[d]:
                 d += 1
@@ -185,10 +188,26 @@ class TrieBpe:
             before, deep = w, n - 1
         return out
 
+    def _long(self, w: str) -> list[int]:
+        """The tokens of one long word: the same walk, which holds the last token of each prefix but not its encoding."""
+        n, now = len(w), ""
+        last = [-1] * n
+        for d in range(1, n):
+            key = now + w[d - 1]
+            now, inside, _ = self.nodes.get(key) or self._node(key)
+            last[d] = next(t for k, t in inside if (self.stands(t) if k == d else self.fits(last[d - k], t)))
+        key = now + w[n - 1]
+        k, t = next((k, t) for k, t in (self.nodes.get(key) or self._node(key))[2] if (self.stands(t) if k == n else self.fits(last[n - k], t)))
+        out, at = [t], n - k
+        while at:
+            out.append(t := last[at])
+            at -= self.size[t]
+        return out[::-1]
+
     def in_bytes(self, word: str) -> str:
         if word.isascii():
             return word
-        return "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
+        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
 
     def library(self) -> Any:
         """The tokenizers library, for Unicode normalisation of texts beyond Latin."""
@@ -199,11 +218,11 @@ class TrieBpe:
         return self._library
 
     def pieces(self, text: str) -> list[Any]:
-        """The text as keys: strings between white space, tuples of one word in bytes, ids of special tokens."""
+        """The text as keys: strings between white space, tuples of one word in bytes, bytes of special tokens."""
         out: list[Any] = []
         for part in _SPECIAL.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(part.encode())
             elif not _PLAIN.search(part):
                 out += part.lower().split()
             elif part:
@@ -213,14 +232,16 @@ class TrieBpe:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the encodings of distinct pieces and words for later batches of the worker.
+    """Encodes batches of texts; keeps the encodings of distinct pieces and words for later batches of the task.
 
     Encodings are sums of ``units``, one for each token. They are kept in two generations: when the
-    younger is full it becomes the older one, from which what occurs again is taken over.
+    younger has its bytes it becomes the older one, from which what occurs again is taken over. So
+    what is held does not grow with the input, and all of it goes with the encoder.
     """
 
-    def __init__(self, model: TrieBpe, units: list[Any], empty: Any) -> None:
-        self.model, self.units, self.empty = model, units, empty
+    def __init__(self, model: TrieBpe, units: list[Any], empty: Any, keep_bytes: int = KEEP_BYTES) -> None:
+        self.model, self.units, self.empty, self.keep_bytes = model, units, empty, keep_bytes
+        self.held = 0
         self.kept: dict[Any, Any] = {}
         self.old: dict[Any, Any] = {}
 
@@ -232,10 +253,11 @@ class Encoder:
         """
         model, units, join = self.model, self.units, self.empty.join
         keyed = [model.pieces(t) for t in batch]
-        if len(self.kept) > KEEP_WORDS:
-            self.old, self.kept = self.kept, {}
+        if self.held > self.keep_bytes:
+            self.old, self.kept, self.held = self.kept, {}, 0
         kept, old = self.kept, self.old
         new = set().union(*keyed).difference(kept)
+        before = len(kept)
         if old:
             again = new.intersection(old)
             kept |= {p: old[p] for p in again}
@@ -263,26 +285,26 @@ class Encoder:
                 parts[p] = ["\0" + w for w in p]
                 byte_words.update(p)
             else:
-                kept[p] = units[p]
+                kept[p] = units[model.special[p.decode()]]
         kept |= model.encode_words([w for w in ascii_words if w not in kept], units, self.empty)
         coded = model.encode_words([w for w in byte_words if "\0" + w not in kept], units, self.empty)
         kept |= {"\0" + w: c for w, c in coded.items()}
         for p, ws in parts.items():
             kept[p] = kept[ws[0]] if len(ws) == 1 else join([kept[w] for w in ws])
+        # a key, an encoding and their place in the table; long pieces count by their length
+        self.held += 220 * (len(kept) - before) + 4 * sum(len(p) for p in new if len(p) > 32)
         get = kept.__getitem__
         return [join(list(map(get, k))) for k in keyed]
 
 
-_OWN: dict[tuple[int, str], Encoder] = {}
-
-
-def worker_encoder(content: str, kind: str, units: Callable[[TrieBpe], list[Any]], empty: Any) -> Encoder:
-    """The worker's encoder for this vocabulary; later tasks of the worker use it again."""
-    key = hash(content), kind
-    if key not in _OWN:
-        model = TrieBpe(content)
-        _OWN[key] = Encoder(model, units(model), empty)
-    return _OWN[key]
+@contextmanager
+def task_encoder(content: str, units: Callable[[TrieBpe], list[Any]], empty: Any) -> Iterator[Encoder]:
+    """An encoder for one task. Spark uses Python workers again for other stages, so nothing of it stays behind."""
+    model = TrieBpe(content)
+    try:
+        yield Encoder(model, units(model), empty)
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def broadcast_vocabulary(spark: SparkSession, path: str) -> Broadcast:
@@ -310,13 +332,15 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     vocabulary = broadcast_vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary.value, "decimal", _decimal, "")
-        tokens = {str(i): t for i, t in enumerate(encoder.model.tokens)}
-        for batch in slices(batches, ROWS):
-            ids = [x[:-1] for x in encoder.encode(texts(batch))]
-            n = [x.count(" ") + 1 if x else 0 for x in ids]
-            words = [decode(tokens, x) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        with task_encoder(vocabulary.value, _decimal, "") as encoder:
+            tokens = {str(i): t for i, t in enumerate(encoder.model.tokens)}
+            for batch in slices(batches, ROWS, SIZE):
+                ids = [x[:-1] for x in encoder.encode(texts(batch))]
+                n = [x.count(" ") + 1 if x else 0 for x in ids]
+                words = [decode(tokens, x) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"]
+                )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ROWS, TrieBpe, broadcast_vocabulary, worker_encoder
+from .bpe import ROWS, SIZE, TrieBpe, broadcast_vocabulary, task_encoder
 from .common import cut, slices, texts
 
 LENGTH, END_ID = 2048, 1
@@ -28,16 +28,22 @@ def _packed(model: TrieBpe) -> list[bytes]:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n (tokens with the end id), width (bytes of a token) and ids of each row, unshuffled."""
+    """doc_id, n (tokens with the end id), width (bytes of a token) and ids of each row, unshuffled.
+
+    Null and empty texts are the end id alone; repeated rows and rows without an id are tokenised
+    each; other columns are ignored; an empty table gives an empty result.
+    """
     vocabulary = broadcast_vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary.value, "packed", _packed, b"")
-        last, width = encoder.units[end_id], len(encoder.units[0])
-        for batch in slices(batches, ROWS):
-            ids = [x + last for x in encoder.encode(texts(batch))]
-            n = [len(x) // width for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([width] * len(n), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n", "width", "ids"])
+        with task_encoder(vocabulary.value, _packed, b"") as encoder:
+            last, width = encoder.units[end_id], len(encoder.units[0])
+            for batch in slices(batches, ROWS, SIZE):
+                ids = [x + last for x in encoder.encode(texts(batch))]
+                n = [len(x) // width for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([width] * len(n), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n", "width", "ids"]
+                )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n long, width int, ids binary")
