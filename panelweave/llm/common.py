@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: Rows of one key from which on it is joined by broadcast, and rows that such a broadcast may have.
+HOT_ROWS, BROADCAST_ROWS = 20_000, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; make one only where none is set (tests)."""
+    """Use the shared folder named by the cluster; make one only where none is set and Spark is local (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -32,6 +36,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, per: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with the stored ``table``, which has one row for each key and, in ``weight``, how many of ``rows`` have it.
+
+    Keys of more than ``per`` rows would fill a task each; they are broadcast, as there are few: at most
+    a ``per``-th of the rows. They are counted first; were they over BROADCAST_ROWS, the join is a plain one.
+    """
+    on, hot = list(on), table.where(F.col(weight) > per)
+    n = hot.count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return rows.join(table, on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(weight) <= per), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
+def free_names(columns: Sequence[str], *names: str) -> list[str]:
+    """The names with as many underscores behind them as set them apart from ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows and, beyond one row, ``size`` bytes of text, so that few texts are Python objects at a time."""
     for batch in batches:
@@ -59,17 +88,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``limit`` labelled rows outside the held-out fold.
+    """Stored (doc_id, text, label): at most ``limit`` labelled rows outside the held-out fold, one for each doc_id.
 
     The sample is the ``limit`` smallest hashes of the ids, so it is the same on each run. It has a
-    fixed bound, hence the broadcast; the documents are filtered as they are scanned.
+    fixed bound, hence the broadcast; the documents are filtered as they are scanned. Of rows that
+    share an id, the least text counts, and the greatest label.
     """
     sample = (
-        labels.select("doc_id", F.col(label).cast("int").alias("label"))
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    return cut(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))

@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are read as classes: insult, threat, target (whom it addresses), negation, report (that somebody
-said it), other. Five small transducers rewrite the classes of a clause one after the other: negation
-and reported speech weaken insults and threats that follow, a target near an insult aims it, a target
-soon after a threat makes it one, and the last machine weighs what is left. Their composition is one
-table of (state, class) -> (state, weight), and a clause's score is the sum along its path.
+said it), other. Marks are symbols too: a pause (comma, colon, dash, bracket), a quotation mark, the end
+of a sentence. Five small transducers rewrite the symbols of a line one after the other: negation and
+reported speech weaken insults and threats that follow, a target before an insult aims it, an insult
+is aimed by a target soon after it, and a threat needs a target soon after it. Their composition is one
+table of (state, symbol) -> (state, weight); a clause's score is the sum along its part of the path.
 
 Insults come from a fixed list and from the labelled rows: stems, that is beginnings of words, that stand
-in toxic documents, in many different surroundings, and hardly in others. A stem covers its inflections. How clause scores turn into a probability is learned too.
+in toxic documents, in many different surroundings, and hardly in others; those that stand mostly in
+toxic ones are mild insults. A stem covers its inflections. How clause scores turn into a probability is learned too.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, slices, training_rows
+from .common import free_names, held_out, slices, training_rows
 
 #: Labelled rows that the lexicon and the calibration are learned from, at most.
 SAMPLE_ROWS = 20_000
 #: A learned insult: so many different surroundings in toxic documents, and a lower bound of their share.
 #: A stem needs more than a whole word (written with a final $), as it also covers words not seen.
 WITNESSES, STEM_SHARE, WORD_SHARE = 5, 0.85, 0.7
+#: From this lower bound on a stem or word is a mild insult, of which it takes several.
+MILD_SHARE = 0.5
 #: Lengths of stems.
 SHORTEST, LONGEST = 4, 9
 MOST_EVIDENCE = 8.0
@@ -41,37 +45,71 @@ THREATS = "kill murder hurt destroy beat stab shoot strangle burn crush hunt tö
 TARGETS = "you your yours yourself he him she her they them du dich euch ihr sie tu toi vous usted ustedes ellos"
 NEGATIONS = "not no never neither nor isn't aren't wasn't don't won't kein keine nicht pas jamais nunca jamás"
 REPORTS = "said says say called calls wrote writes claimed claims reported quoted told accused sagte nannte dit dijo"
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, WEAK_INSULT, WEAK_THREAT, AIMED, AIM, THREATENED = range(11)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MILD, PAUSE, QUOTE, END, WEAK_INSULT, WEAK_THREAT, WEAK_MILD, AIMED, AIM, THREATENED = range(16)
+MARKS = (PAUSE, QUOTE, END)
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:,()\"\n\r|]+")
+_TOKEN = re.compile(r"""([^\W\d_]+(?:'[^\W\d_]+)?)|([.!?;|]+)|([,:()\[\]\u2013\u2014])|(["\u201c\u201d\u201e\u00ab\u00bb])""")
+#: Words that a parenthesis between two pauses may have, over which a negation reaches.
+PARENTHESIS = 4
 
 #: state, symbol -> state, symbol; and, in the last machine, the weight.
 Machine = Callable[[int, int], tuple[int, int]]
 
+_WEAKER = {INSULT: WEAK_INSULT, THREAT: WEAK_THREAT, MILD: WEAK_MILD}
+
 
 def _negation(state: int, symbol: int) -> tuple[int, int]:
-    """The three words after a negation are weakened; the state counts them."""
+    """The three words after a negation are weakened. States 1-3 count them; from 4 on, a parenthesis leaves the count as it is."""
     if symbol == NEGATION:
         return 3, symbol
-    weak = {INSULT: WEAK_INSULT, THREAT: WEAK_THREAT}.get(symbol, symbol) if state else symbol
-    return max(0, state - 1), weak
+    if symbol == END:
+        return 0, symbol
+    if state > 3:
+        left, words = divmod(state - 4, PARENTHESIS)
+        if symbol == PAUSE:
+            return left + 1, symbol
+        return (state - 1 if words else 0) if symbol != QUOTE else state, symbol
+    if symbol == PAUSE:
+        return (4 + (state - 1) * PARENTHESIS + PARENTHESIS - 1 if state else 0), symbol
+    if symbol == QUOTE:
+        return state, symbol
+    return max(0, state - 1), _WEAKER.get(symbol, symbol) if state else symbol
 
 
 def _reported(state: int, symbol: int) -> tuple[int, int]:
-    """Whatever follows a verb of saying in the clause is somebody else's."""
+    """What follows a verb of saying in its sentence, or in the quotation that it opens, is somebody else's.
+
+    States: 1 after the verb, 2 in its quotation, 3 in a quotation without a verb so far.
+    """
     if symbol == REPORT:
-        return 1, symbol
-    return state, {INSULT: WEAK_INSULT, THREAT: WEAK_THREAT}.get(symbol, symbol) if state else symbol
+        return (1, 1, 2, 2)[state], symbol
+    if symbol == QUOTE:
+        return (3, 2, 0, 0)[state], symbol
+    if symbol == END:
+        return (0, 0, 2, 3)[state], symbol
+    return state, _WEAKER.get(symbol, symbol) if state in (1, 2) else symbol
+
 
+def _less(state: int, symbol: int) -> int:
+    """One word fewer to go; marks inside a sentence are no words."""
+    return 0 if symbol == END else state if symbol in MARKS else max(0, state - 1)
 
-def _aimed(state: int, symbol: int) -> tuple[int, int]:
-    """A target up to four words before an insult, or up to three after it, aims it. States 1-4: after a target, 5-7: after an insult."""
+
+def _targeted(state: int, symbol: int) -> tuple[int, int]:
+    """A target up to four words before an insult aims it."""
     if symbol == TARGET:
-        return 4, AIM if state >= 5 else TARGET
-    if symbol == INSULT:
-        return 7, AIMED if 1 <= state <= 4 else INSULT
-    return (state - 1 if state not in (0, 1, 5) else 0), symbol
+        return 4, symbol
+    return _less(state, symbol), AIMED if symbol == INSULT and state else symbol
+
+
+def _insulted(state: int, symbol: int) -> tuple[int, int]:
+    """An insult makes the first target of the next three words the one that is meant."""
+    if symbol in (INSULT, AIMED):
+        return 3, symbol
+    if symbol == TARGET and state:
+        return 0, AIM
+    return _less(state, symbol), symbol
 
 
 def _threatened(state: int, symbol: int) -> tuple[int, int]:
@@ -80,10 +118,12 @@ def _threatened(state: int, symbol: int) -> tuple[int, int]:
         return 3, OTHER
     if state and symbol in (TARGET, AIM):
         return 0, THREATENED
-    return max(0, state - 1), symbol
+    return _less(state, symbol), symbol
 
 
-WEIGHTS = {INSULT: 1.0, AIMED: 1.5, AIM: 0.5, WEAK_INSULT: 0.4, THREATENED: 1.5, WEAK_THREAT: 0.1}
+#: The five machines in the order in which they read each other's symbols, with the number of their states.
+MACHINES: list[tuple[Machine, int]] = [(_negation, 4 + 3 * PARENTHESIS), (_reported, 4), (_targeted, 5), (_insulted, 4), (_threatened, 4)]
+WEIGHTS = {INSULT: 1.0, AIMED: 1.5, AIM: 0.5, WEAK_INSULT: 0.4, MILD: 0.4, THREATENED: 1.5, WEAK_THREAT: 0.1, WEAK_MILD: 0.1}
 
 
 def compose(first: Machine, second: Machine, states: int) -> Machine:
@@ -97,14 +137,14 @@ def compose(first: Machine, second: Machine, states: int) -> Machine:
     return both
 
 
+@cache
 def grammar() -> list[list[tuple[int, float]]]:
-    """The composition as a table: for each state and word class, the next state and the weight. State 0 begins."""
-    machine = reduce(lambda m, n: compose(m, n[0], n[1]), [(_reported, 2), (_aimed, 8), (_threatened, 4)], _negation)
+    """The composition as a table: for each state and input symbol, the next state and the weight. State 0 begins."""
+    machine = reduce(lambda m, n: compose(m, n[0], n[1]), MACHINES[1:], MACHINES[0][0])
     number, table, todo = {0: 0}, [], [0]
-    while todo:
-        at = todo.pop(0)
+    for at in todo:
         row = []
-        for symbol in range(6):
+        for symbol in range(END + 1):
             to, out = machine(at, symbol)
             if to not in number:
                 number[to] = len(number)
@@ -122,21 +162,24 @@ def lexicon() -> dict[str, int]:
 
 
 class Matcher:
-    """The grammar with the fixed lexicon and learned stems of insults."""
-
-    def __init__(self, stems: Iterable[str] = ()) -> None:
-        self.words, self.table, stems = lexicon(), grammar(), list(stems)
-        self.words = dict.fromkeys([s[:-1] for s in stems if s[-1] == "$"], INSULT) | self.words
-        self.hot = frozenset(w for w, s in self.words.items() if s in (INSULT, THREAT))
-        self.stems = frozenset(s for s in stems if s[-1] != "$")
+    """The grammar with the fixed lexicon and learned stems of insults and mild insults; a final $ marks whole words."""
+
+    def __init__(self, insults: Iterable[str] = (), mild: Iterable[str] = ()) -> None:
+        self.table, self.words, self.stems = grammar(), lexicon(), {}
+        for learned, symbol in ((insults, INSULT), (mild, MILD)):
+            for s in learned:
+                known = self.words if s[-1] == "$" else self.stems
+                known.setdefault(s.removesuffix("$"), symbol)
+        self.hot = frozenset(w for w, s in self.words.items() if s in (INSULT, THREAT, MILD))
         self.heads = frozenset(s[:SHORTEST] for s in self.stems)
 
     def symbol(self, word: str) -> int:
         known = self.words.get(word)
         if known is None:
             known = OTHER
-            if word[:SHORTEST] in self.heads and any(word[:k] in self.stems for k in range(SHORTEST, min(len(word), LONGEST) + 1)):
-                known = INSULT
+            if word[:SHORTEST] in self.heads:
+                found = {self.stems.get(word[:k]) for k in range(SHORTEST, min(len(word), LONGEST) + 1)}
+                known = INSULT if INSULT in found else MILD if MILD in found else OTHER
         return known
 
     def possible(self, text: str) -> bool:
@@ -145,16 +188,22 @@ class Matcher:
         return not self.hot.isdisjoint(words) or not self.heads.isdisjoint({w[:SHORTEST] for w in words})
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of the clauses of the lower-cased text that match."""
-        out, start = [], 0
-        for m in _CLAUSE.finditer(text + "\n"):
-            state, score = 0, 0.0
-            for w in _WORD.findall(text, start, m.start()):
-                state, weight = self.table[state][self.symbol(w)]
-                score += weight
-            if score:
-                out.append((start, m.start(), score))
-            start = m.end()
+        """(start, end, score) of the clauses of the lower-cased text that match. A line begins anew; a sentence end is a symbol."""
+        out, begin = [], 0
+        for line in text.replace("\u2019", "'").split("\n"):
+            if self.possible(line):
+                state, score, start = 0, 0.0, 0
+                for m in _TOKEN.finditer(line):
+                    kind = m.lastindex
+                    state, weight = self.table[state][self.symbol(m[1]) if kind == 1 else (END, PAUSE, QUOTE)[kind - 2]]
+                    score += weight
+                    if kind == 2:
+                        if score:
+                            out.append((begin + start, begin + m.start(), score))
+                        score, start = 0.0, m.end()
+                if score:
+                    out.append((begin + start, begin + len(line), score))
+            begin += len(line) + 1
         return out
 
 
@@ -189,59 +238,63 @@ def _witnesses(stems: frozenset[str]) -> Callable[[Iterable[pa.RecordBatch]], It
     return run
 
 
-def learn_insults(train: DataFrame) -> list[str]:
-    """Stems that mark the toxic documents of ``train`` (text, label); both collected tables are bounded by its rows."""
+def learn_insults(train: DataFrame) -> tuple[list[str], list[str]]:
+    """Insults and mild insults of the toxic documents of ``train`` (text, label); a stem is collected only if it stands in several of its texts."""
     n_bad, n_good = (F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)) for k in (1, 0))
     counts = train.select("text", "label").mapInArrow(_stem_counts, "stem string, label int, n long").groupBy("stem").agg(n_bad.alias("bad"), n_good.alias("good"))
     n, z = F.col("bad") + F.col("good"), 1.64
     p = F.col("bad").cast("double") / n  # Wilson's lower bound of the share of toxic documents
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    likely = {r["stem"]: r["bad"] for r in counts.where(low >= F.when(F.col("stem").endswith("$"), WORD_SHARE).otherwise(STEM_SHARE)).select("stem", "bad").collect()}
+    clear = low >= F.when(F.col("stem").endswith("$"), WORD_SHARE).otherwise(STEM_SHARE)
+    likely = {r["stem"]: (r["bad"], r["clear"]) for r in counts.where((low >= MILD_SHARE) & (F.col("bad") >= WITNESSES)).select("stem", "bad", clear.alias("clear")).collect()}
     if not likely:
-        return []
+        return [], []
     around = train.where("label = 1").select("text").mapInArrow(_witnesses(frozenset(likely)), "stem string, around long").distinct()
-    seen = around.groupBy("stem").agg(F.count(F.lit(1)).alias("witnesses")).where(F.col("witnesses") >= WITNESSES)
-    return fewest({r["stem"]: likely[r["stem"]] for r in seen.collect()})
+    seen = [r["stem"] for r in around.groupBy("stem").agg(F.count(F.lit(1)).alias("witnesses")).where(F.col("witnesses") >= WITNESSES).collect()]
+    insults = fewest({s: likely[s][0] for s in seen if likely[s][1]})
+    return insults, fewest({s: likely[s][0] for s in seen if not likely[s][1]})
 
 
 def fewest(stems: dict[str, int]) -> list[str]:
     """Of stems with their counts, the shortest ones that cover the rest, each as long as it covers nearly as much."""
+    longer: dict[str, list[str]] = {}
+    for s in sorted(stems):
+        longer.setdefault(s[:-1], []).append(s)
     out = []
     for s in sorted(stems):
         if any(s[:k] in stems for k in range(1, len(s))):
             continue  # a shorter stem covers it
-        while longer := [t for t in stems if len(t) == len(s) + 1 and t.startswith(s) and stems[t] >= 0.9 * stems[s]]:
-            s = longer[0]
+        while more := [t for t in longer.get(s, ()) if stems[t] >= 0.9 * stems[s]]:
+            s = more[0]
         out.append(s)
     return out
 
 
-def _evidence(stems: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _evidence(stems: tuple[list[str], list[str]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Two more columns behind those of the input, which has ``text``: the sum of clause scores and the number of matched clauses."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(stems)
+        matcher = Matcher(*stems)
         for batch in slices(batches):
-            total, n = [], []
-            for text in batch.column("text").to_pylist():
-                text = (text or "").lower()
-                found = matcher.clauses(text) if matcher.possible(text) else []
-                total.append(float(sum(s for _, _, s in found)))
-                n.append(len(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, "__evidence", "__n_clauses"])
+            found = [matcher.clauses(text.lower()) if text else [] for text in batch.column("text").to_pylist()]
+            total, n = [float(sum(s for _, _, s in f)) for f in found], [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, *free_names(batch.schema.names, "evidence", "n_clauses")])
 
     return run
 
 
-def with_evidence(df: DataFrame, stems: list[str]) -> DataFrame:
-    """``df`` with the sum of clause scores and the number of matched clauses; rows stay where they are."""
-    schema = T.StructType([*df.schema.fields, T.StructField("__evidence", T.DoubleType()), T.StructField("__n_clauses", T.LongType())])
-    return df.mapInArrow(_evidence(stems), schema)
+def with_evidence(df: DataFrame, stems: tuple[list[str], list[str]]) -> tuple[DataFrame, str, str]:
+    """``df`` with the sum of clause scores and the number of matched clauses, and the names of these two; rows stay where they are."""
+    total, n = free_names(df.columns, "evidence", "n_clauses")
+    schema = T.StructType([*df.schema.fields, T.StructField(total, T.DoubleType()), T.StructField(n, T.LongType())])
+    return df.mapInArrow(_evidence(stems), schema), total, n
 
 
 def calibrate(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
-    """Weights of 1, "any evidence" and the evidence in a logistic model of (evidence, label, count)."""
+    """Weights of 1, of evidence up to a plain insult's, and of all evidence in a logistic model of (evidence, label, count)."""
     if not rows:
         return -3.0, 5.0, 0.5
-    x = np.array([[1.0, float(e > 0), min(e, MOST_EVIDENCE)] for e, _, _ in rows])
+    x = np.array([[1.0, min(e, 1.0), min(e, MOST_EVIDENCE)] for e, _, _ in rows])
     y, n = np.array([float(r[1]) for r in rows]), np.array([float(r[2]) for r in rows])
     prior, pull = np.array([-3.0, 5.0, 0.5]), np.array([0.1, 1.0, 4.0])
     w = prior.copy()
@@ -254,15 +307,15 @@ def calibrate(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], Column]:
-    """The learned stems, and the score as a column over with_evidence(), learned from at most so many labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[tuple[list[str], list[str]], Callable[[str], Column]]:
+    """The learned stems, and the score as a function of the evidence column's name, learned from at most so many labelled rows."""
     train = training_rows(docs, labels, "toxic", sample_rows)
     stems = learn_insults(train)
-    level = F.round(F.least("__evidence", F.lit(MOST_EVIDENCE)), 1)
-    grouped = with_evidence(train.select("text", "label"), stems).groupBy(level.alias("e"), "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 81 x 2 rows
+    seen, total, _ = with_evidence(train.select("text", "label"), stems)
+    level = F.round(F.least(total, F.lit(MOST_EVIDENCE)), 1)
+    grouped = seen.groupBy(level.alias("e"), "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 81 x 2 rows
     a, b, c = calibrate(sorted((r["e"], r["label"], r["n"]) for r in grouped))
-    logit = F.lit(a) + F.when(F.col("__evidence") > 0, b).otherwise(0.0) + c * F.least("__evidence", F.lit(MOST_EVIDENCE))
-    return stems, 1 / (1 + F.exp(-logit))
+    return stems, lambda e: 1 / (1 + F.exp(-(F.lit(a) + b * F.least(e, F.lit(1.0)) + c * F.least(e, F.lit(MOST_EVIDENCE)))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -275,11 +328,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stems, score = fit(docs, labels, sample_rows)
-    out = with_evidence(docs, stems)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.col("__n_clauses").alias("n_clauses"), F.col("__evidence").alias("evidence"))
+    out, _, _ = with_evidence(docs, stems)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("evidence").alias("score"), "n_clauses", "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with all their columns, unshuffled."""
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns, unshuffled.
+
+    Each row is judged by its own text: null and empty texts have no evidence, repeated rows and rows
+    without an id stay or go by their text alone. Columns may have any names; an empty table gives an
+    empty result.
+    """
     stems, score = fit(docs, labels)
-    return with_evidence(docs, stems).where(score < threshold).select(*docs.columns)
+    out, total, _ = with_evidence(docs, stems)
+    return out.where(score(total) < threshold).select(*(f"`{c}`" for c in docs.columns))
