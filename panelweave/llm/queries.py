@@ -38,7 +38,8 @@ def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
     digest = F.sha2(pii.spans_text(base).cast("binary"), 256)
-    return found.select("doc_id", *map(count, pii.KINDS), digest.alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+    more = count(pii.SECRET), F.size(F.filter("spans", lambda s: s["kind"].startswith("term_"))).cast("long").alias("n_term")
+    return found.select("doc_id", *map(count, pii.KINDS), digest.alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"), *more)
 
 
 def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
