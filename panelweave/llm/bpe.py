@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 #: Bytes of encodings that a task keeps, in each of two generations.
-KEEP_BYTES = 48 << 20
+KEEP_BYTES = 112 << 20
 #: Texts whose words are walked together, and their bytes.
 ROWS, SIZE = 1024, 4 << 20
 #: Words of more bytes are encoded one by one, without the encodings of their prefixes.
