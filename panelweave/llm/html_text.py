@@ -1,13 +1,15 @@
 """Text of web pages as a layout shows it.
 
 A tree builder supplies the end tags that HTML lets authors leave out and ignores those that close
-nothing. A walk over the tree then drops what is not displayed and writes the rest: blocks on lines
-of their own, paragraphs apart, list items with their marks, table cells padded to columns.
+nothing. A walk over the tree then drops what is not displayed, by element, attribute or style rule,
+and writes the rest: blocks on lines of their own, paragraphs apart, list items with their marks, table
+cells padded to columns, also where cells span several rows or columns or hold tables themselves.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -33,13 +35,18 @@ IMPLIED = {
     "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, {"table"}),
     "thead": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, {"table"}),
 }
+TABLE_PARTS = frozenset("table tr td th tbody thead tfoot caption body html".split())
 BORDER = frozenset(("table", "td", "th", "caption", "button", "body", "html", "template"))
 
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 #: A tag behind its name, up to its > or the end of the page: a value is quoted only behind =, and an open quote that never closes is none.
 _TAG_REST = re.compile(r"""(?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*+|(?=>|\Z)))?+)*+""")
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DISPLAY = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Cells span so many columns and rows at most, as HTML has it.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -50,22 +57,51 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
-def _tag_end(html: str, start: int) -> int:
-    """The place of the > that ends a tag, outside of quotes; the page's end if all stand in quotes; -1 without any."""
-    return _TAG_REST.match(html, start).end() if html.find(">", start) >= 0 else -1
+class _Open:
+    """The open elements, and at which depths those of each name are, so that no search walks through the stack."""
 
+    def __init__(self, root: Node) -> None:
+        self.stack, self.depths = [root], {}
 
-def parse(html: str) -> Node:
-    """The tree of a page; never fails."""
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at this depth and all in it."""
+        for node in self.stack[depth:]:
+            self.depths[node.tag].pop()
+        del self.stack[depth:]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The greatest depth of an open element of these names, 0 without one."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def close(self, tag: str) -> None:
+        """Close the nearest open element of this name; a table's cell keeps inner end tags to itself."""
+        depth = self.last((tag,))
+        if depth and (tag in TABLE_PARTS or self.last(("td", "th", "caption")) <= depth):
+            self.cut(depth)
+
+    def close_within(self, tags: Iterable[str], border: Iterable[str]) -> None:
+        """Close the outermost open element of these names that stands inside the border."""
+        edge = self.last([t for t in border if t not in tags])
+        inside = [d[i] for t in tags if (d := self.depths.get(t)) and (i := bisect_right(d, edge)) < len(d)]
+        if inside:
+            self.cut(min(inside))
+
+
+def parse(html: str) -> tuple[Node, list[str]]:
+    """The tree of a page and the texts of its style elements for the screen; never fails."""
     root = Node("#root", {})
-    stack = [root]
-    at, n = 0, len(html)
+    opened, styles = _Open(root), []
+    at, n, last_end = 0, len(html), html.rfind(">")
     while at < n:
         mark = html.find("<", at)
         if mark < 0:
             mark = n
         if mark > at:
-            stack[-1].kids.append(html[at:mark])
+            opened.stack[-1].kids.append(html[at:mark])
         at = mark
         if at >= n:
             break
@@ -77,58 +113,98 @@ def parse(html: str) -> Node:
             end = html.find(">", at)
             at = n if end < 0 else end + 1
             continue
+        if at > last_end:  # no tag can end here any more
+            rest = html[at:]
+            stop = re.search("<[!?]", rest)
+            opened.stack[-1].kids.append(rest[: stop.start()] if stop else rest)
+            break
         m = _NAME.match(html, at)
-        end = _tag_end(html, m.end()) if m else -1
-        if end < 0:
-            stack[-1].kids.append("<")
+        if not m or m.end() > last_end:
+            opened.stack[-1].kids.append("<")
             at += 1
             continue
+        end = _TAG_REST.match(html, m.end()).end()  # the > outside of quotes; the page's end if all stand in quotes
         tag, closing = m[1].lower(), html[at + 1] == "/"
         inside, at = html[m.end() : end], end + 1
         if closing:
-            _close(stack, tag)
+            opened.close(tag)
             continue
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(inside)} if inside.strip(" /") else {}
         if tag in CLOSES_P:
-            _close_within(stack, {"p"}, BORDER)
+            opened.close_within(("p",), BORDER)
         if tag in IMPLIED:
-            _close_within(stack, *IMPLIED[tag])
-        if tag == "table":
-            _close_within(stack, {"p"}, BORDER)
+            opened.close_within(*IMPLIED[tag])
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
+        opened.stack[-1].kids.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             node.kids.append(html[at : stop.start() if stop else n])
+            if tag == "style" and attrs.get("media", "all").lower() in ("", "all", "screen"):
+                styles.append(node.kids[0])
             if not stop:
                 break
             end = html.find(">", stop.end())
             at = n if end < 0 else end + 1
         elif tag not in VOID and not inside.endswith("/"):
-            stack.append(node)
-    return root
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    """Close the nearest open element of this name and all in it; a table's cell keeps inner end tags to itself."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in ("td", "th", "caption") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "body", "html"):
-            return
-
-
-def _close_within(stack: list[Node], tags: set[str], border: Iterable[str]) -> None:
-    """Close the outermost open element of these names that stands inside the border."""
-    last = 0
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            last = i
-        elif stack[i].tag in border:
-            break
-    if last:
-        del stack[last:]
+            opened.push(node)
+    return root, styles
+
+
+class Rules:
+    """What style rules of one simple selector (a name, classes, an id) say about display and visibility.
+
+    The more specific rule wins, then the later one; a style attribute wins over rules. Selectors of
+    several elements are not followed, nor blocks for other media than the screen.
+    """
+
+    def __init__(self, styles: Iterable[str]) -> None:
+        self.by_key: dict[str, list[tuple[tuple[int, int], str, frozenset[str], dict[str, str]]]] = {}
+        number = 0
+        for text in styles:
+            for selectors, said in _blocks(_COMMENT.sub("", text)):
+                for one in selectors.split(","):
+                    m = _SELECTOR.fullmatch(one.strip())
+                    if m and m[0] and m[0] != "*":
+                        number += 1
+                        tag, marks = (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))
+                        weight = 100 * sum(x[0] == "#" for x in marks) + 10 * sum(x[0] == "." for x in marks) + (tag != "*")
+                        self.by_key.setdefault(min(marks, default=tag), []).append(((weight, number), tag, marks, said))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """display and visibility as far as they are set for the element itself."""
+        out: dict[str, str] = {}
+        if self.by_key:
+            own = {"." + c for c in node.attrs.get("class", "").split()}
+            if "id" in node.attrs:
+                own.add("#" + node.attrs["id"])
+            fits = [(w, said) for k in (*own, node.tag) for w, tag, marks, said in self.by_key.get(k, ()) if tag in ("*", node.tag) and marks <= own]
+            for _, said in sorted(fits, key=lambda f: f[0]):
+                out |= said
+        return out | _said(node.attrs["style"]) if "style" in node.attrs else out
+
+
+def _said(declarations: str) -> dict[str, str]:
+    return {m[1].lower(): m[2].lower() for m in _DISPLAY.finditer(declarations)}
+
+
+def _blocks(text: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """Selectors and what they say, of the rules that apply to a screen and speak of display or visibility."""
+    at, skip = 0, 0  # how many blocks for other media are open
+    while (m := re.compile(r"[{}]").search(text, at)) is not None:
+        head = text[at : m.start()].rpartition(";")[2].strip()
+        at = m.end()
+        if m[0] == "}":
+            skip = max(0, skip - 1)
+        elif skip or head.startswith("@"):
+            if skip or not re.match(r"@media\s+(?:only\s+)?(?:screen|all)\b|@supports|@layer", head):
+                skip += 1
+        else:
+            end = text.find("}", at)
+            end = len(text) if end < 0 else end
+            said = _said(text[at:end])
+            if said:
+                yield head, said
+            at = end + 1
 
 
 class _Writer:
@@ -136,7 +212,7 @@ class _Writer:
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.breaks, self.space, self.mark = 0, False, ""
+        self.breaks, self.space, self.mark, self.aligned = 0, False, "", False
 
     def text(self, s: str) -> None:
         s = _SPACE.sub(" ", s)
@@ -172,32 +248,81 @@ class _Writer:
         return "".join(self.parts)
 
 
-def _hidden(node: Node) -> bool:
-    a = node.attrs
-    return node.tag in HIDDEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or bool(_UNSEEN.search(a.get("style", "")))
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "").strip()
+    n = int(value) if value.isdecimal() and len(value) < 10 else 1
+    return min(n, most) or (most if name == "rowspan" else 1)
 
 
-def render(root: Node) -> str:
+def layout(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """The lines of a table whose rows have cells (lines, columns, rows spanned); columns in which no cell begins take no room.
+
+    A cell stands in the first column that cells from above leave free. Its text is in its first row; it
+    is padded to the width of all columns that it spans.
+    """
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    until: dict[int, tuple[int, int]] = {}  # column: end row and end column of a cell from above
+    for r, cells in enumerate(rows):
+        column, row = 0, []
+        for lines, wide, high in cells:
+            while column in until and until[column][0] > r:
+                column = until[column][1]
+            row.append((column, column + wide, lines))
+            if high > 1:
+                for c in range(column, column + wide):
+                    until[c] = r + high, column + wide
+            column += wide
+        placed.append(row)
+    begins = sorted({c for row in placed for c, _, _ in row})
+    number = {c: i for i, c in enumerate(begins)}
+    width = [0] * len(begins)
+    spread = []
+    for row in placed:
+        for c, end, lines in row:
+            i, j, size = number[c], bisect_right(begins, end - 1), max(map(len, lines), default=0)
+            if j - i == 1:
+                width[i] = max(width[i], size)
+            else:
+                spread.append((j - i, i, j, size))
+    for _, i, j, size in sorted(spread):  # what a wide cell lacks goes to its last column
+        width[j - 1] += max(0, size - sum(width[i:j]) - 3 * (j - i - 1))
+    out = []
+    for row in placed:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            parts, at = [], 0
+            for c, end, lines in row:
+                i, j = number[c], bisect_right(begins, end - 1)
+                parts += [" " * width[x] for x in range(at, i)]
+                parts.append((lines[k] if k < len(lines) else "").ljust(sum(width[i:j]) + 3 * (j - i - 1)))
+                at = j
+            out.append(" | ".join(parts).rstrip())
+    return out
+
+
+def render(root: Node, styles: Iterable[str] = ()) -> str:
     """The visible text of a tree, without recursion, so that deep trees are safe."""
-    out = _Writer()
+    out, rules = _Writer(), Rules(styles)
     writers, tables, lists, pre = [], [], [], 0
     inside = dict.fromkeys(HIDDEN_IN, 0)
+    seen = [True]  # visibility, which elements inherit and may set anew
     todo: list[tuple[Node | str, bool]] = [(root, True)]
     while todo:
         node, entering = todo.pop()
         if isinstance(node, str):
-            if pre:
-                out.verbatim(unescape(node))
-            else:
-                out.text(unescape(node))
+            if seen[-1]:
+                (out.verbatim if pre else out.text)(unescape(node))
             continue
         tag = node.tag
         if entering:
-            if _hidden(node) or any(n and tag in HIDDEN_IN[t] for t, n in inside.items()):
+            said = rules.of(node) if rules.by_key or "style" in node.attrs else {}
+            shown = said.get("display", "none" if "hidden" in node.attrs else "") != "none"
+            if tag in HIDDEN or not shown or (tag == "input" and node.attrs.get("type", "").lower() == "hidden") or any(n and tag in HIDDEN_IN[t] for t, n in inside.items()):
                 continue
             if tag == "br":
                 out.breaks += 1
                 continue
+            visibility = said.get("visibility")
+            seen.append(seen[-1] if visibility in (None, "inherit") else visibility not in ("hidden", "collapse"))
             if tag == "li":
                 depth = "  " * max(0, len(lists) - 1)
                 if lists and lists[-1] is not None:
@@ -231,26 +356,28 @@ def render(root: Node) -> str:
                 kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"]
             todo.extend((k, True) for k in reversed(kids))
             continue
+        seen.pop()
         pre -= tag == "pre"
         if tag in inside:
             inside[tag] -= 1
         if inside["svg"] and tag == "text":
             out.block(1)
         if tag in ("td", "th") and tables:
-            cell = " ".join(out.done().split())
+            # a table in a cell keeps its lines, other text is one line
+            lines = [x for x in out.done().split("\n") if x] if out.aligned else [" ".join(out.done().split())]
             out = writers.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append(cell)
+            tables[-1][-1].append((lines, _span(node, "colspan", MOST_COLUMNS), _span(node, "rowspan", MOST_ROWS)))
             continue
         if tag in ("ul", "ol", "menu") and lists:
             lists.pop()
         elif tag == "table" and tables:
-            rows = [r for r in tables.pop() if any(r)]
-            width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-            for r in rows:
-                out.block(1 if r is not rows[0] else 2)
-                out.verbatim(" | ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip())
+            out.aligned = True
+            lines = [x for x in layout(tables.pop()) if x.strip(" |")]
+            for i, x in enumerate(lines):
+                out.block(1 if i else 2)
+                out.verbatim(x)
         if tag in APART:
             out.block(1 if tag in ("ul", "ol") and lists else 2)
         elif tag in BLOCK:
@@ -261,13 +388,13 @@ def render(root: Node) -> str:
 
 
 def extract(html: str | None) -> str:
-    return render(parse(html)) if html else ""
+    return render(*parse(html)) if html else ""
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        out = [extract(h) for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], [*batch.schema.names[:-1], "__text"])
+        out = [extract(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], batch.schema.names)
 
 
 def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -276,6 +403,5 @@ def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> Data
     Null and empty pages give an empty text; broken markup gives the text that a tolerant reader sees.
     Repeated rows are rendered each; other columns are ignored; an empty table gives an empty result.
     """
-    pages = pages.select(*keep, F.col("html").cast("string").alias("html"))
-    schema = T.StructType([*pages.schema.fields[:-1], T.StructField("__text", T.StringType())])
-    return pages.mapInArrow(_extracted, schema).withColumnRenamed("__text", "text")
+    pages = pages.select(*keep, F.col("html").cast("string").alias("text"))
+    return pages.mapInArrow(_extracted, T.StructType([*pages.schema.fields[:-1], T.StructField("text", T.StringType())]))

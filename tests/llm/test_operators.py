@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -296,3 +297,44 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert "[EMAIL]" in spark.read.parquet(str(tmp_path / "stage3")).where("doc_id = 6").first().text
     direct = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, direct.collect())) == sorted(map(str, got.collect()))
+
+
+def test_html_is_linear():
+    begin = time.time()
+    assert html_text.extract("<div>" * 200_000 + "deep") == "deep"
+    assert html_text.extract("<a " * 3_000_000) is not None and html_text.extract("<p><span>" * 50_000 + "x") == "x"
+    assert time.time() - begin < 40
+
+
+def test_html_spans_nested_tables_and_rules():
+    assert html_text.extract("<table><tr><td colspan=2>wide heading<td>c<tr><td>1<td>2<td>3<tr><td rowspan=2>r<td>x<td>y<tr><td>p<td>q</table>") == "wide heading | c\n1 | 2        | 3\nr | x        | y\n  | p        | q"
+    assert html_text.extract("<table><tr><td>a<td><table><tr><td>in1<td>in2<tr><td>in3<td>in4</table><td>z</table>") == "a | in1 | in2 | z\n  | in3 | in4 |"
+    page = "<style>.x{display:none} @media print{.y{display:none}} p.z,#q{visibility:hidden} .w{display:none}</style><p class=x>no</p><p class=y>yes</p><p class=z>no<b style='visibility:visible'>seen</b></p><div id=q>no</div><p class=w style='display:block'>inline</p>"
+    assert html_text.extract(page) == "yes\n\nseen\n\ninline"
+
+
+def test_html_tables_equal_a_grid():
+    """Random spans against a grid that is filled cell by cell."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        rows = [[(f"c{r}{i}" * int(rng.integers(1, 3)), int(rng.integers(1, 4)), int(rng.integers(1, 4))) for i in range(rng.integers(1, 5))] for r in range(rng.integers(1, 6))]
+        taken, begin = set(), {}
+        for r, cells in enumerate(rows):
+            c = 0
+            for text, wide, high in cells:
+                while (r, c) in taken:
+                    c += 1
+                begin[text, r] = begin.get((text, r), []) + [c]
+                taken |= {(r + y, c + x) for y in range(high) for x in range(wide)}
+                c += wide
+        lines = html_text.layout([[([t], w, h) for t, w, h in cells] for cells in rows])
+        assert len(lines) == len(rows)
+        at = {}  # cells that begin in the same column begin at the same place of their lines
+        for r, (cells, line) in enumerate(zip(rows, lines, strict=True)):
+            edge = 0
+            for text, _, _ in cells:
+                edge = line.index(text, edge)
+                c = begin[text, r].pop(0)
+                assert at.setdefault(c, edge) == edge
+                edge += len(text)
+        assert [at[c] for c in sorted(at)] == sorted(at.values())
