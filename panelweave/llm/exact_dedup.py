@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, free_names, slices
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 2048, 4096, 16384
 _WINDOW = 32
@@ -120,13 +120,22 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that exact_groups() keeps, with all their columns.
 
-    Rows that share an id stay together if any of them stays, but equal ones of them only once;
-    rows without an id stay. Whole documents move once, to meet the verdict on their id.
+    Null and empty texts are one group. Rows that share an id stay together if any of them stays, but
+    equal ones of them only once. A row without an id stays only if no row of its group has one, and then
+    one of such rows for each group. Columns may have any names; an empty table gives an empty result.
+    Whole documents move once, to meet the verdict on their id.
     """
-    kept = exact_groups(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_kept"))
-    joined = docs.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"))
-    once = joined.where("rows_kept = 1").select(*docs.columns)
-    more = joined.where("rows_kept > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull()))
+    name, n, digest = free_names(docs.columns, "id", "n", "digest")
+    groups = cut(exact_groups(docs))
+    kept = groups.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(n))
+    columns = [f"`{c}`" for c in docs.columns]
+    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col(name))
+    once = joined.where(F.col(n) == 1).select(*columns)
+    more = joined.where(F.col(n) > 1).select(*columns).dropDuplicates(["doc_id", "text"])
+    nameless = docs.where(F.col("doc_id").cast("long").isNull())
+    alone = groups.where("kept and doc_id is null").select(F.col("text_sha256").alias(digest)).distinct()
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " ")
+    nameless = nameless.withColumn(digest, F.sha2(text.cast("binary"), 256)).join(alone, digest, "left_semi").dropDuplicates([digest])
+    return once.unionByName(more).unionByName(nameless.select(*columns))
