@@ -36,17 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, per: int = HOT_ROWS) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
     """Inner join of ``rows`` with the stored ``table``, which has one row for each key and, in ``weight``, how many of ``rows`` have it.
 
-    Keys of more than ``per`` rows would fill a task each; they are broadcast, as there are few: at most
-    a ``per``-th of the rows. They are counted first; were they over BROADCAST_ROWS, the join is a plain one.
+    Keys of more than HOT_ROWS rows would fill a task each; they are broadcast, as there are few: at most
+    a HOT_ROWS-th of the rows. They are counted first; were they over BROADCAST_ROWS, the join is a plain one.
     """
-    on, hot = list(on), table.where(F.col(weight) > per)
+    on, hot = list(on), table.where(F.col(weight) > HOT_ROWS)
     n = hot.count()
     if not 0 < n <= BROADCAST_ROWS:
         return rows.join(table, on)
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(weight) <= per), on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(weight) <= HOT_ROWS), on)
     return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 

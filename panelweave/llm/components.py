@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link the neighbours of each node to the least of them: the larger ones, or the node and its smaller ones."""
+    """Link the neighbours of each node to the least of them: the larger ones, or the node and its smaller ones.
+
+    The centre of a large family has many neighbours; join_hot() keeps them apart.
+    """
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
+        out = join_hot(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
+        least = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        out = join_hot(down, least, ["u"], "n").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
     return out.where("u <> v").distinct()
 
 

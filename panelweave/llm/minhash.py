@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, free_names, slices
 from .components import component_labels
 
 PERMUTATIONS = 72
@@ -33,6 +33,8 @@ PERMUTATIONS = 72
 SKETCH = 128
 #: Ids that may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Rows of one join key that a task gets at most.
+DEALT = 4000
 _SEED = np.random.default_rng(7919)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _FLIP = _SEED.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -206,13 +208,32 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _dealt_join(many: DataFrame, few: DataFrame, keys: list[str], by: str, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``keys`` in which a key with more than DEALT rows of ``many`` (or of ``counted``, where that is cheaper to count) is dealt to several tasks.
+
+    Its rows in ``many`` go by the column ``by``, those in ``few`` to each of the tasks. Such keys are
+    at most a DEALT-th of the rows. Were there more than may be broadcast, the join is a plain one.
+    """
+    n = F.count(F.lit(1))
+    hot = cut((many if counted is None else counted).groupBy(*keys).agg(n.alias("n")).where(F.col("n") > DEALT).select(*keys, F.ceil(F.col("n") / DEALT).cast("int").alias("parts")))
+    if not 0 < hot.count() <= BROADCAST_IDS:
+        return many.join(few, keys)
+    hot, one = F.broadcast(hot), F.lit(1)
+    dealt = many.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", one))).drop("parts")
+    copied = few.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", one).cast("long") - 1))).drop("parts")
+    return dealt.join(copied, [*keys, "part"]).drop("part")
+
+
 def _measured(pairs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(a, b, shared, total, rest) of distinct ``pairs`` (a, b): sizes of intersection and union of the full sets, and what only ``a`` has."""
+    """(a, b, shared, total, rest) of distinct ``pairs`` (a, b): sizes of intersection and union of the full sets, and what only ``a`` has.
+
+    ``b`` may be the head of a large family: its members are dealt to tasks, the head's set goes to each.
+    """
     used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     if 2 * pairs.count() <= BROADCAST_IDS:  # then the texts need not be shuffled to find those compared
         used = F.broadcast(used)
     sets = cut(members.join(used, "id", "left_semi").mapInArrow(_sets(width), "id long, hashes binary"))
-    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    both = _dealt_join(pairs.join(sets.toDF("a", "ha"), "a"), sets.toDF("b", "hb"), ["b"], "a", counted=pairs)
     return cut(both.mapInArrow(_compare, "a long, b long, shared long, total long, rest array<long>"))
 
 
@@ -256,6 +277,7 @@ def _pairs_in_buckets(in_buckets: DataFrame, known: DataFrame, labels: DataFrame
     """Stored (a, b): members of one bucket that are in different components yet and can be near enough.
 
     A grade spans one size ratio of the threshold, so partners are in the same grade or the next.
+    Members of a large bucket are dealt to tasks.
     """
     part = in_buckets.select("bucket", "id", "head", "n", "sketch").join(known.select("id", "head", "shared"), ["id", "head"], "left").join(labels.toDF("id", "component"), "id", "left")
     part = cut(part.withColumn("component", F.coalesce("component", "id")))
@@ -264,7 +286,7 @@ def _pairs_in_buckets(in_buckets: DataFrame, known: DataFrame, labels: DataFrame
     ask, got = _both(rest, ["bucket", "grade"], ["id", "n", "sketch", "shared", "component"])
     ask = ask.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1)))
     within = F.when(F.col("shared_a").isNull() | F.col("shared_b").isNull(), True).otherwise(_reaches(F.least("shared_a", "shared_b"), percent))
-    pairs = ask.join(got, ["bucket", "grade"]).where((F.col("component_a") != F.col("component_b")) & _near(("n_a", "sketch_a"), ("n_b", "sketch_b"), percent) & within)
+    pairs = _dealt_join(got, ask, ["bucket", "grade"], "id_b").where((F.col("component_a") != F.col("component_b")) & _near(("n_a", "sketch_a"), ("n_b", "sketch_b"), percent) & within)
     return cut(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
 
 
@@ -273,7 +295,7 @@ def _pairs_outside_heads(measured: DataFrame, known: DataFrame, percent: int) ->
     families = known.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("head")
     own = measured.select(F.col("a").alias("id"), F.col("b").alias("head"), F.explode("rest").alias("shingle")).join(known.join(families, "head", "left_semi"), ["id", "head"])
     one, two = _both(cut(own), ["head", "shingle"], ["id", "n", "shared", "component"])
-    common = one.join(two, ["head", "shingle"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
+    common = _dealt_join(two, one, ["head", "shingle"], "id_b").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
     common = common.groupBy("head", "id_a", "id_b").agg(F.count(F.lit(1)).alias("both"), *(F.any_value(c).alias(c) for c in ("n_a", "n_b", "shared_a", "shared_b")))
     return cut(common.where(_reaches(F.least("shared_a", "shared_b") + F.col("both"), percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
@@ -316,6 +338,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which one stays for each group of near-duplicates, with all their columns."""
-    ids = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` of which one stays for each group of near-duplicates, with all their columns.
+
+    Null, empty and wordless texts and rows without an id have no duplicates and stay; rows that share a
+    doc_id are one document and stay or go together. Columns may have any names; an empty table gives
+    an empty result.
+    """
+    (name,) = free_names(docs.columns, "id")
+    ids = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col(name), "left_semi").unionByName(docs.where(F.col("doc_id").cast("long").isNull()))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.llm import additive_quant, bpe, exact_dedup, html_text, license_scan, minhash, packing, pii, quality, toxicity
+from panelweave.llm import additive_quant, bpe, common, exact_dedup, html_text, license_scan, minhash, packing, pii, quality, toxicity
 from panelweave.llm.components import component_labels
 from panelweave.llm.queries import ORACLE_SQL, QUERIES, WORD_BPE
 
@@ -56,7 +56,10 @@ def test_exact_chunks_reset_after_a_shared_passage():
     assert len(a & b) >= 5
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("dealt", [4000, 3])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, dealt):
+    monkeypatch.setattr(minhash, "DEALT", dealt)  # with 3, most joins deal their keys
+    monkeypatch.setattr(common, "HOT_ROWS", dealt)
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(300)]
     texts = []
@@ -79,6 +82,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_one_family_of_near_copies(spark):
+    """5,000 copies with a word of their own each, beside texts that share half with them."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    rows = []
+    for i in range(5000):
+        at = int(rng.integers(0, 200))
+        rows.append((i, " ".join([*base[:at], f"own{i}", *base[at + 1 :]])))
+    rows += [(10_000 + i, " ".join([*base[:100], *(f"v{i}x{j}" for j in range(100))])) for i in range(200)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: 0 if i < 5000 else i for i, _ in rows}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "u long, v long")
     got = {r.node: r.component for r in component_labels(edges).collect()}
