@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 #: Rows of one key from which on it is joined by broadcast, and rows that such a broadcast may have.
@@ -61,6 +62,16 @@ def free_names(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: Sequence[T.StructField] = (), drop: Sequence[str] = ()) -> DataFrame:
+    """mapInArrow() over ``df`` whose columns may have any names: inside ``run``, all but ``text`` and those in ``drop`` go by their place.
+
+    ``run`` returns the columns without those in ``drop``, in their order, then those of ``more``.
+    """
+    names = [c if c == "text" or c in drop else f"c{i}" for i, c in enumerate(df.columns)]
+    kept = [(c, T.StructField(n, f.dataType)) for c, n, f in zip(df.columns, names, df.schema.fields, strict=True) if c not in drop]
+    return df.toDF(*names).mapInArrow(run, T.StructType([f for _, f in kept] + list(more))).toDF(*(c for c, _ in kept), *(f.name for f in more))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows and, beyond one row, ``size`` bytes of text, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, join_hot, slices
+from .common import cut, free_names, join_hot, map_rows, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as near it.
@@ -290,4 +290,4 @@ def redact_personal_data(docs: DataFrame) -> DataFrame:
     side = F.broadcast(spans) if size[0] * 32 + size[1] * 48 <= 32 << 20 else spans
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(digest))
     joined = docs.join(side, same, "left").select(*(f"`{c}`" for c in docs.columns), name)
-    return joined.mapInArrow(_redacted(name), docs.schema)
+    return map_rows(joined, _redacted(name), drop=(name,))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, held_out, slices, training_rows
+from .common import free_names, held_out, map_rows, slices, training_rows
 
 #: Labelled rows that the lexicon and the calibration are learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -270,7 +270,7 @@ def fewest(stems: dict[str, int]) -> list[str]:
     return out
 
 
-def _evidence(stems: tuple[list[str], list[str]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _evidence(stems: tuple[list[str], list[str]], *names: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Two more columns behind those of the input, which has ``text``: the sum of clause scores and the number of matched clauses."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def _evidence(stems: tuple[list[str], list[str]]) -> Callable[[Iterable[pa.Recor
         for batch in slices(batches):
             found = [matcher.clauses(text.lower()) if text else [] for text in batch.column("text").to_pylist()]
             total, n = [float(sum(s for _, _, s in f)) for f in found], [len(f) for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, *free_names(batch.schema.names, "evidence", "n_clauses")])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, *names])
 
     return run
 
@@ -286,8 +286,7 @@ def _evidence(stems: tuple[list[str], list[str]]) -> Callable[[Iterable[pa.Recor
 def with_evidence(df: DataFrame, stems: tuple[list[str], list[str]]) -> tuple[DataFrame, str, str]:
     """``df`` with the sum of clause scores and the number of matched clauses, and the names of these two; rows stay where they are."""
     total, n = free_names(df.columns, "evidence", "n_clauses")
-    schema = T.StructType([*df.schema.fields, T.StructField(total, T.DoubleType()), T.StructField(n, T.LongType())])
-    return df.mapInArrow(_evidence(stems), schema), total, n
+    return map_rows(df, _evidence(stems, total, n), [T.StructField(total, T.DoubleType()), T.StructField(n, T.LongType())]), total, n
 
 
 def calibrate(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
