@@ -8,13 +8,13 @@ from ..fixtures import table
 from ..operators import graph as gr
 from .registry import query, r, rounded
 
-EDGES = "SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 50"
+EDGES = "SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 LAYERS = "SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
 
 
 def purchases(spark, sf):
-    """Edges of large purchases: customer to part."""
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").where("l_quantity = 50")
+    """Edges of all purchases: customer to part."""
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
 
 
@@ -32,22 +32,19 @@ _STEPS = ", ".join(f"r{i} AS (SELECT id, 0.15 / (SELECT COUNT(*) FROM n) + 0.85
 query("G-01_pagerank", f"WITH e AS ({LAYERS}), {_NODES}, l AS (SELECT src, dst, COUNT(*) OVER (PARTITION BY src) AS fan FROM e), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT COUNT(*) FROM n) AS score FROM n), {_STEPS} SELECT id, {r('score', 10)} AS score FROM r5")(
     lambda spark, sf: rounded(gr.pagerank(nodes(layers(spark, sf)), layers(spark, sf), rounds=5, tolerance=0), 10)
 )
-query("G-02_degree", f"WITH e AS ({EDGES}), {_NODES} SELECT id, (SELECT COUNT(*) FROM e WHERE dst = id) AS in_degree, (SELECT COUNT(*) FROM e WHERE src = id) AS out_degree, (SELECT COUNT(*) FROM e WHERE dst = id OR src = id) AS degree FROM n")(
+query("G-02_degree", f"""WITH e AS ({EDGES}), d AS (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e)
+  SELECT id, SUM(i)::BIGINT AS in_degree, SUM(o)::BIGINT AS out_degree, COUNT(*) AS degree FROM d GROUP BY 1""")(
     lambda spark, sf: gr.degree(nodes(purchases(spark, sf)), purchases(spark, sf))
 )
-_COMP = "f AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), w AS (SELECT id, id AS seen FROM n UNION SELECT w.id, f.b FROM w JOIN f ON w.seen = f.a)"
-SMALL = "SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 50 AND l_discount >= 0.1 AND l_returnflag = 'A'"
-
-
-def few(spark, sf):
-    """Edges of a rarer kind of purchase, which leave many components."""
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").where("l_quantity = 50 and l_discount >= 0.1 and l_returnflag = 'A'")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-
-
-query("G-03_components", f"WITH RECURSIVE e AS ({SMALL}), {_NODES}, {_COMP} SELECT id, MIN(seen) AS component FROM w GROUP BY 1")(lambda spark, sf: gr.components(nodes(few(spark, sf)), few(spark, sf)))
-query("G-03_component_sizes", f"WITH RECURSIVE e AS ({SMALL}), {_NODES}, {_COMP}, c AS (SELECT id, MIN(seen) AS component FROM w GROUP BY 1) SELECT component, COUNT(*) AS size FROM c GROUP BY 1")(
-    lambda spark, sf: gr.component_sizes(gr.components(nodes(few(spark, sf)), few(spark, sf)))
+# Least labels of neighbours, of which only new ones go on to the next round: no pair of a node and each node it reaches.
+_LABELS = """f AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+  w AS (SELECT id, id AS label FROM n UNION SELECT f.b, MIN(w.label) FROM w JOIN f ON w.id = f.a GROUP BY 1),
+  c AS (SELECT id, MIN(label) AS component FROM w GROUP BY 1)"""
+query("G-03_components", f"WITH RECURSIVE e AS ({EDGES}), {_NODES}, {_LABELS} SELECT id, component FROM c")(
+    lambda spark, sf: gr.components(nodes(purchases(spark, sf)), purchases(spark, sf))
+)
+query("G-03_component_sizes", f"WITH RECURSIVE e AS ({EDGES}), {_NODES}, {_LABELS} SELECT component, COUNT(*) AS size FROM c GROUP BY 1")(
+    lambda spark, sf: gr.component_sizes(gr.components(nodes(purchases(spark, sf)), purchases(spark, sf)))
 )
 _REACH = "w AS (SELECT {start} AS id, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON w.id = e.src WHERE w.depth < 10)"
 
@@ -62,13 +59,14 @@ query("G-05_impact", f"WITH RECURSIVE e AS (SELECT dst AS src, src AS dst FROM (
     lambda spark, sf: gr.impact(layers(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes(layers(spark, sf)).select("id", F.substring("id", 1, 1).alias("owner")), _start(spark, "r2"))
 )
 query("G-06_subgraph", f"WITH e AS ({LAYERS}), k AS (SELECT 'n3' AS id UNION SELECT dst FROM e WHERE src = 'n3' UNION SELECT src FROM e WHERE dst = 'n3') SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")(lambda spark, sf: gr.subgraph(layers(spark, sf), _start(spark, "n3")))
-@query("G-07_cross_layer_check", f"WITH e AS (SELECT 's' || l_suppkey AS src, 'c' || o_custkey AS dst, 'n' || s_nationkey AS so, 'n' || c_nationkey AS d_o, sn.n_regionkey AS sr, cn.n_regionkey AS cr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey JOIN nation sn ON sn.n_nationkey = s_nationkey JOIN nation cn ON cn.n_nationkey = c_nationkey WHERE l_quantity = 50) SELECT DISTINCT src, dst, so AS src_owner, d_o AS dst_owner FROM e WHERE so <> d_o AND sr <> cr")
-def _cross(spark, sf):
-    return _cross_over(spark, sf, table(spark, sf, "lineitem").where("l_quantity = 50"))
 
 
-def _cross_over(spark, sf, li):
-    o = table(spark, sf, "orders")
+@query("G-07_cross_layer_check", """WITH e AS (SELECT 's' || l_suppkey AS src, 'c' || o_custkey AS dst, 'n' || s_nationkey AS so, 'n' || c_nationkey AS d_o, sn.n_regionkey AS sr, cn.n_regionkey AS cr
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey
+      JOIN nation sn ON sn.n_nationkey = s_nationkey JOIN nation cn ON cn.n_nationkey = c_nationkey)
+  SELECT DISTINCT src, dst, so AS src_owner, d_o AS dst_owner FROM e WHERE so <> d_o AND sr <> cr""")
+def _cross(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     columns = li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst")).distinct()
     own = lambda t, a, k, n: table(spark, sf, t).select(F.concat(F.lit(a), k).alias("id"), F.concat(F.lit("n"), n).alias("owner"))
     owners = own("supplier", "s", "s_suppkey", "s_nationkey").union(own("customer", "c", "c_custkey", "c_nationkey"))
@@ -79,28 +77,3 @@ def _cross_over(spark, sf, li):
 
 query("G-08_topological_levels", f"WITH e AS ({LAYERS}), {_NODES} SELECT id, CASE SUBSTR(id, 1, 1) WHEN 'r' THEN 2 WHEN 'n' THEN 1 ELSE 0 END AS level FROM n")(lambda spark, sf: gr.topological_levels(layers(spark, sf)))
 
-
-# The whole edge table of FIXTURES.md, beside the queries above, whose SQL keeps rarer purchases only.
-ALL_EDGES = "SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
-
-
-def all_purchases(spark, sf):
-    """Edges of all purchases: customer to part."""
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-
-
-query("G-02_degree_whole", f"WITH e AS ({ALL_EDGES}), d AS (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) SELECT id, SUM(i)::BIGINT AS in_degree, SUM(o)::BIGINT AS out_degree, COUNT(*) AS degree FROM d GROUP BY 1")(
-    lambda spark, sf: gr.degree(nodes(all_purchases(spark, sf)), all_purchases(spark, sf))
-)
-# Least labels of neighbours, of which only new ones go on to the next round: no pair of a node and each node it reaches.
-_LABELS = "f AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), w AS (SELECT id, id AS label FROM n UNION SELECT f.b, MIN(w.label) FROM w JOIN f ON w.id = f.a GROUP BY 1), c AS (SELECT id, MIN(label) AS component FROM w GROUP BY 1)"
-query("G-03_components_whole", f"WITH RECURSIVE e AS ({ALL_EDGES}), {_NODES}, {_LABELS} SELECT id, component FROM c")(lambda spark, sf: gr.components(nodes(all_purchases(spark, sf)), all_purchases(spark, sf)))
-query("G-03_component_sizes_whole", f"WITH RECURSIVE e AS ({ALL_EDGES}), {_NODES}, {_LABELS} SELECT component, COUNT(*) AS size FROM c GROUP BY 1")(
-    lambda spark, sf: gr.component_sizes(gr.components(nodes(all_purchases(spark, sf)), all_purchases(spark, sf)))
-)
-
-
-@query("G-07_cross_layer_check_whole", "WITH e AS (SELECT 's' || l_suppkey AS src, 'c' || o_custkey AS dst, 'n' || s_nationkey AS so, 'n' || c_nationkey AS d_o, sn.n_regionkey AS sr, cn.n_regionkey AS cr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey JOIN nation sn ON sn.n_nationkey = s_nationkey JOIN nation cn ON cn.n_nationkey = c_nationkey) SELECT DISTINCT src, dst, so AS src_owner, d_o AS dst_owner FROM e WHERE so <> d_o AND sr <> cr")
-def _cross_whole(spark, sf):
-    return _cross_over(spark, sf, table(spark, sf, "lineitem"))

@@ -36,8 +36,8 @@ def r(sql: str, digits: int = 8) -> str:
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    """Doubles rounded, so that two engines' sums in different orders agree."""
-    return df.select(*(F.round(F.col(c) + _nudge(digits), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded, so that two engines' sums in different orders agree; adding 0 takes the sign from a zero."""
+    return df.select(*((F.round(F.col(c) + _nudge(digits), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def rounded_sql(sql: str, doubles: str, rest: str = "", digits: int = 8) -> str:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,14 +12,14 @@ from ..operators import incremental as inc
 from ..operators import panel as pn
 from ..operators import predicates as pr
 from ..operators import profile as pf
+from ..session import shared_folder
 from ..sources import parquet as pq
 from .registry import E, S, query, r, rounded, rounded_sql
 
 
 def scratch(spark) -> str:
-    """A new folder below the shared checkpoint folder; a local one only where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 # ---- sources
@@ -70,7 +69,11 @@ def file_stats(spark, sf):
 
 
 query("S-09_signature")(lambda spark, sf: pq.signature(pq.manifest(spark, [f"{sf}/lineitem.parquet", f"{sf}/orders.parquet"])))
-query("S-10_columns_union")(lambda spark, sf: pq.columns_union(spark, [f"{sf}/nation.parquet", f"{sf}/region.parquet"]))
+_ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"
+_ITEMS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+query("S-10_columns_union", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS name, {'TRUE' if c == 'l_tax' else 'FALSE'} AS is_tool, COUNT({c}) AS n_values FROM {'orders' if c[0] == 'o' else 'lineitem'}" for i, c in enumerate(f"{_ORDERS} {_ITEMS}".split())
+))(lambda spark, sf: pq.columns_union(spark, [f"{sf}/orders.parquet", f"{sf}/lineitem.parquet"], ("l_tax",)))
 query("S-11_auto_granularity", "SELECT COUNT(*) AS n_rows, CAST(MIN(l_shipdate) AS DATE) AS min_date, CAST(MAX(l_shipdate) AS DATE) AS max_date, CASE WHEN COUNT(*) < 5000 THEN 'flat' WHEN COUNT(*) * 365.25 / (DATE_DIFF('day', CAST(MIN(l_shipdate) AS DATE), CAST(MAX(l_shipdate) AS DATE)) + 1) <= 3000 THEN 'year' WHEN COUNT(*) * 30.4375 / (DATE_DIFF('day', CAST(MIN(l_shipdate) AS DATE), CAST(MAX(l_shipdate) AS DATE)) + 1) <= 3000 THEN 'month' ELSE 'day' END AS granularity, YEAR(MAX(l_shipdate)) > YEAR(MIN(l_shipdate)) AS spans_years FROM lineitem")(
     lambda spark, sf: pq.auto_granularity(table(spark, sf, "lineitem"), "l_shipdate", 5000, 3000)
 )
@@ -85,7 +88,7 @@ query("P-01_range_filter", "SELECT l_orderkey, l_linenumber, l_quantity FROM lin
 query("P-02_filter_all", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_returnflag <> 'R'")(
     lambda spark, sf: pr.filter_all(table(spark, sf, "lineitem"), [{"field": "l_quantity", "op": "gte", "value": 10}, {"field": "l_quantity", "op": "lt", "value": 20}, {"field": "l_returnflag", "op": "neq", "value": "R"}, {"field": "l_tax", "op": "eq", "value": ""}, {"field": "l_tax", "op": "eq", "value": None}]).select(*LI)
 )
-query("P-03_exclude_tool", "SELECT n_nationkey, n_name FROM nation")(lambda spark, sf: pr.exclude_tool(table(spark, sf, "nation").withColumn("optime", F.lit(1)), ("optime", "n_regionkey")))
+query("P-03_exclude_tool", "SELECT * EXCLUDE (o_orderstatus) FROM orders")(lambda spark, sf: pr.exclude_tool(table(spark, sf, "orders").withColumn("optime", F.lit(1)), ("optime", "o_orderstatus")))
 query("P-04_derive", f"{S} SELECT sym, date, {r('LN(fv)')} AS size, {r('r * 100')} AS pct FROM s")(lambda spark, sf: rounded(pr.derive(supplier_panel(spark, sf), ["sym", "date"], {"size": "ln(fv)", "pct": "r * 100", "bad": "x / 0"}, ["size", "pct"])))
 query("P-05_preview_formula", f"{S} SELECT {r('fv / x')} AS field FROM s")(lambda spark, sf: rounded(pr.preview_formula(supplier_panel(spark, sf), "fv / x")))
 
@@ -94,8 +97,8 @@ query("P-05_preview_formula", f"{S} SELECT {r('fv / x')} AS field FROM s")(lambd
 def check_formula(spark, sf):
     df = supplier_panel(spark, sf)
     kinds = [("row", "ln(fv) + r"), ("aggregate", "sum(fv)"), ("generator", "explode(array(fv))"), ("unknown", "nothing + 1")]
-    verdicts = spark.createDataFrame([(k, pr.check_formula(df, f)) for k, f in kinds], "kind string, ok boolean")
-    return verdicts.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))))
+    verdicts = [F.struct(F.lit(k).alias("kind"), F.lit(pr.check_formula(df, f)).alias("ok")) for k, f in kinds]
+    return df.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*verdicts)).alias("v"), "n").select("v.*", "n")
 
 
 query("P-07_P-08_batch_formulas", f"{S} SELECT sym, date, {r('LN(fv)')} AS a, {r('r + x')} AS b, {r('r * r')} AS c FROM s")(lambda spark, sf: rounded(pr.batch_formulas(supplier_panel(spark, sf), ["sym", "date"], {"a": "ln(fv)", "b": "r + x", "c": "r * r"})))
@@ -216,9 +219,9 @@ query("A-04_grouping_sets", f"SELECT grouping_by, grouping_value, n, {r('lo')} A
 )
 
 
-@query("A-05_storage_profile", f"{S} SELECT 'part' AS partition_by, STRFTIME(date, '%Y') AS partition_value, 1 AS file_no FROM s GROUP BY 1, 2")
+@query("A-05_storage_profile", f"{S} SELECT 'part' AS partition_by, STRFTIME(date, '%Y') AS partition_value, 1 AS file_no, TRUE AS has_bytes FROM s GROUP BY 1, 2")
 def storage(spark, sf):
-    return pq.storage_profile(pq.manifest(spark, _bucketed(spark, sf)), "part").select("partition_by", "partition_value", "file_no")
+    return pq.storage_profile(pq.manifest(spark, _bucketed(spark, sf)), "part").select("partition_by", "partition_value", "file_no", (F.col("storage_size") > 0).alias("has_bytes"))
 
 
 @query("A-11_keep_last", "SELECT o_custkey, MAX(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
@@ -232,6 +235,11 @@ query("L-01_sort_by", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer O
 query("L-02_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")(lambda spark, sf: pr.page(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [{"field": "o_totalprice", "desc": True}, {"field": "o_orderkey"}], 50, 100))
 
 
+query("L-02_page_with_total", "SELECT o_orderkey, o_totalprice, (SELECT COUNT(*) FROM orders WHERE o_orderstatus <> 'F') AS total FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")(
+    lambda spark, sf: pr.page(table(spark, sf, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_totalprice"), [{"field": "o_totalprice", "desc": True}, {"field": "o_orderkey"}], 50, 100, count_total=True)
+)
+
+
 @query("L-03_storage_order", f"{S} SELECT STRFTIME(date, '%Y') AS part, 0 AS out_of_order FROM s GROUP BY 1")
 def storage_order(spark, sf):
     from pyspark.sql import Window
@@ -329,7 +337,10 @@ def change_scope(spark, sf):
     part = F.regexp_extract("path", "part=([0-9]+)", 1)
     gone = files.where(part == "1995").withColumn("path", F.concat("path", F.lit(".gone")))
     diff = pq.manifest_diff(files.where(part != "1997").union(gone), files)
-    return inc.change_scope(spark.read.parquet(root), diff).select("action", F.col("lo").cast("string").alias("lo"), F.col("hi").cast("string").alias("hi"), F.when(F.col("symbols").isNotNull(), F.size("symbols")).cast("long").alias("n_symbols"))
+    rows = spark.read.parquet(root)
+    symbols = inc.change_symbols(rows, diff).groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"))
+    scopes = inc.change_scope(rows, diff).join(symbols, "path", "left")
+    return scopes.select("action", F.col("lo").cast("string").alias("lo"), F.col("hi").cast("string").alias("hi"), "n_symbols")
 
 
 @query("I-07_refresh_by_dependency", f"{S} SELECT STRFTIME(date, '%Y') AS part, COUNT(*) AS n_rows, {r('SUM(fv) * 2', 2)} AS doubled FROM s WHERE YEAR(date) >= 1998 GROUP BY 1")

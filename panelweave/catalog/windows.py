@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import FXS_SQL, event_panel, supplier_panel
+from ..fixtures import FXS_SQL, event_panel, supplier_panel, table
 from ..functions import cross_section as cs
 from ..functions import scalar as sc
 from ..functions import time_series as ts
@@ -33,6 +33,18 @@ column("W-13_cs_quantile", lambda: cs.cs_quantile("x", 0.3), f"QUANTILE_CONT(x,
 column("W-14_cs_qcut", lambda: cs.cs_qcut("x", 5).cast("double"), "1.0 + " + " + ".join(f"CAST(x > QUANTILE_CONT(x, {i / 5}) {D} AS INT)" for i in range(1, 5)))
 column("W-15_bucket", lambda: cs.bucket("x", 5).cast("double"), f"CAST(LEAST(GREATEST(CEIL(ROUND({RANK} / COUNT(x) {D} * 5, 9)), 1), 5) AS DOUBLE)")
 column("W-16_ds_rank", lambda: cs.ds_rank("x"), f"{RANK} / (COUNT(x) {D} + 1.0)")
+
+
+def _by_sample(spark, sf):
+    """Ranks and standard scores inside (date, sample), 0 outside the sample."""
+    rows = supplier_panel(spark, sf).withColumn("sample", (F.col("fv") > 20000).cast("int"))
+    by = ("date", "sample")
+    return rounded(rows.select("sym", "date", cs.in_sample(cs.ds_rank("x", by)).alias("rank"), cs.in_sample(cs.cs_zscore("x", by)).alias("z"), cs.in_sample(cs.demean("x", by)).alias("d")))
+
+
+query("W-16_ds_rank_by_sample", f"""{S}, p AS (SELECT *, CAST(fv > 20000 AS INT) AS sample FROM s),
+  k AS (SELECT *, COUNT(x) OVER w AS n, AVG(x) OVER w AS m, STDDEV_SAMP(x) OVER w AS sd, RANK() OVER (PARTITION BY date, sample ORDER BY x) + (COUNT(*) OVER (PARTITION BY date, sample, x) - 1) / 2.0 AS k FROM p WINDOW w AS (PARTITION BY date, sample))
+  SELECT sym, date, {r("sample * k / (n + 1.0)")} AS rank, {r("sample * (x - m) / NULLIF(sd, 0)")} AS z, {r("sample * (x - m)")} AS d FROM k""")(_by_sample)
 column("W-17_demean", lambda: cs.demean("x", ("date", "ic")), "x - AVG(x) OVER (PARTITION BY date, ic)")
 
 O = "OVER (PARTITION BY sym ORDER BY date)"
@@ -66,6 +78,21 @@ column("T-12_ts_ema", lambda: ts.ts_ema("x", 5), "y", source="""(WITH n AS (SELE
   SELECT a.sym, a.date, SUM(b.x * POW(2 / 3.0, a.k - b.k)) / SUM(POW(2 / 3.0, a.k - b.k)) AS y FROM n a JOIN n b ON a.sym = b.sym AND b.k BETWEEN a.k - 97 AND a.k GROUP BY 1, 2)""")
 column("T-13_ts_ols_slope", lambda: ts.ts_ols("r", "x", 10)[0], "CASE WHEN COUNT(x) OVER w = 10 AND STDDEV_POP(x) OVER w > 1e-9 THEN REGR_SLOPE(r, x) OVER w END", W)
 column("T-13_ts_ols_intercept", lambda: ts.ts_ols("r", "x", 10)[1], "CASE WHEN COUNT(x) OVER w = 10 AND STDDEV_POP(x) OVER w > 1e-9 THEN REGR_INTERCEPT(r, x) OVER w END", W)
+_G = "COVAR_POP(#, $) OVER w"
+_OLS2 = f"""(SELECT sym, date, n, (a1 * s22 - a2 * s12) / NULLIF(s11 * s22 - s12 * s12, 0) AS b1, (a2 * s11 - a1 * s12) / NULLIF(s11 * s22 - s12 * s12, 0) AS b2, m0, m1, m2, s11 * s22 - s12 * s12 AS det FROM
+  (SELECT sym, date, COUNT(x) OVER w AS n, VAR_POP(x) OVER w AS s11, VAR_POP(l) OVER w AS s22, COVAR_POP(x, l) OVER w AS s12, COVAR_POP(r, x) OVER w AS a1, COVAR_POP(r, l) OVER w AS a2, AVG(r) OVER w AS m0, AVG(x) OVER w AS m1, AVG(l) OVER w AS m2
+   FROM (SELECT *, LN(fv) AS l FROM s) {W}))"""
+
+
+@query("T-13_ts_ols_two_regressors", f"{S} SELECT sym, date, {r('b1', 6)} AS b1, {r('b2', 6)} AS b2, {r('m0 - b1 * m1 - b2 * m2', 6)} AS a FROM {_OLS2} WHERE n = 10 AND det > 1e-6")
+def ols_two(spark, sf):
+    b1, b2, a = ts.ts_ols("r", ["x", F.log("fv")], 10)
+    w = ts.series().rowsBetween(-9, 0)
+    det = F.var_pop("x").over(w) * F.var_pop(F.log("fv")).over(w) - F.pow(F.covar_pop("x", F.log("fv")).over(w), 2)
+    rows = supplier_panel(spark, sf).select("sym", "date", b1.alias("b1"), b2.alias("b2"), a.alias("a"), det.alias("det"))
+    return rounded(rows.where("b1 is not null and det > 1e-6").drop("det"), 6)
+
+
 column("T-14_ts_weighted_beta", lambda: ts.ts_weighted_beta("r", "x", 10, 5), "b", source="""(WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sym ORDER BY date) AS k FROM s),
   g AS (SELECT a.sym, a.date, COUNT(*) AS m, SUM(w) AS sw, SUM(w * b.x) AS sx, SUM(w * b.r) AS sy, SUM(w * b.x * b.x) AS sxx, SUM(w * b.x * b.r) AS sxy FROM n a JOIN (SELECT *, 1 AS one FROM n) b ON a.sym = b.sym AND b.k BETWEEN a.k - 9 AND a.k, LATERAL (SELECT POW(2, (b.k - a.k) / 5.0) AS w) GROUP BY 1, 2)
   SELECT sym, date, CASE WHEN m = 10 THEN (sw * sxy - sx * sy) / NULLIF(sw * sxx - sx * sx, 0) END AS b FROM g)""")
@@ -98,6 +125,13 @@ column("N-09_book_to_price", lambda: sc.book_to_price("x"), "1 / NULLIF(x, 0)")
 column("N-11_date_scalars", lambda: (F.year("date") * 100 + F.month("date") + F.dayofyear(F.trunc("date", "MM")) / 1000).cast("double") + F.length(F.date_format("date", "yyyy-MM")), "YEAR(date) * 100 + MONTH(date) + DAYOFYEAR(DATE_TRUNC('month', date)) / 1000.0 + LENGTH(STRFTIME(date, '%Y-%m'))")
 
 
+@query("N-11_text_scalars", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, STRFTIME(o_orderdate, '%Y-%m') AS month, CAST(STRFTIME(o_orderdate, '%d') AS VARCHAR) AS day_text, CAST(NULL AS DATE) AS none,
+    SPLIT_PART(o_orderstatus || '|' || CAST(o_custkey AS VARCHAR), '|', 2) AS customer, YEAR(o_orderdate) AS year FROM orders""")
+def text_scalars(spark, sf):
+    o = table(spark, sf, "orders").withColumns({"text": sc.date_text("o_orderdate"), "both": F.concat_ws("|", "o_orderstatus", F.col("o_custkey").cast("string"))})
+    return o.select("o_orderkey", sc.iso_date("text").alias("day"), sc.prefix("text", 7).alias("month"), sc.split_part("text", "-", 2).alias("day_text"), sc.iso_date("both").alias("none"), sc.split_part("both", "|", 1).alias("customer"), F.year(sc.iso_date("text")).cast("long").alias("year"))
+
+
 def _mode_sql(by: str, panel: str) -> str:
     on = " AND ".join(f"f.{c} = m.{c}" for c in by.split(", "))
     return f"""{panel}, f AS (SELECT sym, date, ic, CASE WHEN CAST(sym AS INT) % 7 <> 0 THEN ROUND(x) END AS y FROM e),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,24 @@ def book_to_price(pb: Column | str) -> Column:
     return F.try_divide(F.lit(1.0), _col(pb))
 
 
+def iso_date(text: Column | str) -> Column:
+    """The date of a text that begins with yyyy-MM-dd; null if it does not."""
+    return F.try_to_date(prefix(text, 10), "yyyy-MM-dd")
+
+
+def date_text(date: Column | str) -> Column:
+    return F.date_format(_col(date), "yyyy-MM-dd")
+
+
+def prefix(text: Column | str, n: int) -> Column:
+    return F.substring(_col(text), 1, n)
+
+
+def split_part(text: Column | str, mark: str, i: int) -> Column:
+    """The i-th part, from 0, between marks taken literally; null beyond the last."""
+    return F.get(F.split(_col(text), re.escape(mark)), i)
+
+
 def fill_const(x: Column | str, value: float) -> Column:
     return F.coalesce(_col(x), F.lit(value))
 

@@ -136,9 +136,33 @@ def ts_ema(x: Column | str, span: int, w: WindowSpec | None = None) -> Column:
     return F.when(x.isNotNull(), sums["a"] / sums["b"])
 
 
-def ts_ols(y: Column | str, x: Column | str, d: int) -> tuple[Column, Column]:
-    """(slope, intercept) of y on x over the last ``d`` rows."""
-    return rolling(F.regr_slope, [y, x], d), rolling(F.regr_intercept, [y, x], d)
+def ts_ols(y: Column | str, x: Column | str | Sequence[Column | str], d: int, w: WindowSpec | None = None) -> tuple[Column, ...]:
+    """(slopes..., intercept) of y on one or more regressors over the last ``d`` rows, all of which must be whole; null where they are collinear.
+
+    One regressor is a built-in aggregate; for more, rolling covariances are solved by elimination.
+    """
+    if isinstance(x, (Column, str)):
+        return rolling(F.regr_slope, [y, x], d, w=w), rolling(F.regr_intercept, [y, x], d, w=w)
+    cols = [_col(c).cast("double") for c in (*x, y)]
+    whole, k = cols[0].isNotNull(), len(cols) - 1
+    for c in cols[1:]:
+        whole = whole & c.isNotNull()
+    cols = [F.when(whole, c) for c in cols]
+    rows = [[rolling(F.covar_pop, [cols[i], cols[j]], d, w=w) for j in range(k + 1)] for i in range(k)]
+    for i in range(k):
+        for j in range(i + 1, k):
+            by = F.try_divide(rows[j][i], rows[i][i])
+            rows[j] = [None if c <= i else rows[j][c] - by * rows[i][c] for c in range(k + 1)]
+    slopes: list[Column] = []
+    for i in reversed(range(k)):
+        left = rows[i][k]
+        for j, s in zip(range(i + 1, k), slopes, strict=True):
+            left = left - rows[i][j] * s
+        slopes.insert(0, F.try_divide(left, rows[i][i]))
+    intercept = rolling(F.avg, [cols[k]], d, w=w)
+    for s, c in zip(slopes, cols, strict=False):
+        intercept = intercept - s * rolling(F.avg, [c], d, w=w)
+    return *slopes, intercept
 
 
 def ts_weighted_beta(y: Column | str, x: Column | str, d: int, half_life: float, w: WindowSpec | None = None) -> Column:

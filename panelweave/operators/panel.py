@@ -80,12 +80,20 @@ def sample(view: DataFrame, index: DataFrame, key_map: Mapping[str, str]) -> Dat
     return view.join(keys, list(key_map), "left_semi")
 
 
-def outside_scope(old: DataFrame, lo, hi, symbols: Sequence[str] | None, sym: str = "sym", date: str = "date") -> DataFrame:
-    """Rows that a change of the dates lo..hi and the symbols (all, if None) leaves alone; null keys are outside."""
-    inside = F.col(date).between(F.lit(lo), F.lit(hi))
-    if symbols is not None:
-        inside = inside & F.col(sym).isin(list(symbols))
-    return old.where(~F.coalesce(inside, F.lit(False)))
+def in_scope(old: DataFrame, lo, hi, symbols: Sequence[str] | DataFrame | None, sym: str = "sym", date: str = "date") -> DataFrame:
+    """Rows of the dates lo..hi and the symbols: a short list, a table of one column, or all (None)."""
+    rows = old.where(F.col(date).between(F.lit(lo), F.lit(hi)))
+    if isinstance(symbols, DataFrame):
+        return rows.join(symbols.toDF(sym).distinct(), sym, "left_semi")
+    return rows if symbols is None else rows.where(F.col(sym).isin(list(symbols)))
+
+
+def outside_scope(old: DataFrame, lo, hi, symbols: Sequence[str] | DataFrame | None, sym: str = "sym", date: str = "date") -> DataFrame:
+    """The rows that in_scope() leaves: a change of that scope does not touch them; null keys are outside."""
+    inside = F.coalesce(F.col(date).between(F.lit(lo), F.lit(hi)), F.lit(False))
+    if isinstance(symbols, DataFrame):
+        return old.where(~inside).unionByName(old.where(inside).join(symbols.toDF(sym).distinct(), sym, "left_anti"))
+    return old.where(~inside if symbols is None else ~F.coalesce(inside & F.col(sym).isin(list(symbols)), F.lit(False)))
 
 
 def with_fields(base: DataFrame, fieldsets: Sequence[DataFrame], keys: Sequence[str] = ("sym", "date")) -> DataFrame:

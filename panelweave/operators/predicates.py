@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +43,13 @@ def preview_formula(df: DataFrame, formula: str) -> DataFrame:
 
 
 def check_formula(df: DataFrame, formula: str) -> bool:
-    """Whether the formula gives one value for each row: aggregates and generators do not, unknown names neither."""
-    count = lambda d: len(re.findall(r"^[\s:+-]*(?:Aggregate|Generate)\b", d._jdf.queryExecution().analyzed().toString(), re.M))
+    """Whether the formula gives one value for each row: aggregates and generators do not, unknown names neither.
+
+    Beside all columns an aggregate is no valid selection, nor is a generator inside another expression.
+    """
     try:
-        return count(df.select("*", F.expr(formula).alias("__field"))) == count(df)
-    except Exception:  # what cannot be analysed is no formula of a row
+        return bool(df.select("*", F.struct(F.expr(formula).alias("field")).alias("__field")).columns)
+    except (AnalysisException, ParseException):
         return False
 
 
@@ -82,10 +85,12 @@ def drop_all_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def user_transform(df: DataFrame, field: str, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A user's function over the data set; its result must have the field."""
+    """A user's function over the data set; its result must have the field and at least one row."""
     out = df.transform(fn)
     if field not in out.columns:
         raise ValueError(f"the result has no column {field}")
+    if not out.take(1):
+        raise ValueError("the result has no rows")
     return out
 
 
@@ -100,11 +105,15 @@ def sort_by(df: DataFrame, order: Sequence[Mapping]) -> DataFrame:
     return df.orderBy(*(F.col(x["field"]).desc_nulls_last() if x.get("desc") else F.col(x["field"]).asc_nulls_last() for x in order))
 
 
-def page(df: DataFrame, order: Sequence[Mapping], limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset..offset+limit of a sorted table; the order must be total for stable pages."""
+def page(df: DataFrame, order: Sequence[Mapping], limit: int, offset: int = 0, count_total: bool = False) -> DataFrame:
+    """Rows offset..offset+limit of a sorted table; the order must be total for stable pages.
+
+    With ``count_total``, a column ``total`` says how many rows the table has before paging.
+    """
     if not order:
         raise ValueError("a page needs an order")
-    return sort_by(df, order).offset(offset).limit(limit)
+    rows = sort_by(df, order).offset(offset).limit(limit)
+    return rows.withColumn("total", F.lit(df.count()).cast("long")) if count_total else rows
 
 
 def union_relaxed(parts: Sequence[DataFrame]) -> DataFrame:

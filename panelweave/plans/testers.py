@@ -173,17 +173,15 @@ def bucket_turnover(data: DataFrame, spec: TestSpec = TestSpec()) -> DataFrame:
 def correlations(data: DataFrame, pairs: dict[str, tuple[str, str]], by: str = "date", least: int = 3) -> DataFrame:
     """Pearson and rank correlation (r_{name}, rank_{name}) of column pairs by date; null below ``least`` pairs or without variance.
 
-    All ranks of one pair are taken among the rows where both are present.
+    All ranks of one pair are taken among the rows where both are present. Each pair of a row becomes a
+    row of its own, so that all ranks are taken by two sorts within (date, pair), after one shuffle.
     """
-    marked, aggs = data, []
-    for name, (x, y) in pairs.items():
-        whole = F.col(x).isNotNull() & F.col(y).isNotNull()
-        marked = marked.withColumns({f"__x_{name}": F.when(whole, F.col(x)), f"__y_{name}": F.when(whole, F.col(y))})
-        marked = marked.withColumns({f"__rx_{name}": rank_avg(f"__x_{name}", (by,)), f"__ry_{name}": rank_avg(f"__y_{name}", (by,))})
-        x, y, rx, ry = (f"__{k}_{name}" for k in ("x", "y", "rx", "ry"))
-        usable = (F.count(x) >= least) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        aggs += [F.when(usable, safe_corr(F.col(x), F.col(y))).alias(f"r_{name}"), F.when(usable, safe_corr(F.col(rx), F.col(ry))).alias(f"rank_{name}")]
-    return marked.groupBy(by).agg(*aggs)
+    both = [F.struct(F.lit(n).alias("pair"), *(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c).cast("double")).alias(k) for k, c in (("x", x), ("y", y)))) for n, (x, y) in pairs.items()]
+    long = data.select(F.col(by), F.explode(F.array(*both)).alias("p")).select(by, "p.*")
+    ranked = long.withColumns({"rx": rank_avg("x", (by, "pair")), "ry": rank_avg("y", (by, "pair"))})
+    usable = (F.count("x") >= least) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    found = ranked.groupBy(by, "pair").agg(F.when(usable, safe_corr(F.col("x"), F.col("y"))).alias("r"), F.when(usable, safe_corr(F.col("rx"), F.col("ry"))).alias("rank"))
+    return found.groupBy(by).agg(*(F.max(F.when(F.col("pair") == n, F.col(k))).alias(f"{k}_{n}") for n in pairs for k in ("r", "rank")))
 
 
 def autocorrelation(data: DataFrame, spec: TestSpec = TestSpec(), smooth: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +30,11 @@ def build_session(app: str = "panelweave", master: str | None = None, shuffle_pa
     for k, v in (settings | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the cluster names in spark.checkpoint.dir; a local one only where none is named and Spark is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")

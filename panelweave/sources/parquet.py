@@ -40,18 +40,27 @@ def with_part(df: DataFrame, granularity: str = "year", date: str = "date") -> D
     return df.withColumn(PART, F.date_format(date, FORMATS[granularity]))
 
 
-def write_all(df: DataFrame, out: str, granularity: str | None = "year", date: str = "date", sym: str = "sym", files_per_part: int = 1) -> None:
+def dealt_by_bucket(df: DataFrame, sym: str = "sym", date: str = "date", rows_per_file: int = 4_000_000) -> DataFrame:
+    """``df`` (with its bucket) so partitioned that a bucket is written as one file for each ``rows_per_file`` rows, dealt by symbol and sorted by date and symbol.
+
+    The buckets are counted first; their table has a row for each bucket.
+    """
+    files = df.groupBy(PART).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("__files"))
+    deal = F.pmod(F.xxhash64(sym), F.coalesce("__files", F.lit(1)))
+    dealt = df.join(F.broadcast(files), PART, "left").withColumn("__deal", deal).repartition(PART, "__deal")
+    return dealt.sortWithinPartitions(PART, date, sym).select(*df.columns)
+
+
+def write_all(df: DataFrame, out: str, granularity: str | None = "year", date: str = "date", sym: str = "sym", rows_per_file: int = 4_000_000) -> None:
     """Replace a table, in buckets by date (or flat for None), rows sorted by date and symbol within files.
 
-    A bucket becomes ``files_per_part`` files, dealt by symbol, so a large bucket is not one task. Old
-    buckets go; an empty table keeps its schema.
+    A bucket becomes as many files as dealt_by_bucket() finds it needs, so a large bucket is not one
+    task. Old buckets go; an empty table keeps its schema.
     """
     if granularity is None:
         df.sortWithinPartitions(date, sym).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(out)
         return
-    parted = with_part(df, granularity, date)
-    deal = F.pmod(F.xxhash64(sym), F.lit(files_per_part))
-    parted = parted.repartition(PART, deal).sortWithinPartitions(PART, date, sym)
+    parted = dealt_by_bucket(with_part(df, granularity, date), sym, date, rows_per_file)
     parted.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(out)
 
 
@@ -60,10 +69,10 @@ def write_file(df: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
-    """path, size and mtime of each file that has rows; distinct combines in each task, so files are what is shuffled."""
-    df = spark.read.parquet(*([root] if isinstance(root, str) else root))
+    """path, size and mtime of each file, from a listing: no file is opened, as the content column is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     m = F.col("_metadata")
-    return df.select(m["file_path"].alias("path"), m["file_size"].alias("size"), m["file_modification_time"].alias("mtime")).distinct()
+    return files.load([root] if isinstance(root, str) else list(root)).select(m["file_path"].alias("path"), m["file_size"].alias("size"), m["file_modification_time"].alias("mtime"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -89,11 +98,15 @@ def signature(files: DataFrame) -> DataFrame:
 
 
 def columns_union(spark: SparkSession, paths: Sequence[str], tool: Sequence[str] = ("optime",)) -> DataFrame:
-    """position, name and is_tool of the columns of all files, in order of first appearance. Only footers are read."""
-    names: dict[str, None] = {}
+    """position, name, is_tool and n_values of the columns of all tables, in order of first appearance; values are counted in one pass over each."""
+    counted, names = None, {}
     for p in paths:
-        names |= dict.fromkeys(spark.read.parquet(p).columns)
-    return spark.createDataFrame([(i, n, n in tool) for i, n in enumerate(names)], "position int, name string, is_tool boolean")
+        df = spark.read.parquet(p)
+        names |= dict.fromkeys(df.columns)
+        counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in df.columns)).unpivot([], df.columns, "name", "n")
+        counted = counts if counted is None else counted.union(counts)
+    at = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))
+    return counted.groupBy("name").agg(F.sum("n").alias("n_values")).select(at[F.col("name")].alias("position"), "name", F.col("name").isin(list(tool)).alias("is_tool"), "n_values")
 
 
 def auto_granularity(df: DataFrame, date: str = "date", flat_below: int = 1_000_000, per_bucket: int = 500_000) -> DataFrame:

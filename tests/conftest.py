@@ -44,7 +44,7 @@ def _value(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, (int, float)):
-        return f"{float(v):.6g}"
+        return f"{float(f'{float(v):.6g}') + 0.0:.6g}"  # 0 has no sign
     return str(v)
 
 
