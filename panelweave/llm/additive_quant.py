@@ -20,7 +20,7 @@ from .common import cut
 
 #: Vectors that the codebooks are fitted on, at most; every vector is encoded.
 SAMPLE_ROWS = 8192
-BOOKS, WORDS, BEAM = 16, 256, 3
+BOOKS, WORDS, BEAM = 24, 256, 3
 #: Queries that are also answered exactly, at most, and the share of their true neighbours that the shortlist must hold.
 CALIBRATION_QUERIES, HELD = 64, 0.97
 #: Rows of a block of codes, and bytes of a block of queries, at most.
