@@ -38,6 +38,8 @@ MILD_SHARE = 0.5
 #: Lengths of stems.
 SHORTEST, LONGEST = 4, 9
 MOST_EVIDENCE = 8.0
+#: Stems that a task counts before it hands them on.
+HELD_STEMS = 300_000
 
 # The word classes to start with.
 INSULTS = "arse asshole bastard bitch clown coward cretin crap disgusting dumb fool freak garbage idiot idiota idiotic imbecile imbécil jerk loser moron parasite pathetic pervert pig rat scum scumbag slut stupid stupide swine trash ugly vermin whore worthless abschaum arschloch dummkopf trottel connard crétin ordure salaud basura cabrón estúpido inútil"
@@ -212,13 +214,21 @@ def _stems(words: Iterable[str]) -> set[str]:
 
 
 def _stem_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of the partition's texts of either label each stem occurs."""
-    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    """In how many texts of either label each stem occurs; a stem may have several rows, as what a task holds is bounded."""
+    counts: Counter[tuple[str, int]] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([s for s, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["stem", "label", "n"])
+        counts.clear()
+        return out
+
     for batch in slices(batches):
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            counts[label == 1].update(_stems(set(_WORD.findall((text or "").lower()))))
-    for label in (0, 1):
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts[label]), pa.string()), pa.array([label] * len(counts[label]), pa.int32()), pa.array(list(counts[label].values()), pa.int64())], ["stem", "label", "n"])
+            kind = int(label == 1)
+            counts.update((s, kind) for s in _stems(set(_WORD.findall((text or "").lower()))))
+            if len(counts) > HELD_STEMS:
+                yield flush()
+    yield flush()
 
 
 def _witnesses(stems: frozenset[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
