@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, slices
+from .common import BROADCAST_ROWS, cut, free_names, join_hot, slices
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 2048, 4096, 16384
 _WINDOW = 32
@@ -110,13 +110,25 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     recipes = cut(docs.mapInArrow(_recipes, "doc_id long, text_sha256 string, recipe array<binary>, wide binary"))
-    doubtful = (
-        recipes.select("wide", F.explode("recipe").alias("id")).join(ambiguous_ids(docs), "id", "left_semi").groupBy("wide").agg(F.lit(True).alias("doubtful"))
-    )
-    lists = recipes.join(doubtful, "wide", "left").withColumn("list", F.when(F.col("doubtful"), F.array("wide")).otherwise(F.col("recipe")))
-    lists = lists.select("doc_id", "text_sha256", "list")
-    groups = lists.groupBy("list").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return lists.join(groups, "list").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    lists = _told_apart(recipes, cut(ambiguous_ids(docs)))
+    groups = cut(lists.groupBy("list").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    joined = join_hot(lists, groups, ["list"], "group_size")
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def _told_apart(recipes: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """doc_id, text_sha256 and ``list``, what each document is compared by, from the stored ambiguous identifiers.
+
+    There are none unless a 128-bit hash collides. Were there some, they would be broadcast, as are the
+    digests of documents that have them, if they are few; of copies, one recipe meets the identifiers.
+    """
+    n, plain = ambiguous.count(), F.col("recipe")
+    if n == 0:
+        return recipes.select("doc_id", "text_sha256", plain.alias("list"))
+    once = recipes.groupBy("wide").agg(F.any_value("recipe").alias("recipe")).select("wide", F.explode("recipe").alias("id"))
+    doubtful = cut(once.join(F.broadcast(ambiguous) if n <= BROADCAST_ROWS else ambiguous, "id", "left_semi").select("wide").distinct().withColumn("doubtful", F.lit(True)))
+    marked = recipes.join(F.broadcast(doubtful) if doubtful.count() <= BROADCAST_ROWS else doubtful, "wide", "left")
+    return marked.select("doc_id", "text_sha256", F.when(F.col("doubtful"), F.array("wide")).otherwise(plain).alias("list"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:

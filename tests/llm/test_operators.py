@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelweave.llm import additive_quant, bpe, common, exact_dedup, html_text, license_scan, minhash, packing, pii, quality, toxicity
@@ -594,3 +595,16 @@ def test_pipeline_equals_brute_force(spark, sf_dir, tmp_path):
     for r in sorted(direct, key=key):
         whole.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
     assert whole == pieces
+
+
+@pytest.mark.parametrize("hot_rows", [2, 20_000])
+@pytest.mark.parametrize("ambiguous", [False, True])
+def test_exact_groups_with_hot_lists_and_ambiguous_identifiers(spark, monkeypatch, hot_rows, ambiguous):
+    texts = ["a b"] * 5 + ["a  b", "other", "other", "alone", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    if ambiguous:  # as if the identifiers of two contents were those of others, too
+        ids = [(xxhash.xxh3_128_digest(t),) for t in (b"a b", b"alone")]
+        monkeypatch.setattr(exact_dedup, "ambiguous_ids", lambda _: spark.createDataFrame(ids, "id binary"))
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {i: (0, 6) for i in range(6)} | {6: (6, 2), 7: (6, 2), 8: (8, 1), 9: (9, 2), 10: (9, 2)}
