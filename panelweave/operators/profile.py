@@ -70,7 +70,9 @@ def _running_counts(counted: DataFrame, bins: int = 64) -> DataFrame:
     quantiles cut it into bins, of which the sums are few, and only bins are sorted.
     """
     rows = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
-    cuts = counted.groupBy("group").agg(F.percentile_approx("v", [i / bins for i in range(1, bins)]).alias("cuts"))
+    # the count is asked for so that all three uses read the same columns, hence one shuffle of ``counted``
+    cuts = counted.groupBy("group").agg(F.percentile_approx("v", [i / bins for i in range(1, bins)]).alias("cuts"), F.max("n").alias("most"))
+    cuts = cuts.where("most > 0").drop("most")
     binned = counted.join(cuts, "group").withColumn("bin", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("v"))))
     sums = binned.groupBy("group", "bin").agg(F.sum(rows).alias("m"))
     w = Window.partitionBy("group")
@@ -109,12 +111,14 @@ def profile_many(df: DataFrame, groupings: Sequence[str], fields: Sequence[str]
 
 def grouping_sets_profile(df: DataFrame, by: Sequence[str], field: str) -> DataFrame:
     """count, min, max and mean of one field for several single groupings and the whole, in one pass."""
-    sets = ", ".join(["()", *(f"({c})" for c in by)])
-    view = f"__profile_{abs(hash((tuple(by), field)))}"
-    df.createOrReplaceTempView(view)
-    which = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in by) + " ELSE 'all' END"
-    value = "coalesce(" + ", ".join(f"CAST({c} AS STRING)" for c in by) + ", 'all')"
-    return df.sparkSession.sql(f"SELECT {which} AS grouping_by, {value} AS grouping_value, count({field}) AS n, min({field}) AS lo, max({field}) AS hi, avg({field}) AS mean FROM {view} GROUP BY GROUPING SETS ({sets})")
+    which, value = F.lit("all"), F.lit("all")
+    for c in reversed(by):
+        here = F.grouping(c) == 0
+        which = F.when(here, c).otherwise(which)
+        value = F.when(here, F.coalesce(F.col(c).cast("string"), F.lit("null"))).otherwise(value)
+    sets = df.groupingSets([[], *([F.col(c)] for c in by)], *(F.col(c) for c in by))
+    named = sets.agg(which.alias("grouping_by"), value.alias("grouping_value"), F.count(field).alias("n"), F.min(field).alias("lo"), F.max(field).alias("hi"), F.avg(field).alias("mean"))
+    return named.drop(*by)
 
 
 def unique_keys(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
