@@ -8,7 +8,7 @@ from ..fixtures import FXS_SQL, event_panel, supplier_panel, table
 from ..functions import cross_section as cs
 from ..functions import scalar as sc
 from ..functions import time_series as ts
-from .registry import E, S, column, query, r, rounded
+from .registry import SQL, E, S, column, query, r, rounded
 
 D = "OVER (PARTITION BY date)"
 RANK = "(RANK() OVER (PARTITION BY date ORDER BY x) + (COUNT(*) OVER (PARTITION BY date, x) - 1) / 2.0)"
@@ -76,6 +76,7 @@ column("T-11_ts_kurtosis", lambda: F.when(ts.ts_var("x", 10) > 1e-6, ts.ts_kurto
 column("T-11_ts_skew", lambda: F.when(ts.ts_var("x", 10) > 1e-6, ts.ts_skew("x", 10)), "CASE WHEN n = 10 AND v > 1e-6 THEN c3 / POW(v, 1.5) END", source=MOMENTS, digits=5)
 column("T-12_ts_ema", lambda: ts.ts_ema("x", 5), "y", source="""(WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sym ORDER BY date) AS k FROM s)
   SELECT a.sym, a.date, SUM(b.x * POW(2 / 3.0, a.k - b.k)) / SUM(POW(2 / 3.0, a.k - b.k)) AS y FROM n a JOIN n b ON a.sym = b.sym AND b.k BETWEEN a.k - 97 AND a.k GROUP BY 1, 2)""")
+query("T-12_ema_by_blocks", SQL["T-12_ts_ema"])(lambda spark, sf: rounded(ts.with_ema(supplier_panel(spark, sf), "v", "x", 5).select("sym", "date", "v")))
 column("T-13_ts_ols_slope", lambda: ts.ts_ols("r", "x", 10)[0], "CASE WHEN COUNT(x) OVER w = 10 AND STDDEV_POP(x) OVER w > 1e-9 THEN REGR_SLOPE(r, x) OVER w END", W)
 column("T-13_ts_ols_intercept", lambda: ts.ts_ols("r", "x", 10)[1], "CASE WHEN COUNT(x) OVER w = 10 AND STDDEV_POP(x) OVER w > 1e-9 THEN REGR_INTERCEPT(r, x) OVER w END", W)
 _G = "COVAR_POP(#, $) OVER w"

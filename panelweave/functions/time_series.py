@@ -136,6 +136,34 @@ def ts_ema(x: Column | str, span: int, w: WindowSpec | None = None) -> Column:
     return F.when(x.isNotNull(), sums["a"] / sums["b"])
 
 
+def with_ema(df: DataFrame, name: str, x: Column | str, span: int, sym: str = SYM, date: str = DATE) -> DataFrame:
+    """``df`` with ts_ema() in column ``name``, by blocks, so that a row costs the same for any span.
+
+    Inside a block one running sum of x / keep^place serves all rows; blocks are so short that these
+    factors stay below 1e4. What came before enters by the sums at the ends of the few earlier blocks
+    whose weight is above 1e-17. All windows go by symbol, so there is one shuffle.
+    """
+    x, keep = _col(x).cast("double"), 1 - 2 / (span + 1)
+    if keep <= 0:
+        return df.withColumn(name, x)
+    decay = -math.log(keep)
+    block = max(1, int(math.log(1e4) / decay))
+    back = math.ceil(math.log(1e17) / (decay * block))
+    at, of, place = F.col("__at"), F.col("__block"), F.col("__at") % block
+    out = df.withColumn("__at", F.row_number().over(series(sym, date)) - 1).withColumn("__block", F.floor(at / block))
+    inside = Window.partitionBy(sym, "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = lambda v: F.sum(v * F.exp(place * decay)).over(inside) * F.exp(-place * decay)
+    out = out.withColumns({"__a": so_far(F.coalesce(x, F.lit(0.0))), "__b": so_far(x.isNotNull().cast("double"))})
+    end = F.when(place == block - 1, F.struct(at.alias("at"), F.col("__a").alias("a"), F.col("__b").alias("b")))
+    earlier = Window.partitionBy(sym).orderBy("__block").rangeBetween(-back, -1)
+    out = out.withColumn("__ends", F.collect_list(end).over(earlier))
+
+    def carried(part: str) -> Column:
+        return F.aggregate("__ends", F.col(f"__{part}"), lambda s, e: s + e[part] * F.exp((e["at"] - at) * decay))
+
+    return out.withColumn(name, F.when(x.isNotNull(), carried("a") / carried("b"))).drop("__at", "__block", "__a", "__b", "__ends")
+
+
 def ts_ols(y: Column | str, x: Column | str | Sequence[Column | str], d: int, w: WindowSpec | None = None) -> tuple[Column, ...]:
     """(slopes..., intercept) of y on one or more regressors over the last ``d`` rows, all of which must be whole; null where they are collinear.
 

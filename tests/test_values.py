@@ -150,3 +150,12 @@ def test_owners_joined_by_a_long_path_are_not_reported(spark):
     owners = spark.createDataFrame([("a", "o0"), ("b", "o24"), ("c", "elsewhere")], "id string, owner string")
     found = gr.cross_layer_check(spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string"), owners, chain_).collect()
     assert [(r.src, r.dst) for r in found] == [("a", "c")]
+
+
+def test_ema_by_blocks_equals_the_window(spark):
+    rows = [(s, i, None if i % 7 == 3 else float((i * 37 + len(s)) % 11 - 5)) for s, n in (("a", 200), ("bb", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "sym string, date int, x double")
+    for span in (1, 2, 5, 12):
+        got = ts.with_ema(df, "v", "x", span).withColumn("w", ts.ts_ema("x", span)).collect()
+        assert len(got) == len(rows)
+        assert all(r.v is None and r.w is None or abs(r.v - r.w) < 1e-9 for r in got)
