@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quant, bpe, exact_dedup, html_text, license_scan, minhash, packing, pii, quality, toxicity
+from . import additive_quant, bpe, byte_bpe, collocations, exact_dedup, html_text, license_scan, minhash, packing, pii, quality, toxicity, turn_trie
 from .common import table
 
-#: The vocabulary file of the BPE and packing queries.
+#: The vocabulary files of the BPE and packing queries.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, lengths=(2, 5), top=2000, percent=100)
+
+
+def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_byte_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -78,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_ranking": op8_quality_ranking,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_setm_collocations": op11_setm_collocations,
+    "op12_turn_trie": op12_turn_trie,
+    "op13_byte_bpe_replay": op13_byte_bpe_replay,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +119,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, len(s.sh) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, s.doc_id) AS kept
         FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN m ON m.node = c.id
     """,
+    "op11_setm_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        n AS (SELECT lang, CAST(SUM(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS ph FROM w, range(1, 6) x(k) WHERE len(ws) >= k),
+        f AS (SELECT lang, ph, len(ph) AS k, COUNT(*) AS a FROM g GROUP BY lang, ph HAVING COUNT(*) >= 100),
+        s AS (SELECT lang, ph[i:i + j - 1] AS ph, MAX(a) AS a FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM f)) GROUP BY 1, 2),
+        c AS (SELECT f.*, unnest(range(1, f.k)) AS j FROM f LEFT JOIN s USING (lang, ph) WHERE f.k >= 2 AND (s.a IS NULL OR 100 * s.a < 100 * f.a)),
+        e AS (SELECT c.lang, array_to_string(c.ph, ' ') AS phrase, c.a, x.a AS l, y.a AS r, n.n, CAST(1000::HUGEINT * c.a * n.n // (x.a::HUGEINT * y.a) AS BIGINT) AS score,
+                     row_number() OVER (PARTITION BY c.lang, c.ph ORDER BY 1000::HUGEINT * c.a * n.n // (x.a::HUGEINT * y.a), c.j) AS pick
+              FROM c JOIN f x ON x.lang = c.lang AND x.ph = c.ph[:c.j] JOIN f y ON y.lang = c.lang AND y.ph = c.ph[c.j + 1:] JOIN n ON n.lang = c.lang),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e WHERE pick = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+    """,
+    # crc32 bit by bit; turns by 128 bits of SHA-256
+    "op12_turn_trie": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        i AS (SELECT conv_id, turn, sha256(strlen(r) || ':' || r || x) AS s, strlen(x) AS b FROM t),
+        o AS (SELECT conv_id, list({'s': s[:32], 'b': b} ORDER BY turn NULLS FIRST, s) AS own FROM i GROUP BY conv_id),
+        h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                  lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS h FROM o),
+        c AS (SELECT h.conv_id, list_concat(coalesce(o.own, [])[:h.h], h.own[h.h + 1:]) AS q FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5),
+        m AS (SELECT conv_id, len(q) AS n, unnest(range(0, len(q) + 1)) AS d, q FROM c),
+        p AS (SELECT list_transform(q[:d], lambda e: e.s) AS k, d, conv_id, n = d AS ends, CASE WHEN d > 0 THEN q[d].b ELSE 0 END AS b FROM m),
+        g AS (SELECT k, d, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, ANY_VALUE(b) AS b, sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends FROM p GROUP BY k, d),
+        w AS (SELECT k[:len(k) - 1] AS k, COUNT(*) AS n FROM g WHERE d > 0 GROUP BY 1),
+        f AS (SELECT g.*, coalesce(w.n, 0) AS n_children FROM g LEFT JOIN w ON g.k = w.k),
+        a AS (SELECT k[:j] AS k, COUNT_IF(n_children = 0) AS n_leaves, SUM((n_convs - 1) * b) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM f) GROUP BY 1)
+        SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+        FROM f JOIN a ON a.k = f.k LEFT JOIN g u ON f.d > 0 AND u.k = f.k[:len(f.k) - 1]
+    """,
 }
