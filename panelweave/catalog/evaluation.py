@@ -10,17 +10,21 @@ from ..operators.panel import align_by_date
 from ..plans import chain, regress, testers
 from ..plans.testers import TestSpec
 from .registry import query, r, rounded, rounded_sql
+from .windows import GAPS_AHEAD, LONG, gaps_panel
 
 SPEC = TestSpec(quantiles=5, periods=(1, 5, 10))
 
 
-def base(spark, sf):
+def base(spark, sf, rows=None):
     factor = F.when(F.col("sym").cast("int") % 7 != 0, F.col("x"))
-    return supplier_panel(spark, sf).select("sym", "date", F.when(F.col("fv") > 20000, 1).otherwise(0).alias("sample"), F.col("r").alias("returns"), F.col("ic").alias("group"), F.col("fv").alias("marketcap"), factor.alias("factor"))
+    rows = supplier_panel(spark, sf) if rows is None else rows
+    return rows.select("sym", "date", F.when(F.col("fv") > 20000, 1).otherwise(0).alias("sample"), F.col("r").alias("returns"), F.col("ic").alias("group"), F.col("fv").alias("marketcap"), factor.alias("factor"))
 
 
 def data(spark, sf):
-    return testers.prepare(base(spark, sf), SPEC)
+    """Test data whose forward returns are rounded, so that their ranks do not hang on an engine's noise."""
+    rows = testers.prepare(base(spark, sf), SPEC)
+    return rows.withColumns({f"d{n}": ts.settle(F.col(f"d{n}"), 10) for n in SPEC.periods})
 
 
 def _avg_rank(x: str, by: str) -> str:
@@ -102,19 +106,33 @@ def overlapping_year(spark, sf):
 FR = " ".join(testers._DAILY) + " " + " ".join(f"{c}_cum" for c in testers._DAILY)
 
 
-def _factor_returns_sql(n: str) -> str:
+def _factor_returns_sql(n: str, source: str = DATA, cum: str = "EXP(SUM(LN(1 + CASE WHEN # > -1 THEN # END)) OVER (ORDER BY date)) - 1") -> str:
     q = lambda k, x: f"AVG(CASE WHEN q = {k} THEN {x} END)"
     daily = ", ".join(f"{r(x, 10)} AS {c}" for c, x in {
         "fw_ls": "SUM(w * rr) / NULLIF(SUM(ABS(w)), 0)", "fw_raw": "SUM(GREATEST(w, 0) * rr) / NULLIF(SUM(GREATEST(w, 0)), 0)", "fw_ind": "SUM(w * ri) / NULLIF(SUM(ABS(w)), 0)", "fw_ind_raw": "SUM(GREATEST(w, 0) * ri) / NULLIF(SUM(GREATEST(w, 0)), 0)",
         "eq_raw": "AVG(rr)", "eq_ind": "AVG(ri)", "ls": f"{q(5, 'rr')} - {q(1, 'rr')}", "top_raw": q(5, "rr"), "bottom_raw": q(1, "rr"), "ls_ind": f"{q(5, 'ri')} - {q(1, 'ri')}", "hold": f"AVG({n})", "mkt": "AVG(rr)",
     }.items())
-    cums = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN EXP(SUM(LN(1 + CASE WHEN {c} > -1 THEN {c} END)) OVER (ORDER BY date)) - 1 END AS {c}_cum" for c in testers._DAILY)
-    return f"""{DATA}, a AS (SELECT *, COALESCE({n}, 0) AS rr, {_avg_rank('factor', 'date')} AS rank FROM g),
+    cums = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {cum.replace('#', c)} END AS {c}_cum" for c in testers._DAILY)
+    return f"""{source}, a AS (SELECT *, COALESCE({n}, 0) AS rr, {_avg_rank('factor', 'date')} AS rank FROM g),
       w AS (SELECT *, rank - AVG(rank) OVER (PARTITION BY date) AS w, rr - AVG(rr) OVER (PARTITION BY date, grp) AS ri FROM a), f AS (SELECT date, {daily} FROM w GROUP BY date)\nFINALLY SELECT *, {cums} FROM f"""
 
 
 for _n in SPEC.periods:
-    query(f"R-06_factor_returns_d{_n}", rounded_sql(_factor_returns_sql(f"d{_n}"), FR, "date", 7))(lambda spark, sf, n=_n: rounded(testers.factor_returns(data(spark, sf), SPEC, n), 7))
+    query(f"R-06_factor_returns_d{_n}", rounded_sql(_factor_returns_sql(f"d{_n}"), FR, "date", 7))(lambda spark, sf, n=_n: rounded(testers.factor_returns(data(spark, sf), SPEC, n, digits=10), 7))
+
+#: The same data from a panel with missing returns and total losses.
+_AHEAD = ", ".join(r(f"d{n}", 10) + f" AS d{n}" for n in SPEC.periods)
+GAPS_DATA = f"""{GAPS_AHEAD}, b AS (SELECT sym, date, fv > 20000 AS picked, r AS returns, ic AS grp, fv AS marketcap, CASE WHEN CAST(sym AS INT) % 7 <> 0 THEN x END AS factor, {_AHEAD} FROM ahead),
+{DATA[DATA.index("  k AS (SELECT *, CASE WHEN NOT picked"):]}"""
+
+
+def gaps_data(spark, sf, block_rows=None):
+    rows = testers.prepare(base(spark, sf, gaps_panel(spark, sf)), SPEC, block_rows=block_rows)
+    return rows.withColumns({f"d{n}": ts.settle(F.col(f"d{n}"), 10) for n in SPEC.periods})
+
+
+query("R-06_factor_returns_total_loss", rounded_sql(_factor_returns_sql("d5", GAPS_DATA, "PRODUCT(1 + #) OVER (ORDER BY date) - 1"), FR, "date", 7))(lambda spark, sf: rounded(testers.factor_returns(gaps_data(spark, sf), SPEC, 5, digits=10), 7))
+query("R-01_prepare_gaps", rounded_sql(f"{GAPS_DATA}\nFINALLY SELECT sym, date, sample, returns, grp AS group_name, marketcap, factor, d1, d5, d10, q AS factor_quantile FROM d", "returns marketcap factor d1 d5 d10", "sym date sample group_name factor_quantile"))(lambda spark, sf: rounded(gaps_data(spark, sf, LONG).withColumnRenamed("group", "group_name")))
 
 
 def _weights_sql(scheme: str, group: bool) -> str:
@@ -173,16 +191,16 @@ query("R-12_smoothed_autocorrelation", rounded_sql(f"{SMOOTHED}\nFINALLY SELECT
 
 IC = {n: ("factor", n) for n in DS} | {f"g{n[1:]}": ("fg", f"g{n[1:]}") for n in DS}
 ICS = f"{DATA}, h AS (SELECT *, {r('factor - AVG(factor) OVER (PARTITION BY date, grp)', 10)} AS fg, {', '.join(r(f'{n} - AVG({n}) OVER (PARTITION BY date, grp)', 10) + f' AS g{n[1:]}' for n in DS)} FROM g), {_corr_sql('h', IC)}"
-query("R-13_ic", rounded_sql(f"{ICS}\nFINALLY SELECT * FROM z", _names(IC), "date"))(lambda spark, sf: rounded(testers.ic(data(spark, sf), SPEC)))
+query("R-13_ic", rounded_sql(f"{ICS}\nFINALLY SELECT * FROM z", _names(IC), "date"))(lambda spark, sf: rounded(testers.ic(data(spark, sf), SPEC, digits=10)))
 IC1 = {n: ("factor", n) for n in DS} | {f"g{n[1:]}": ("factor", f"g{n[1:]}") for n in DS}
 query("R-14_ic_returns_only", rounded_sql(f"{DATA}, h AS (SELECT *, {', '.join(r(f'{n} - AVG({n}) OVER (PARTITION BY date, grp)', 10) + f' AS g{n[1:]}' for n in DS)} FROM g), {_corr_sql('h', IC1)}\nFINALLY SELECT * FROM z", _names(IC1), "date"))(
-    lambda spark, sf: rounded(testers.ic(data(spark, sf), SPEC, "returns_only"))
+    lambda spark, sf: rounded(testers.ic(data(spark, sf), SPEC, "returns_only", digits=10))
 )
 query("R-15_ic_cumulative", rounded_sql(f"{ICS}\nFINALLY SELECT date, {', '.join(f'CASE WHEN r_{n} IS NOT NULL THEN SUM(r_{n}) OVER (ORDER BY date) END AS r_{n}' for n in DS)} FROM z WHERE YEAR(date) >= 1996", " ".join(f"r_{n}" for n in DS), "date"))(
-    lambda spark, sf: rounded(testers.ic_cumulative(testers.ic(data(spark, sf), SPEC), [f"r_{n}" for n in DS], "year(date) >= 1996"))
+    lambda spark, sf: rounded(testers.ic_cumulative(testers.ic(data(spark, sf), SPEC, digits=10), [f"r_{n}" for n in DS], "year(date) >= 1996"))
 )
 query("A-12_monthly_mean", rounded_sql(f"{ICS}\nFINALLY SELECT CAST(DATE_TRUNC('month', date) AS DATE) AS month, {', '.join(f'AVG(r_{n}) AS r_{n}' for n in DS)} FROM z GROUP BY 1", " ".join(f"r_{n}" for n in DS), "month"))(
-    lambda spark, sf: rounded(testers.monthly_mean(testers.ic(data(spark, sf), SPEC), [f"r_{n}" for n in DS]))
+    lambda spark, sf: rounded(testers.monthly_mean(testers.ic(data(spark, sf), SPEC, digits=10), [f"r_{n}" for n in DS]))
 )
 _ROLL = _each("AVG(e_#) AS e_#, STDDEV_SAMP(e_#) / SQRT(NULLIF(COUNT(se_#), 0)) AS se_#")
 query("A-13_roll_up_year_month", rounded_sql(f"{RTN}\nFINALLY SELECT YEAR(date) AS year, MONTH(date) AS month, factor_quantile, {_ROLL} FROM t GROUP BY 1, 2, 3", ES, "year month factor_quantile"))(

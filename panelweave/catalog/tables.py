@@ -138,6 +138,18 @@ def asof_sides(spark, sf):
 
 query("J-02_asof_panel", rounded_sql(f"WITH a AS ({ASOF_L}), b AS ({ASOF_R})\nFINALLY SELECT a.sym, a.date, a.total, b.q FROM a ASOF LEFT JOIN b ON a.sym = b.sym AND a.date >= b.date", "total q", "sym date", 2))(lambda spark, sf: rounded(pn.asof_panel(*asof_sides(spark, sf)), 2))
 
+query("J-02_asof_long_symbols", rounded_sql(f"WITH a AS ({ASOF_L}), b AS ({ASOF_R})\nFINALLY SELECT a.sym, a.date, a.total, b.q FROM a ASOF LEFT JOIN b ON a.sym = b.sym AND a.date >= b.date", "total q", "sym date", 2))(lambda spark, sf: rounded(pn.asof_panel(*asof_sides(spark, sf), block_rows=20), 2))
+#: Null keys on both sides: they match nothing.
+_HOLES = "SELECT CASE WHEN {0} % 5 = 0 THEN NULL ELSE sym END AS sym, CASE WHEN {0} % 7 = 0 THEN NULL ELSE date END AS date, {1} FROM {2}"
+_HOLED = f"a0 AS ({ASOF_L}), b0 AS ({ASOF_R}), a AS ({_HOLES.format('DAY(date)', 'total', 'a0')}), b AS ({_HOLES.format('CAST(q AS INT)', 'q', 'b0')}), m AS (SELECT sym, date, MAX(q) AS q FROM b WHERE sym IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2)"
+
+
+@query("J-02_asof_null_keys", rounded_sql(f"WITH {_HOLED}\nFINALLY SELECT a.sym, a.date, a.total, m.q FROM a ASOF LEFT JOIN m ON a.sym = m.sym AND a.date >= m.date", "total q", "sym date", 2))
+def asof_null_keys(spark, sf):
+    left, right = asof_sides(spark, sf)
+    holes = lambda df, by: df.select(F.when(by % 5 != 0, F.col("sym")).alias("sym"), F.when(by % 7 != 0, F.col("date")).alias("date"), df.columns[2])
+    return rounded(pn.asof_panel(holes(left, F.dayofmonth("date")), holes(right, F.col("q").cast("int"))), 2)
+
 
 @query("J-03_panel", rounded_sql(f"WITH a AS ({ASOF_L}), b AS ({ASOF_R}), c AS (SELECT sym, date, COUNT(*) AS n_items FROM b GROUP BY 1, 2)\nFINALLY SELECT a.sym, a.date, a.total, b.q, c.n_items FROM a ASOF LEFT JOIN b ON a.sym = b.sym AND a.date >= b.date LEFT JOIN c ON a.sym = c.sym AND a.date = c.date", "total q", "sym date n_items", 2))
 def mixed_panel(spark, sf):

@@ -11,6 +11,8 @@ from ..functions import time_series as ts
 from .registry import SQL, E, S, column, query, r, rounded
 
 D = "OVER (PARTITION BY date)"
+#: Rows of a symbol from which on it is spread over tasks: few, so that the given panels have long symbols.
+LONG = 100
 RANK = "(RANK() OVER (PARTITION BY date ORDER BY x) + (COUNT(*) OVER (PARTITION BY date, x) - 1) / 2.0)"
 
 column("W-01_cs_calc", lambda: cs.cs_calc(F.max("x")), f"MAX(x) {D}")
@@ -109,6 +111,28 @@ def fwd(spark, sf):
     return rounded(ts.fwd_returns(supplier_panel(spark, sf), "r", (1, 5, 10), digits=14).select("sym", "date", "d1", "d5", "d10"))
 
 
+#: Every 7th return missing and every 31st a total loss.
+GAPS_SQL = f"""{S}, numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sym ORDER BY date) AS k FROM s),
+  p AS (SELECT sym, date, ic, fv, x, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 31 = 5 THEN -1.0 ELSE r END AS r FROM numbered)"""
+#: What lies ahead by definition: a product of the next rows, between two returns that are there.
+_AHEAD = ", ".join(f"CASE WHEN r IS NOT NULL AND LEAD(r, {n}) OVER w IS NOT NULL THEN PRODUCT(1 + COALESCE(r, 0)) OVER (PARTITION BY sym ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) - 1 END AS d{n}" for n in (1, 5, 10))
+GAPS_AHEAD = f"{GAPS_SQL}, ahead AS (SELECT *, {_AHEAD} FROM p WINDOW w AS (PARTITION BY sym ORDER BY date))"
+_D3 = ", ".join(f"{r(f'd{n}')} AS d{n}" for n in (1, 5, 10))
+
+
+def gaps_panel(spark, sf):
+    k = F.row_number().over(ts.series())
+    return supplier_panel(spark, sf).withColumn("r", F.when(k % 7 == 0, None).when(k % 31 == 5, -1.0).otherwise(F.col("r")))
+
+
+query("T-05_fwd_returns_gaps", f"{GAPS_AHEAD} SELECT sym, date, {_D3} FROM ahead")(lambda spark, sf: rounded(ts.fwd_returns(gaps_panel(spark, sf), "r", (1, 5, 10)).select("sym", "date", "d1", "d5", "d10")))
+query("T-05_fwd_returns_long_symbols", f"{GAPS_AHEAD} SELECT sym, date, {_D3} FROM ahead")(lambda spark, sf: rounded(ts.fwd_returns(gaps_panel(spark, sf), "r", (1, 5, 10), block_rows=LONG).select("sym", "date", "d1", "d5", "d10")))
+_LOSS = f"{GAPS_SQL} SELECT sym, date, {r('PRODUCT(1 + r) OVER (PARTITION BY sym ORDER BY date) - 1', 7)} AS v FROM p"
+query("T-17_compound_total_loss", _LOSS)(lambda spark, sf: rounded(gaps_panel(spark, sf).select("sym", "date", ts.cumulative_compound("r").alias("v")), 7))
+query("T-17_compound_long_symbols", _LOSS)(lambda spark, sf: rounded(ts.with_compound(gaps_panel(spark, sf), "v", "r", block_rows=LONG).select("sym", "date", "v"), 7))
+query("T-04_ts_cret_gaps", f"{GAPS_SQL} SELECT sym, date, {r('CASE WHEN COUNT(r) OVER w = 6 THEN PRODUCT(1 + r) OVER w - 1 END')} AS v FROM p WINDOW w AS (PARTITION BY sym ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")(lambda spark, sf: rounded(gaps_panel(spark, sf).select("sym", "date", ts.ts_cret("r", 6).alias("v"))))
+query("T-15_ffill_long_symbols", SQL["T-15_ffill"])(lambda spark, sf: rounded(ts.with_ffill(supplier_panel(spark, sf), "v", F.when(F.col("x") > 30, F.col("x")), block_rows=LONG).select("sym", "date", "v")))
+
 NULLED = lambda: F.when(F.col("sym").cast("int") % 7 != 0, F.col("x"))
 NX = "CASE WHEN CAST(sym AS INT) % 7 <> 0 THEN x END"
 column("N-01_fill_const", lambda: sc.fill_const(NULLED(), 0.5), f"COALESCE({NX}, 0.5)")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .cross_section import _col, safe_corr
+from .long_series import with_ahead, with_running
 
 SYM, DATE = "sym", "date"
 
@@ -44,12 +45,29 @@ def ts_ret(c: Column | str, d: int, w: WindowSpec | None = None) -> Column:
     return F.try_divide(_col(c), ts_lag(c, d, w)) - 1 if d > 0 else F.try_divide(ts_lag(c, d, w), _col(c)) - 1
 
 
+def compound(r: Column | str, frame: WindowSpec) -> Column:
+    """(1 + r) multiplied over a frame, minus 1; null adds nothing, and without any value it is null.
+
+    A return of -1 is a total loss: the compound is -1 from there on, whatever follows. Below -1 (a loss beyond
+    everything, as in long-short series) factors keep their sign.
+    """
+    r = _col(r)
+    return _compounded(F.sum(_log_growth(r)).over(frame), F.sum((r == -1).cast("long")).over(frame), F.sum((r < -1).cast("long")).over(frame))
+
+
+def _log_growth(r: Column) -> Column:
+    return F.when(r > -1, F.log1p(r)).when(r < -1, F.log(-1 - r))
+
+
+def _compounded(logs: Column, losses: Column, below: Column) -> Column:
+    return F.when(losses > 0, -1.0).otherwise(F.exp(logs) * F.when(below % 2 == 1, -1).otherwise(1) - 1)
+
+
 def ts_cret(r: Column | str, d: int, w: WindowSpec | None = None) -> Column:
-    """Compound return of the last ``d`` rows, or of the next ``-d`` rows."""
+    """Compound return of the last ``d`` rows, or of the next ``-d`` rows, none of which may be null."""
     r, w = _col(r), w or series()
     frame = w.rowsBetween(-(d - 1), 0) if d > 0 else w.rowsBetween(1, -d)
-    grown = F.log1p(F.when(r > -1, r))
-    return F.when(F.count(grown).over(frame) == abs(d), F.exp(F.sum(grown).over(frame)) - 1)
+    return F.when(F.count(r).over(frame) == abs(d), compound(r, frame))
 
 
 def settle(x: Column, digits: int) -> Column:
@@ -61,65 +79,77 @@ def settle(x: Column, digits: int) -> Column:
     return F.round(x + 1.7320508075 * 10.0 ** -(digits + 3), digits)
 
 
-def fwd_returns(df: DataFrame, r: str, periods: Sequence[int], sym: str = SYM, date: str = DATE, digits: int = 10) -> DataFrame:
-    """``df`` with d{n}: the compound return of the n rows after each row, from one running sum.
+def fwd_returns(df: DataFrame, r: str, periods: Sequence[int], sym: str = SYM, date: str = DATE, digits: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """``df`` with d{n}: the compound return of the n rows after each row, from running sums.
 
-    Returns are settled, so that equal ones tie in ranks.
+    d{n} is null where the row's own return or that of the n-th row after it is null, and where there is no such row;
+    a null between them counts as no change. It is -1 where a total loss lies among the n rows; after one, returns compound
+    anew. Values are as computed; with ``digits`` they are settled. With ``block_rows``, symbols of more rows are spread over tasks.
     """
-    w = series(sym, date)
-    cum = F.sum(F.log1p(F.when(F.col(r) > -1, F.col(r)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("__cum", cum)
-    ahead = {f"d{n}": settle(F.exp(F.lead("__cum", n).over(w) - F.col("__cum")) - 1, digits) for n in periods}
-    return out.withColumns(ahead).drop("__cum")
+    x = F.col(r)
+    parts = {"__logs": _log_growth(x), "__losses": (x == -1).cast("long"), "__below": (x < -1).cast("long")}
+    names = [*parts, "__r"]
+    rows = with_running(df.withColumn("__r", x.cast("double")), parts | ({"__at": F.lit(1).cast("long")} if block_rows else {}), {}, sym, date, block_rows=block_rows)
+    if block_rows:
+        rows = with_ahead(rows, "__at", names, periods, sym)
+        later = lambda c, n: F.col(f"{c}_{n}")
+    else:
+        w = series(sym, date)
+        later = lambda c, n: F.lead(c, n).over(w)
+    change = lambda c, n: F.coalesce(later(c, n), F.lit(0)) - F.coalesce(F.col(c), F.lit(0))
+    ahead = {f"d{n}": F.when(F.col("__r").isNotNull() & later("__r", n).isNotNull(), _compounded(change("__logs", n), change("__losses", n), change("__below", n))) for n in periods}
+    if digits is not None:
+        ahead = {n: settle(c, digits) for n, c in ahead.items()}
+    return rows.withColumns(ahead).select(*(c for c in df.columns if c not in ahead), *ahead)
 
 
-def ts_corr(x, y, d: int) -> Column:
-    return rolling(safe_corr, [x, y], d)
+def ts_corr(x, y, d: int, w: WindowSpec | None = None) -> Column:
+    return rolling(safe_corr, [x, y], d, w=w)
 
 
-def ts_cov(x, y, d: int) -> Column:
-    return rolling(F.covar_samp, [x, y], d)
+def ts_cov(x, y, d: int, w: WindowSpec | None = None) -> Column:
+    return rolling(F.covar_samp, [x, y], d, w=w)
 
 
-def ts_min(x, d: int) -> Column:
-    return rolling(F.min, [x], d)
+def ts_min(x, d: int, w: WindowSpec | None = None) -> Column:
+    return rolling(F.min, [x], d, w=w)
 
 
-def ts_max(x, d: int) -> Column:
-    return rolling(F.max, [x], d)
+def ts_max(x, d: int, w: WindowSpec | None = None) -> Column:
+    return rolling(F.max, [x], d, w=w)
 
 
-def ts_sum(x, d: int) -> Column:
-    return rolling(F.sum, [x], d)
+def ts_sum(x, d: int, w: WindowSpec | None = None) -> Column:
+    return rolling(F.sum, [x], d, w=w)
 
 
-def ts_avg(x, d: int, least: int | None = None) -> Column:
-    return rolling(F.avg, [x], d, least)
+def ts_avg(x, d: int, least: int | None = None, w: WindowSpec | None = None) -> Column:
+    return rolling(F.avg, [x], d, least, w)
 
 
-def ts_std(x, d: int) -> Column:
-    return rolling(F.stddev_samp, [x], d)
+def ts_std(x, d: int, w: WindowSpec | None = None) -> Column:
+    return rolling(F.stddev_samp, [x], d, w=w)
 
 
-def ts_var(x, d: int) -> Column:
-    return rolling(F.var_samp, [x], d)
+def ts_var(x, d: int, w: WindowSpec | None = None) -> Column:
+    return rolling(F.var_samp, [x], d, w=w)
 
 
-def ts_median(x, d: int) -> Column:
-    return ts_quantile(x, d, 0.5)
+def ts_median(x, d: int, w: WindowSpec | None = None) -> Column:
+    return ts_quantile(x, d, 0.5, w)
 
 
-def ts_quantile(x, d: int, q: float) -> Column:
-    return rolling(lambda c: F.percentile(c, F.lit(q)), [x], d)
+def ts_quantile(x, d: int, q: float, w: WindowSpec | None = None) -> Column:
+    return rolling(lambda c: F.percentile(c, F.lit(q)), [x], d, w=w)
 
 
-def ts_kurtosis(x, d: int) -> Column:
+def ts_kurtosis(x, d: int, w: WindowSpec | None = None) -> Column:
     """Excess kurtosis in population form."""
-    return rolling(F.kurtosis, [x], d)
+    return rolling(F.kurtosis, [x], d, w=w)
 
 
-def ts_skew(x, d: int) -> Column:
-    return rolling(F.skewness, [x], d)
+def ts_skew(x, d: int, w: WindowSpec | None = None) -> Column:
+    return rolling(F.skewness, [x], d, w=w)
 
 
 def ts_ema(x: Column | str, span: int, w: WindowSpec | None = None) -> Column:
@@ -196,8 +226,7 @@ def ts_ols(y: Column | str, x: Column | str | Sequence[Column | str], d: int, w:
 def ts_weighted_beta(y: Column | str, x: Column | str, d: int, half_life: float, w: WindowSpec | None = None) -> Column:
     """Slope of a weighted regression of y on x over ``d`` rows; weights double every ``half_life`` rows.
 
-    Weights only matter relative to each other, so within the window they are taken from the row's
-    number modulo a long cycle, which keeps the powers finite in long series.
+    Weights only matter relative to each other: sums over the window decay from row to row, so no power grows with the series.
     """
     y, x, w = _col(y), _col(x), w or series()
     rows = F.collect_list(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))).over(w.rowsBetween(-(d - 1), 0))
@@ -216,7 +245,19 @@ def ffill(x: Column | str, w: WindowSpec | None = None) -> Column:
     return F.last(_col(x), ignorenulls=True).over((w or series()).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def with_ffill(df: DataFrame, name: str, x: Column | str, sym: str = SYM, date: str = DATE, block_rows: int | None = None) -> DataFrame:
+    """``df`` with the last non-null ``x`` up to each row; symbols of more than ``block_rows`` rows are spread over tasks."""
+    return with_running(df, {}, {name: _col(x)}, sym, date, block_rows=block_rows)
+
+
 def cumulative_compound(r: Column | str, w: WindowSpec | None = None) -> Column:
-    """(1 + r) multiplied up to each row, minus 1; null adds nothing."""
-    r, frame = _col(r), (w or series()).rowsBetween(Window.unboundedPreceding, 0)
-    return F.exp(F.sum(F.log1p(F.when(r > -1, r))).over(frame)) - 1
+    """(1 + r) multiplied up to each row, minus 1, by the rules of compound()."""
+    return compound(r, (w or series()).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def with_compound(df: DataFrame, name: str, r: Column | str, sym: str = SYM, date: str = DATE, block_rows: int | None = None) -> DataFrame:
+    """``df`` with cumulative_compound(); symbols of more than ``block_rows`` rows are spread over tasks."""
+    r = _col(r)
+    parts = {"__logs": _log_growth(r), "__losses": (r == -1).cast("long"), "__below": (r < -1).cast("long")}
+    rows = with_running(df, parts, {}, sym, date, block_rows=block_rows)
+    return rows.withColumn(name, _compounded(F.col("__logs"), F.col("__losses"), F.col("__below"))).drop(*parts)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.long_series import with_running
+
 
 def left_panel(index: DataFrame, members: Sequence[DataFrame], keys: Sequence[str] = ("sym", "date")) -> DataFrame:
     """The index with the columns of each member; members must be unique on ``keys``, so no row is added."""
@@ -16,23 +18,32 @@ def left_panel(index: DataFrame, members: Sequence[DataFrame], keys: Sequence[st
     return out
 
 
-def asof_panel(index: DataFrame, member: DataFrame, by: str = "sym", on: str = "date") -> DataFrame:
+def asof_panel(index: DataFrame, member: DataFrame, by: str = "sym", on: str = "date", block_rows: int | None = None) -> DataFrame:
     """At each index row, the member's latest row of the same ``by`` with ``on`` not later.
 
     Both sides are stacked and the last member row is carried along, which takes one shuffle by ``by``
-    and one sort, whatever the distance. A filter on ``on`` belongs on the index side only.
+    and one sort, whatever the distance. Null keys match nothing: member rows with one are left out,
+    index rows with one stay without a member. Of member rows that share their keys one is taken, the greatest. With
+    ``block_rows``, symbols of more rows are spread over tasks. A filter on ``on`` belongs on the index side only.
     """
     values = [c for c in member.columns if c not in (by, on)]
-    left = index.select(F.col(by), F.col(on), F.lit(1).alias("__side"), F.struct(*(c for c in index.columns if c not in (by, on))).alias("__row"), F.lit(None).alias("__m"))
-    packed = member.select(F.col(by), F.col(on), F.lit(0).alias("__side"), F.lit(None).alias("__row"), F.struct(*values).alias("__m"))
-    w = Window.partitionBy(by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = left.unionByName(packed).withColumn("__m", F.last("__m", ignorenulls=True).over(w)).where("__side = 1")
-    rest = [F.col(f"__row.{c}").alias(c) for c in index.columns if c not in (by, on)]
-    cols = {c: x for c, x in zip([c for c in index.columns if c not in (by, on)], rest, strict=True)}
-    return carried.select(*(F.col(c) if c in (by, on) else cols[c] for c in index.columns), *(F.col(f"__m.{c}").alias(c) for c in values))
+    own = [c for c in index.columns if c not in (by, on)]
+    left = index.select(F.col(by), F.col(on), F.lit(1).alias("__side"), F.struct(F.lit(1).alias("__"), *own).alias("__row"), F.lit(None).alias("__m"))
+    keyed = member.where(F.col(by).isNotNull() & F.col(on).isNotNull())
+    packed = keyed.select(F.col(by), F.col(on), F.lit(0).alias("__side"), F.lit(None).alias("__row"), F.struct(F.lit(1).alias("__"), *values).alias("__m"))
+    stacked = left.unionByName(packed)
+    tie = ["__side", "__m"] if _sortable(member, values) else ["__side"]
+    carried = with_running(stacked, {}, {"__last": F.col("__m")}, by, on, tie, block_rows).where("__side = 1")
+    known = F.col(by).isNotNull() & F.col(on).isNotNull()
+    cols = {c: F.col(f"__row.{c}").alias(c) for c in own} | {by: F.col(by), on: F.col(on)}
+    return carried.select(*(cols[c] for c in index.columns), *(F.when(known, F.col(f"__last.{c}")).alias(c) for c in values))
+
+
+def _sortable(df: DataFrame, columns: Sequence[str]) -> bool:
+    return not any("map<" in t or "variant" in t for c, t in df.dtypes if c in columns)
 
 
-def panel(index: DataFrame, members: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str] = ("sym", "date")) -> DataFrame:
+def panel(index: DataFrame, members: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str] = ("sym", "date"), block_rows: int | None = None) -> DataFrame:
     """The index joined to named members, each "left" or "asof". Columns: the index's, then each member's in order.
 
     A name that two members share is an error; a member's column that the index has is left out.
@@ -50,7 +61,7 @@ def panel(index: DataFrame, members: Mapping[str, tuple[DataFrame, str]], keys:
         if how == "left":
             out = left_panel(out, [m], keys)
         elif how == "asof":
-            out = asof_panel(out, m, keys[0], keys[1])
+            out = asof_panel(out, m, keys[0], keys[1], block_rows)
         else:
             raise ValueError(f"{how} is no kind of join here")
     return out.select(*index.columns, *taken)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cross_section import bucket, demean, rank_avg, safe_corr, section
-from ..functions.time_series import fwd_returns, series, settle
+from ..functions.time_series import compound, fwd_returns, series, settle
 
 
 @dataclass(frozen=True)
@@ -29,13 +29,14 @@ class TestSpec:
     __test__ = False
 
 
-def prepare(base: DataFrame, spec: TestSpec = TestSpec()) -> DataFrame:
-    """Test data from (sym, date, sample, returns, group, marketcap, factor).
+def prepare(base: DataFrame, spec: TestSpec = TestSpec(), keys: Sequence[str] = ("sym", "date"), block_rows: int | None = None) -> DataFrame:
+    """Test data from (sym, date, sample, returns, group, marketcap, factor); ``keys`` name the first two if they are called otherwise.
 
     Forward returns come before the date filter, so the last dates of the range keep theirs. A row
     in the sample without a factor gets sample -1; buckets are by date, or date and group.
     """
-    out = fwd_returns(base, "returns", spec.periods)
+    base = base.withColumnsRenamed(dict(zip(keys, ("sym", "date"), strict=True)))
+    out = fwd_returns(base, "returns", spec.periods, block_rows=block_rows)
     flag = F.when(F.col("sample") > 0, F.when(F.col("factor").isNull(), -1).otherwise(1)).otherwise(0)
     out = out.withColumn("sample", flag)
     out = out.withColumn("factor_quantile", bucket("factor", spec.quantiles, ("date", "group") if spec.by_group else ("date",)))
@@ -103,11 +104,12 @@ def overlapping_cumulative(returns: DataFrame, value: str, n: int, by: Sequence[
 _DAILY = ("fw_ls", "fw_raw", "fw_ind", "fw_ind_raw", "eq_raw", "eq_ind", "ls", "top_raw", "bottom_raw", "ls_ind", "hold", "mkt")
 
 
-def factor_returns(data: DataFrame, spec: TestSpec = TestSpec(), period: int | None = None, digits: int = 10) -> DataFrame:
+def factor_returns(data: DataFrame, spec: TestSpec = TestSpec(), period: int | None = None, digits: int | None = None) -> DataFrame:
     """Twelve daily series of portfolios for one period, and each compounded.
 
     Weights are centred ranks (fw_*: long-short or long only, plain or in excess of the group), equal
     (eq_*), or the outer buckets (ls, top_raw, bottom_raw); hold is the plain mean, mkt that of returns with null as 0.
+    A total loss in a daily series leaves its compound at -1. With ``digits`` daily values are settled before they are compounded.
     """
     n = f"d{period or spec.periods[0]}"
     g = _goods(data).withColumn("r", F.coalesce(n, F.lit(0.0))).withColumn("__rank", rank_avg("factor"))
@@ -120,9 +122,10 @@ def factor_returns(data: DataFrame, spec: TestSpec = TestSpec(), period: int | N
         ratio(F.col("w"), "r", F.abs("w")).alias("fw_ls"), ratio(long, "r", long).alias("fw_raw"), ratio(F.col("w"), "r_ind", F.abs("w")).alias("fw_ind"), ratio(long, "r_ind", long).alias("fw_ind_raw"),
         F.avg("r").alias("eq_raw"), F.avg("r_ind").alias("eq_ind"), (q(top, "r") - q(1, "r")).alias("ls"), q(top, "r").alias("top_raw"), q(1, "r").alias("bottom_raw"), (q(top, "r_ind") - q(1, "r_ind")).alias("ls_ind"), F.avg(n).alias("hold"), F.avg("r").alias("mkt"),
     )
-    daily = daily.withColumns({c: settle(F.col(c), digits) for c in _DAILY})
+    if digits is not None:
+        daily = daily.withColumns({c: settle(F.col(c), digits) for c in _DAILY})
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
-    return daily.withColumns({f"{c}_cum": F.when(F.col(c).isNotNull(), F.exp(F.sum(F.log1p(F.when(F.col(c) > -1, F.col(c)))).over(w)) - 1) for c in _DAILY})
+    return daily.withColumns({f"{c}_cum": F.when(F.col(c).isNotNull(), compound(c, w)) for c in _DAILY})
 
 
 SCHEMES = ("demeaned", "long_short", "raw", "sign", "sign_median", "long_short_raw")
@@ -170,15 +173,19 @@ def bucket_turnover(data: DataFrame, spec: TestSpec = TestSpec()) -> DataFrame:
     return daily.select("date", "factor_quantile", *(F.lag(f"tr_{n}", n).over(w).alias(f"turnover_d{n}") for n in spec.periods))
 
 
-def correlations(data: DataFrame, pairs: dict[str, tuple[str, str]], by: str = "date", least: int = 3) -> DataFrame:
+def correlations(data: DataFrame, pairs: dict[str, tuple[str, ...]], by: str = "date", least: int = 3) -> DataFrame:
     """Pearson and rank correlation (r_{name}, rank_{name}) of column pairs by date; null below ``least`` pairs or without variance.
 
-    All ranks of one pair are taken among the rows where both are present. Each pair of a row becomes a
-    row of its own, so that all ranks are taken by two sorts within (date, pair), after one shuffle.
+    All ranks of one pair are taken among the rows where both are present. A pair (x, y, kx, ky) is ranked by its
+    keys kx and ky. Each pair of a row becomes a row of its own, so that all ranks are taken by two sorts within (date, pair), after one shuffle.
     """
-    both = [F.struct(F.lit(n).alias("pair"), *(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c).cast("double")).alias(k) for k, c in (("x", x), ("y", y)))) for n, (x, y) in pairs.items()]
+    both = []
+    for n, names in pairs.items():
+        x, y, kx, ky = (*names, *names) if len(names) == 2 else names
+        there = F.col(x).isNotNull() & F.col(y).isNotNull()
+        both.append(F.struct(F.lit(n).alias("pair"), *(F.when(there, F.col(c).cast("double")).alias(k) for k, c in (("x", x), ("y", y), ("kx", kx), ("ky", ky)))))
     long = data.select(F.col(by), F.explode(F.array(*both)).alias("p")).select(by, "p.*")
-    ranked = long.withColumns({"rx": rank_avg("x", (by, "pair")), "ry": rank_avg("y", (by, "pair"))})
+    ranked = long.withColumns({"rx": rank_avg("kx", (by, "pair")), "ry": rank_avg("ky", (by, "pair"))})
     usable = (F.count("x") >= least) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
     found = ranked.groupBy(by, "pair").agg(F.when(usable, safe_corr(F.col("x"), F.col("y"))).alias("r"), F.when(usable, safe_corr(F.col("rx"), F.col("ry"))).alias("rank"))
     return found.groupBy(by).agg(*(F.max(F.when(F.col("pair") == n, F.col(k))).alias(f"{k}_{n}") for n in pairs for k in ("r", "rank")))
@@ -201,15 +208,28 @@ def autocorrelation(data: DataFrame, spec: TestSpec = TestSpec(), smooth: bool =
     return out
 
 
-def ic(data: DataFrame, spec: TestSpec = TestSpec(), level: str = "both") -> DataFrame:
+def _tie_key(x: str, value: Column) -> Column:
+    """``value``, which is ``x`` less a mean, without the noise of that: 12 digits of the date's largest ``x``."""
+    scale = F.max(F.abs(F.col(x))).over(section())
+    return F.when(scale > 0, F.round(value / scale, 12)).otherwise(value)
+
+
+def ic(data: DataFrame, spec: TestSpec = TestSpec(), level: str = "both", digits: int | None = None) -> DataFrame:
     """Correlation of the factor with coming returns by date: r_d{n}, rank_d{n}, and r_g{n}, rank_g{n} inside groups.
 
     Inside groups both are taken less the mean of (date, group); ``level="returns_only"`` does so for the returns only.
+    Values that are equal but for the noise of their mean tie in ranks; with ``digits`` demeaned values are settled altogether.
     """
     g = ("date", "group")
-    rows = _goods(data).withColumn("__fg", settle(demean("factor", g), 10) if level == "both" else F.col("factor"))
-    rows = rows.withColumns({f"__g{n}": settle(demean(f"d{n}", g), 10) for n in spec.periods})
-    pairs = {f"d{n}": ("factor", f"d{n}") for n in spec.periods} | {f"g{n}": ("__fg", f"__g{n}") for n in spec.periods}
+    rows, demeaned = _goods(data), [f"d{n}" for n in spec.periods] + ["factor"] * (level == "both")
+    if digits is not None:
+        rows = rows.withColumns({f"__g_{c}": settle(demean(c, g), digits) for c in demeaned})
+        key = "__g_"
+    else:
+        rows = rows.withColumns({f"__g_{c}": demean(c, g) for c in demeaned}).withColumns({f"__k_{c}": _tie_key(c, F.col(f"__g_{c}")) for c in demeaned})
+        key = "__k_"
+    fg, kf = ("__g_factor", f"{key}factor") if level == "both" else ("factor", "factor")
+    pairs = {f"d{n}": ("factor", f"d{n}") for n in spec.periods} | {f"g{n}": (fg, f"__g_d{n}", kf, f"{key}d{n}") for n in spec.periods}
     return correlations(rows, pairs)
 
 
