@@ -68,6 +68,11 @@ def file_stats(spark, sf):
     return stats.groupBy("field").agg(F.sum("n_rows").alias("n_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("null_count").alias("null_count"))
 
 
+#: What set_hash() does, over the lines of given facts: sums of four 60-bit cuts of each line's SHA-256.
+_CUTS = " || ',' || ".join(f"CAST(SUM(CAST(('0x' || h[{1 + 15 * i}:{15 + 15 * i}])::BIGINT AS HUGEINT)) AS VARCHAR)" for i in range(4))
+query("S-09_set_hash", f"SELECT o_orderstatus AS status, sha256(CAST(COUNT(*) AS VARCHAR) || ',' || {_CUTS}) AS signature FROM (SELECT o_orderstatus, sha256(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR)) AS h FROM orders) GROUP BY 1")(
+    lambda spark, sf: table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(pq.set_hash(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))).alias("signature"))
+)
 query("S-09_signature")(lambda spark, sf: pq.signature(pq.manifest(spark, [f"{sf}/lineitem.parquet", f"{sf}/orders.parquet"])))
 _ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"
 _ITEMS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
@@ -263,6 +268,13 @@ def storage_order(spark, sf):
     return rows.groupBy(F.col("part").cast("string").alias("part")).agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("int").alias("out_of_order"))
 
 
+query("L-04_union_mixed_types", """SELECT CAST(l_linenumber AS DOUBLE) AS a, CAST(l_orderkey AS DECIMAL(22,2)) AS b, CAST(l_shipdate AS TIMESTAMP) AS c, CAST(l_orderkey AS VARCHAR) AS d FROM lineitem
+  UNION ALL SELECT CAST(CAST(o_custkey AS FLOAT) / 8 AS DOUBLE), CAST(o_totalprice AS DECIMAL(10,2)), CAST(o_orderdate AS TIMESTAMP) + INTERVAL 90 MINUTE, o_orderstatus FROM orders""")(
+    lambda spark, sf: pr.union_relaxed([
+        table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("a"), F.col("l_orderkey").cast("long").alias("b"), F.col("l_shipdate").cast("date").alias("c"), F.col("l_orderkey").cast("long").alias("d")),
+        table(spark, sf, "orders").select((F.col("o_custkey").cast("float") / 8).cast("float").alias("a"), F.col("o_totalprice").cast("decimal(10,2)").alias("b"), (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("interval 90 minutes")).alias("c"), F.col("o_orderstatus").alias("d")),
+    ]).withColumn("c", F.col("c").cast("timestamp_ntz"))
+)
 query("L-04_union_relaxed", "SELECT CAST(s_suppkey AS DOUBLE) AS k, s_name AS name FROM supplier UNION ALL SELECT c_acctbal, NULL FROM customer")(
     lambda spark, sf: pr.union_relaxed([table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), table(spark, sf, "customer").select(F.col("c_acctbal").alias("k"))])
 )
@@ -310,6 +322,28 @@ def _flat(df, *by):
     return df.select(*by, "action", text("symbol_scope").alias("symbols"), text("datetime_scope").alias("dates"), text("field_scope").alias("fields"))
 
 
+query("I-01_change_scope_removed_bucket", "SELECT CAST(YEAR(l_shipdate) AS VARCHAR) AS part, 'delete' AS action, MAKE_DATE(YEAR(l_shipdate), 1, 1) AS lo, MAKE_DATE(YEAR(l_shipdate), 12, 31) AS hi FROM lineitem WHERE YEAR(l_shipdate) < 1997 GROUP BY 1, 2, 3, 4")(
+    lambda spark, sf: _removed(spark, sf)
+)
+
+
+def _removed(spark, sf):
+    """Dates of files that are gone, from the buckets their paths name."""
+    root = _bucketed(spark, sf)
+    files = pq.manifest(spark, root)
+    part = F.regexp_extract("path", "part=([0-9]+)", 1)
+    scope = inc.change_scope(spark.read.parquet(root), pq.manifest_diff(files, files.where(part >= "1997")), bucket="part")
+    return scope.select(part.alias("part"), "action", "lo", "hi")
+
+
+query("I-02_merge_ranges", """WITH o AS (SELECT DISTINCT o_orderpriority AS p, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate AS DATE) + CAST(o_custkey % 4 AS INT) AS hi FROM orders WHERE o_custkey % 50 = 3),
+  r AS (SELECT *, MAX(hi) OVER (PARTITION BY p ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
+  i AS (SELECT *, SUM(CASE WHEN reach IS NOT NULL AND lo <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY p ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM r)
+  SELECT p AS priority, MIN(lo) AS lo, MAX(hi) AS hi FROM i GROUP BY p, island""")(
+    lambda spark, sf: inc.merge_ranges(
+        table(spark, sf, "orders").where("o_custkey % 50 = 3").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("date").alias("lo"), F.expr("date_add(cast(o_orderdate as date), cast(o_custkey % 4 as int))").alias("hi")), ["priority"]
+    )
+)
 query("I-02_merge_events", f"WITH {_EV} SELECT action, {_MERGE} FROM v GROUP BY 1")(lambda spark, sf: _flat(inc.merge_events(events(spark, sf))))
 query("I-03_pending", f"WITH {_EV}, c AS (SELECT 'a' AS consumer, 'O' AS upstream, 6 AS required UNION ALL SELECT 'b', 'F', 3 UNION ALL SELECT 'b', 'O', 8) SELECT consumer, action, {_MERGE} FROM v JOIN c USING (upstream) WHERE version > required GROUP BY 1, 2")(
     lambda spark, sf: _flat(inc.pending(events(spark, sf), spark.createDataFrame([("a", "O", 6), ("b", "F", 3), ("b", "O", 8)], "consumer string, upstream string, required_version int")), "consumer")
@@ -374,6 +408,21 @@ def refresh_chain(spark, sf):
     return rounded(pq.scan(spark, root))
 
 
+@query("I-09_stream_refresh_versions", rounded_sql(f"{S}\nFINALLY SELECT *, 3 AS v FROM s", "r fv x", "sym date ic v"))
+def stream_versions(spark, sf):
+    """Repeated keys inside and across batches, late rows and a stream that starts anew: the newest version stays."""
+    from ..streaming.refresh import stream_refresh as start
+
+    source, root = scratch(spark), scratch(spark)
+    df = supplier_panel(spark, sf)
+    changed = lambda v: df.withColumns({"fv": F.col("fv") + 3 - v, "v": F.lit(v)})
+    for rows in (changed(1).union(changed(2)).union(changed(2)), changed(3), changed(0)):
+        rows.coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):  # the second run forgets the first and takes all files again
+        start(spark, source, changed(0).schema, root, scratch(spark), files_per_batch=1, version="v").awaitTermination()
+    return rounded(pq.scan(spark, root))
+
+
 @query("I-09_stream_refresh", rounded_sql(f"{S}\nFINALLY SELECT * FROM s", "r fv x", "sym date ic"))
 def stream_refresh(spark, sf):
     from ..streaming.refresh import stream_refresh as start

@@ -117,12 +117,39 @@ def page(df: DataFrame, order: Sequence[Mapping], limit: int, offset: int = 0, c
 
 
 def union_relaxed(parts: Sequence[DataFrame]) -> DataFrame:
-    """Rows of all parts by name; columns get the wider type of string, double, long."""
-    width = {"string": 3, "double": 2, "float": 1, "bigint": 1, "int": 0, "smallint": 0, "tinyint": 0}
-    kinds: dict[str, str] = {}
+    """Rows of all parts by name, a column's values in the narrowest type that holds those of all parts; missing columns are null.
+
+    Numbers widen without loss where a type for both exists (decimal and long), else to double (long and float); dates
+    and timestamps meet as timestamps. What meets a string becomes one, as do kinds that have nothing in common.
+    """
+    kinds: dict[str, list[str]] = {}
     for p in parts:
         for c, t in p.dtypes:
-            if c not in kinds or width.get(t, -1) > width.get(kinds[c], -1):
-                kinds[c] = t
-    cast = [p.select(*(F.col(c).cast(kinds[c]).alias(c) for c in p.columns)) for p in parts]
+            if t not in kinds.setdefault(c, []):
+                kinds[c].append(t)
+    wide = {c: w for c, ts in kinds.items() if (w := _common_type(ts))}
+    cast = [p.select(*(F.col(f"`{c}`").cast(wide[c]).alias(c) if c in wide else F.col(f"`{c}`") for c in p.columns)) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 20}
+
+
+def _common_type(types: Sequence[str]) -> str | None:
+    """The type that columns of several types are cast to; None where they agree, or where Spark finds it itself (nested types)."""
+    kinds = [t for t in types if t != "void"]
+    if len(kinds) < 2 or any("<" in t for t in kinds):
+        return None
+    if all(t in _WHOLE for t in kinds):
+        return max(kinds, key=_WHOLE.index)
+    decimals = [tuple(map(int, t[8:-1].split(","))) for t in kinds if t.startswith("decimal")]
+    if decimals and all(t in _WHOLE or t.startswith("decimal") for t in kinds):
+        scale = max(s for _, s in decimals)
+        whole = max([p - s for p, s in decimals] + [_DIGITS[t] for t in kinds if t in _WHOLE])
+        return f"decimal({whole + scale},{scale})" if whole + scale <= 38 else "double"
+    if all(t in ("float", "double", *_WHOLE) or t.startswith("decimal") for t in kinds):
+        return "double"
+    if all(t in ("date", "timestamp", "timestamp_ntz") for t in kinds):
+        return "timestamp" if "timestamp" in kinds else "timestamp_ntz"
+    return "string"

@@ -33,8 +33,11 @@ def profile(df: DataFrame, group: str | None = None, fields: Sequence[str] | Non
     kinds = {c: k for c, t in df.dtypes if (k := _kind(t)) and c != group and (fields is None or c in fields)}
     types = dict(df.dtypes)
     g = F.lit("all") if group is None else F.col(group).cast("string")
-    if approximate:
+    if approximate and kinds:
         return _approximate(df, g, kinds, types)
+    if not kinds:  # nothing to describe: no row
+        none = df.groupBy(g.alias("group")).agg(F.count(F.lit(1)).alias("count"), F.lit(0).cast("long").alias("null_count"), F.lit(0).cast("long").alias("nunique"))
+        return _complete(none, "", "").limit(0)
     parts = []
     g = F.coalesce(g, F.lit("null"))  # a null group is a group of its own
     for c, kind in kinds.items():

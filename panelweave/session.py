@@ -33,8 +33,8 @@ def build_session(app: str = "panelweave", master: str | None = None, shuffle_pa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate data that the cluster names in spark.checkpoint.dir; a local one only where none is named and Spark is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for intermediate data that the cluster names in spark.checkpoint.dir, or the session's checkpoint folder; a local one only where none is named and Spark is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return named or tempfile.mkdtemp(prefix="spark-checkpoint-")

@@ -40,27 +40,25 @@ def with_part(df: DataFrame, granularity: str = "year", date: str = "date") -> D
     return df.withColumn(PART, F.date_format(date, FORMATS[granularity]))
 
 
-def dealt_by_bucket(df: DataFrame, sym: str = "sym", date: str = "date", rows_per_file: int = 4_000_000) -> DataFrame:
-    """``df`` (with its bucket) so partitioned that a bucket is written as one file for each ``rows_per_file`` rows, dealt by symbol and sorted by date and symbol.
+def rebalanced(df: DataFrame, sym: str = "sym", date: str = "date") -> DataFrame:
+    """``df`` (with its bucket) gathered by bucket and sorted by date and symbol, for a partitioned write.
 
-    The buckets are counted first; their table has a row for each bucket.
+    The rows are shuffled once. Adaptive execution then splits a bucket that is larger than the session's
+    advisory partition size over several tasks and files, and lets small ones share a task: by the measured
+    sizes, so nothing is counted beforehand and the input runs once.
     """
-    files = df.groupBy(PART).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("__files"))
-    deal = F.pmod(F.xxhash64(sym), F.coalesce("__files", F.lit(1)))
-    dealt = df.join(F.broadcast(files), PART, "left").withColumn("__deal", deal).repartition(PART, "__deal")
-    return dealt.sortWithinPartitions(PART, date, sym).select(*df.columns)
+    return df.hint("rebalance", F.col(PART)).sortWithinPartitions(PART, date, sym)
 
 
-def write_all(df: DataFrame, out: str, granularity: str | None = "year", date: str = "date", sym: str = "sym", rows_per_file: int = 4_000_000) -> None:
+def write_all(df: DataFrame, out: str, granularity: str | None = "year", date: str = "date", sym: str = "sym") -> None:
     """Replace a table, in buckets by date (or flat for None), rows sorted by date and symbol within files.
 
-    A bucket becomes as many files as dealt_by_bucket() finds it needs, so a large bucket is not one
-    task. Old buckets go; an empty table keeps its schema.
+    A large bucket becomes several files, see rebalanced(). Old buckets go; an empty table keeps its schema.
     """
     if granularity is None:
         df.sortWithinPartitions(date, sym).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(out)
         return
-    parted = dealt_by_bucket(with_part(df, granularity, date), sym, date, rows_per_file)
+    parted = rebalanced(with_part(df, granularity, date), sym, date)
     parted.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(out)
 
 
@@ -91,10 +89,25 @@ def file_column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select("path", F.explode(F.array(*(f"s{i}" for i in range(len(columns))))).alias("s")).select("path", "s.*")
 
 
+def set_hash(value: Column) -> Column:
+    """An aggregate: SHA-256 of a multiset of strings, whatever their order, in a buffer of fixed size.
+
+    Each string's own SHA-256 is cut into numbers of 60 bits, which are added up exactly; sums and count are hashed.
+    """
+    digest = F.sha2(value.cast("binary"), 256)
+    sums = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    return F.sha2(F.concat_ws(",", F.count(value).cast("string"), *(s.cast("string") for s in sums)), 256)
+
+
+def file_line(*columns: str) -> Column:
+    """A manifest's row as text: path, size and mtime, or the given ones of them, with | between."""
+    texts = {"path": F.col("path"), "name": F.regexp_extract("path", "([^/]*)$", 1), "size": F.col("size").cast("string"), "mtime": F.unix_micros("mtime").cast("string")}
+    return F.concat_ws("|", *(texts[c] for c in columns or ("path", "size", "mtime")))
+
+
 def signature(files: DataFrame) -> DataFrame:
-    """One row: SHA-256 of a manifest's sorted lines path|size|mtime. A manifest has a line for each file."""
-    line = F.concat_ws("|", "path", F.col("size").cast("string"), F.unix_micros("mtime").cast("string"))
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("signature"))
+    """One row: a hash of a manifest's lines path|size|mtime, in any order. However many files there are, they meet as sums."""
+    return files.agg(set_hash(file_line()).alias("signature"))
 
 
 def columns_union(spark: SparkSession, paths: Sequence[str], tool: Sequence[str] = ("optime",)) -> DataFrame:
@@ -130,7 +143,8 @@ def storage_profile(files: DataFrame, key: str | None = None) -> DataFrame:
     return files.groupBy(*names).agg(F.sum("size").alias("storage_size"), F.count(F.lit(1)).alias("file_no"))
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], generation: str) -> DataFrame:
-    """One row for each key, that of the greatest generation."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(generation))
+def keep_last(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """One row for each key, the greatest in ``order``; of equal ones the greatest in all its columns, so that the choice is the same on each run."""
+    rest = [F.col(c).desc() for c, t in df.dtypes if c not in (*keys, *order) and "map<" not in t and t != "variant"]
+    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order), *rest)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -159,3 +159,65 @@ def test_ema_by_blocks_equals_the_window(spark):
         got = ts.with_ema(df, "v", "x", span).withColumn("w", ts.ts_ema("x", span)).collect()
         assert len(got) == len(rows)
         assert all(r.v is None and r.w is None or abs(r.v - r.w) < 1e-9 for r in got)
+
+
+def test_unions_keep_values_of_mixed_types(spark):
+    one = lambda x: spark.range(1).select(x.alias("a"))
+    cases = [
+        (F.lit(1).cast("long"), F.lit(1.5).cast("float"), "double", [1.0, 1.5]), (F.lit(2).cast("long"), F.lit("2.25").cast("decimal(10,2)"), "decimal(22,2)", [2, 2.25]), (F.lit(1).cast("tinyint"), F.lit(2).cast("int"), "int", [1, 2]),
+        (F.lit("2024-01-02").cast("date"), F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"), "timestamp_ntz", [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5)]), (F.lit(True), F.lit("x"), "string", ["true", "x"]), (F.lit(None), F.lit(3), "int", [None, 3]),
+    ]
+    for a, b, kind, want in cases:
+        u = pr.union_relaxed([one(a), one(b)])
+        assert u.dtypes == [("a", kind)] and sorted((r.a for r in u.collect()), key=str) == sorted(want, key=str)
+
+
+def test_profile_of_nothing_is_empty(spark):
+    df = spark.range(3).select((F.col("id") > 1).alias("flag"), F.array("id").alias("list"))
+    assert pf.profile(df).count() == pf.profile(df, approximate=True).count() == 0
+    assert pf.profile(df).columns == pf.profile(df.select(F.lit(1).alias("x"))).columns
+
+
+def test_streamed_keys_stay_unique_in_the_first_batch(spark, tmp_path):
+    from panelweave.streaming.refresh import stream_refresh
+
+    rows = [("a", D[0], 1.0), ("a", D[0], 3.0), ("a", D[0], 2.0), ("b", None, 9.0)]
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame(rows, "sym string, date date, x double")
+    df.coalesce(1).write.parquet(source)
+    stream_refresh(spark, source, df.schema, root, str(tmp_path / "state")).awaitTermination()
+    assert [tuple(r) for r in pq.scan(spark, root).select("sym", "date", "x").collect()] == [("a", D[0], 3.0)]
+
+
+def test_hash_of_a_set_does_not_hang_on_order(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("x"))
+    h = lambda d: d.agg(pq.set_hash(F.col("x")).alias("h")).first().h
+    assert h(df) == h(df.orderBy(F.desc("id")).repartition(7)) != h(df.where("id > 0")) and h(df.union(df)) != h(df)
+
+
+def test_ranges_merge_into_islands(spark):
+    rows = [("a", D[0], D[1]), ("a", D[2], D[3]), ("a", D[5], D[6]), ("a", D[5], D[5]), ("a", D[9], D[8]), ("b", None, D[2]), ("b", D[4], None), ("b", D[1], D[1])]
+    got = inc.merge_ranges(spark.createDataFrame(rows, "k string, lo date, hi date"), ["k"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", D[0], D[3]), ("a", D[5], D[6]), ("b", None, D[2]), ("b", D[4], None)], key=str)
+
+
+def test_a_write_runs_its_input_once_and_splits_a_large_bucket(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(400_000).select(F.xxhash64("id").cast("string").alias("sym"), F.expr("date_add(date'2020-01-01', cast(id % 300 as int) + if(id % 10 = 0, 400, 0))").alias("date"), F.rand(1).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        pq.write_all(df.mapInArrow(count, df.schema), str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert seen.value == 400_000
+    assert len(list((tmp_path / "t" / "part=2020").glob("*.parquet"))) > 3
+    files = [f for f in (tmp_path / "t").rglob("*.parquet")]
+    for f in files:
+        dates = [r.date for r in spark.read.parquet(str(f)).select("date").collect()]
+        assert dates == sorted(dates)
