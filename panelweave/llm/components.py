@@ -31,17 +31,15 @@ def _settled(edges: DataFrame) -> bool:
     return sums.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).first()[0] == 0
 
 
-def component_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (u, v) can reach.
 
     Every round is written to the checkpoint folder; only whether it is the last comes to the
-    driver. Rounds double the reach, so long chains need few. Nodes without an edge to another
-    node do not occur; null ends are ignored.
+    driver. Rounds double the reach, so long chains need few; they go on until all is settled, as each but the last
+    lowers some node's link. Nodes without an edge to another node do not occur; null ends are ignored.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges)
-    for _ in range(most_rounds):
-        if _settled(edges):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    while not _settled(edges):
         edges = cut(_star(_star(edges, True), False))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -12,6 +12,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from .common import slices
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas meta link".split())
+HIDDEN = frozenset("rp head script style template title noscript iframe noembed noframes datalist object audio video canvas meta link".split())
 #: Not displayed inside of these elements.
 HIDDEN_IN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
 BLOCK = frozenset("address article aside body center details dialog dd div dl dt fieldset figcaption figure footer form header hgroup html legend main nav option search section select summary li tr caption tbody thead tfoot".split())
@@ -44,6 +45,14 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _TAG_REST = re.compile(r"""(?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*+|(?=>|\Z)))?+)*+""")
 _DISPLAY = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+_COMBINED = re.compile(r"\s*(>)\s*|\s+")
+#: Media queries are judged for a screen of so many pixels, a mouse, and no preferences.
+VIEWPORT = {"width": 1280.0, "height": 800.0}
+_FEATURE = re.compile(r"\(\s*(?:([\d.]+\w*)\s*(<=?)\s*)?(min-|max-)?(width|height)\s*(?:(:|<=?|>=?|=)\s*([\d.]+\w*))?\s*\)")
+_MATCHING = {"orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "scripting": "enabled", "update": "fast"}
+#: Pixels of a length's unit.
+_PIXELS = {"px": 1.0, "": 1.0, "em": 16.0, "rem": 16.0, "pt": 4 / 3, "cm": 96 / 2.54, "mm": 96 / 25.4, "in": 96.0}
+_BUTTON = frozenset(("submit", "button", "reset"))
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 #: Cells span so many columns and rows at most, as HTML has it.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
@@ -51,10 +60,10 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "up")
 
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None = None) -> None:
+        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
 
 
 class _Open:
@@ -129,17 +138,19 @@ def parse(html: str) -> tuple[Node, list[str]]:
         if closing:
             opened.close(tag)
             continue
-        attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(inside)} if inside.strip(" /") else {}
+        attrs: dict[str, str] = {}
+        for a in _ATTRIBUTE.finditer(inside) if inside.strip(" /") else ():
+            attrs.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")  # of repeated attributes the first counts
         if tag in CLOSES_P:
             opened.close_within(("p",), BORDER)
         if tag in IMPLIED:
             opened.close_within(*IMPLIED[tag])
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, opened.stack[-1])
         opened.stack[-1].kids.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             node.kids.append(html[at : stop.start() if stop else n])
-            if tag == "style" and attrs.get("media", "all").lower() in ("", "all", "screen"):
+            if tag == "style" and media_applies(attrs.get("media", "")):
                 styles.append(node.kids[0])
             if not stop:
                 break
@@ -150,53 +161,157 @@ def parse(html: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
+def _pixels(length: str) -> float | None:
+    m = re.fullmatch(r"([\d.]+)(\w*)", length)
+    return float(m[1]) * _PIXELS[m[2]] if m and m[2] in _PIXELS and m[1].count(".") < 2 and m[1] != "." else None
+
+
+def _compares(a: float | None, sign: str, b: float | None) -> bool:
+    if a is None or b is None:
+        return False
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}.get(sign, a == b)
+
+
+def _feature_applies(feature: str) -> bool:
+    m = _FEATURE.fullmatch(feature)
+    if m:
+        size, ok = VIEWPORT[m[4]], True
+        if m[1]:
+            ok = _compares(_pixels(m[1]), m[2], size)
+        if m[5]:
+            sign = {"min-": ">=", "max-": "<="}.get(m[3], "=") if m[5] == ":" else m[5]
+            ok = ok and _compares(size, sign, _pixels(m[6]))
+        return ok
+    name, _, value = feature.strip("() ").partition(":")
+    return name.strip() == "color" and not value or _MATCHING.get(name.strip(), "") == value.strip() != ""
+
+
+def media_applies(query: str) -> bool:
+    """Whether a media query holds for VIEWPORT; of a list one must. Features that are not known do not apply, nor their negations."""
+    for one in query.lower().split(",") if query.strip() else ("all",):
+        words = re.findall(r"\([^()]*\)|[\w-]+", one)
+        negated = words[:1] == ["not"]
+        rest = words[1:] if words and words[0] in ("not", "only") else words
+        kinds = [w for w in rest if w[0] != "(" and w not in ("and", "or")]
+        features = [w for w in rest if w[0] == "("]
+        known = all(_FEATURE.fullmatch(f) or f.strip("() ").partition(":")[0].strip() in (*_MATCHING, "color") for f in features) and "((" not in one.replace(" ", "")
+        holds = [_feature_applies(f) for f in features]
+        applies = all(k in ("all", "screen") for k in kinds) and (any(holds) if "or" in rest else all(holds))
+        if known and applies != negated:
+            return True
+    return False
+
+
 class Rules:
-    """What style rules of one simple selector (a name, classes, an id) say about display and visibility.
+    """What style rules say about display and visibility.
 
-    The more specific rule wins, then the later one; a style attribute wins over rules. Selectors of
-    several elements are not followed, nor blocks for other media than the screen.
+    Selectors are names, classes and ids, also of several elements with a space or > between, which are matched from the right: the
+    element first, then those around it. The more specific rule wins, then the later one; a style attribute wins over rules, and what
+    is !important over what is not. Rules with other selectors (attributes, states, siblings) are not followed.
     """
 
     def __init__(self, styles: Iterable[str]) -> None:
-        self.by_key: dict[str, list[tuple[tuple[int, int], str, frozenset[str], dict[str, str]]]] = {}
+        self.by_key: dict[str, list[tuple[tuple[int, int], list[tuple[str, str, frozenset[str]]], dict[str, tuple[bool, str]]]]] = {}
         number = 0
         for text in styles:
             for selectors, said in _blocks(_COMMENT.sub("", text)):
                 for one in selectors.split(","):
-                    m = _SELECTOR.fullmatch(one.strip())
-                    if m and m[0] and m[0] != "*":
+                    steps = _steps(one.strip())
+                    if steps:
                         number += 1
-                        tag, marks = (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))
-                        weight = 100 * sum(x[0] == "#" for x in marks) + 10 * sum(x[0] == "." for x in marks) + (tag != "*")
-                        self.by_key.setdefault(min(marks, default=tag), []).append(((weight, number), tag, marks, said))
+                        weight = sum(100 * sum(x[0] == "#" for x in marks) + 10 * sum(x[0] == "." for x in marks) + (tag != "*") for _, tag, marks in steps)
+                        _, tag, marks = steps[0]
+                        self.by_key.setdefault(min(marks, default=tag), []).append(((weight, number), steps, said))
 
     def of(self, node: Node) -> dict[str, str]:
         """display and visibility as far as they are set for the element itself."""
-        out: dict[str, str] = {}
+        fits = []
         if self.by_key:
-            own = {"." + c for c in node.attrs.get("class", "").split()}
-            if "id" in node.attrs:
-                own.add("#" + node.attrs["id"])
-            fits = [(w, said) for k in (*own, node.tag) for w, tag, marks, said in self.by_key.get(k, ()) if tag in ("*", node.tag) and marks <= own]
-            for _, said in sorted(fits, key=lambda f: f[0]):
-                out |= said
-        return out | _said(node.attrs["style"]) if "style" in node.attrs else out
-
-
-def _said(declarations: str) -> dict[str, str]:
-    return {m[1].lower(): m[2].lower() for m in _DISPLAY.finditer(declarations)}
+            own = _marks(node)
+            for k in (*own, node.tag, "*"):
+                fits += [(w, said) for w, steps, said in self.by_key.get(k, ()) if _matches(node, steps)]
+        said_in_order = [said for _, said in sorted(fits, key=lambda f: f[0])]
+        if "style" in node.attrs:
+            said_in_order.append(_said(node.attrs["style"]))
+        out: dict[str, tuple[bool, str]] = {}
+        for said in said_in_order:
+            out |= {k: v for k, v in said.items() if v[0] or not out.get(k, v)[0]}
+        return {k: v for k, (_, v) in out.items()}
+
+
+def _marks(node: Node) -> set[str]:
+    own = {"." + c for c in node.attrs.get("class", "").split()}
+    if "id" in node.attrs:
+        own.add("#" + node.attrs["id"])
+    return own
+
+
+def _steps(selector: str) -> list[tuple[str, str, frozenset[str]]]:
+    """A selector from right to left: how each part is joined to the one on its right ("" for the last), its name and marks; empty if it is of another kind."""
+    out, join = [], ""
+    parts = _COMBINED.split(selector)  # part, ">" or None, part ...
+    for i in range(len(parts) - 1, -1, -2):
+        m = _SELECTOR.fullmatch(parts[i] or "")
+        if not m or not m[0]:
+            return []
+        out.append((join, (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))))
+        join = (parts[i - 1] or " ") if i else ""
+    return [] if len(out) == 1 and out[0][1:] == ("*", frozenset()) else out
+
+
+def _matches(node: Node, steps: list[tuple[str, str, frozenset[str]]]) -> bool:
+    """Whether the element, and elements around it, are those of the selector. A part joined by a space takes the nearest fit; before > that fit may have to move on."""
+    fits = lambda x, s: s[1] in ("*", x.tag) and (not s[2] or s[2] <= _marks(x))
+    if not fits(node, steps[0]):
+        return False
+    # places up to which each step has been tried, so that no element is looked at twice for one step
+    spots, i = [node], 1
+    while i < len(steps):
+        join, at = steps[i][0], spots[i - 1].up
+        while at is not None and at.up is not None and not fits(at, steps[i]):
+            at = None if join == ">" else at.up
+        if at is not None and at.up is not None:
+            spots.append(at)
+            i += 1
+            continue
+        # the latest part before that was joined by a space moves outward
+        i -= 1
+        while i > 0 and steps[i][0] == ">":
+            i -= 1
+            spots.pop()
+        if i <= 0:
+            return False
+        at = spots.pop().up
+        while at is not None and at.up is not None and not fits(at, steps[i]):
+            at = at.up
+        if at is None or at.up is None:
+            return False
+        spots.append(at)
+        i += 1
+    return True
+
+
+def _said(declarations: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility: whether important, and the value."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in _DISPLAY.finditer(declarations):
+        k, v = m[1].lower(), (bool(m[3]), m[2].lower())
+        if v[0] or not out.get(k, v)[0]:
+            out[k] = v
+    return out
 
 
-def _blocks(text: str) -> Iterator[tuple[str, dict[str, str]]]:
-    """Selectors and what they say, of the rules that apply to a screen and speak of display or visibility."""
-    at, skip = 0, 0  # how many blocks for other media are open
+def _blocks(text: str) -> Iterator[tuple[str, dict[str, tuple[bool, str]]]]:
+    """Selectors and what they say, of the rules that apply to VIEWPORT and speak of display or visibility."""
+    at, skip = 0, 0  # how many blocks that do not apply are open
     while (m := re.compile(r"[{}]").search(text, at)) is not None:
         head = text[at : m.start()].rpartition(";")[2].strip()
         at = m.end()
         if m[0] == "}":
             skip = max(0, skip - 1)
         elif skip or head.startswith("@"):
-            if skip or not re.match(r"@media\s+(?:only\s+)?(?:screen|all)\b|@supports|@layer", head):
+            rule = re.match(r"@(media|supports|layer)\b(.*)", head, re.S)
+            if skip or not rule or (rule[1] == "media" and not media_applies(rule[2])) or (rule[1] == "supports" and rule[2].strip().startswith("not")):
                 skip += 1
         else:
             end = text.find("}", at)
@@ -212,7 +327,7 @@ class _Writer:
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.breaks, self.space, self.mark, self.aligned = 0, False, "", False
+        self.breaks, self.space, self.mark = 0, False, ""
 
     def text(self, s: str) -> None:
         s = _SPACE.sub(" ", s)
@@ -248,6 +363,17 @@ class _Writer:
         return "".join(self.parts)
 
 
+def columns_of(text: str) -> int:
+    """Columns that a text takes: two for a wide character, none for one that is written over another."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _padded(text: str, size: int) -> str:
+    return text + " " * max(0, size - columns_of(text))
+
+
 def _span(node: Node, name: str, most: int) -> int:
     value = node.attrs.get(name, "").strip()
     n = int(value) if value.isdecimal() and len(value) < 10 else 1
@@ -279,7 +405,7 @@ def layout(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     spread = []
     for row in placed:
         for c, end, lines in row:
-            i, j, size = number[c], bisect_right(begins, end - 1), max(map(len, lines), default=0)
+            i, j, size = number[c], bisect_right(begins, end - 1), max(map(columns_of, lines), default=0)
             if j - i == 1:
                 width[i] = max(width[i], size)
             else:
@@ -293,7 +419,7 @@ def layout(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             for c, end, lines in row:
                 i, j = number[c], bisect_right(begins, end - 1)
                 parts += [" " * width[x] for x in range(at, i)]
-                parts.append((lines[k] if k < len(lines) else "").ljust(sum(width[i:j]) + 3 * (j - i - 1)))
+                parts.append(_padded(lines[k] if k < len(lines) else "", sum(width[i:j]) + 3 * (j - i - 1)))
                 at = j
             out.append(" | ".join(parts).rstrip())
     return out
@@ -315,13 +441,18 @@ def render(root: Node, styles: Iterable[str] = ()) -> str:
         tag = node.tag
         if entering:
             said = rules.of(node) if rules.by_key or "style" in node.attrs else {}
-            shown = said.get("display", "none" if "hidden" in node.attrs else "") != "none"
+            closed = "hidden" in node.attrs or "popover" in node.attrs or (tag == "dialog" and "open" not in node.attrs)
+            shown = said.get("display", "none" if closed else "") != "none"
             if tag in HIDDEN or not shown or (tag == "input" and node.attrs.get("type", "").lower() == "hidden") or any(n and tag in HIDDEN_IN[t] for t, n in inside.items()):
                 continue
+            visibility = said.get("visibility")
             if tag == "br":
                 out.breaks += 1
                 continue
-            visibility = said.get("visibility")
+            if tag == "input":  # a button's label is its value
+                if node.attrs.get("type", "").lower() in _BUTTON and (seen[-1] if visibility in (None, "inherit") else visibility not in ("hidden", "collapse")):
+                    out.text(unescape(node.attrs.get("value", "")))
+                continue
             seen.append(seen[-1] if visibility in (None, "inherit") else visibility not in ("hidden", "collapse"))
             if tag == "li":
                 depth = "  " * max(0, len(lists) - 1)
@@ -363,8 +494,7 @@ def render(root: Node, styles: Iterable[str] = ()) -> str:
         if inside["svg"] and tag == "text":
             out.block(1)
         if tag in ("td", "th") and tables:
-            # a table in a cell keeps its lines, other text is one line
-            lines = [x for x in out.done().split("\n") if x] if out.aligned else [" ".join(out.done().split())]
+            lines = [x.rstrip() for x in out.done().split("\n") if x.strip()]  # blocks, lists and tables in a cell keep their lines
             out = writers.pop()
             if not tables[-1]:
                 tables[-1].append([])
@@ -373,7 +503,6 @@ def render(root: Node, styles: Iterable[str] = ()) -> str:
         if tag in ("ul", "ol", "menu") and lists:
             lists.pop()
         elif tag == "table" and tables:
-            out.aligned = True
             lines = [x for x in layout(tables.pop()) if x.strip(" |")]
             for i, x in enumerate(lines):
                 out.block(1 if i else 2)
@@ -400,6 +529,8 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns ``keep`` and ``text`` of each row of ``pages`` (html); rows stay in their partitions.
 
+    Shown is what a screen of VIEWPORT shows without scripts. Pages of any length are parsed whole, in time and memory in proportion.
+
     Null and empty pages give an empty text; broken markup gives the text that a tolerant reader sees.
     Repeated rows are rendered each; other columns are ignored; an empty table gives an empty result.
     """

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, slices
+from .common import cut, free_names, join_hot, slices
 from .components import component_labels
 
 PERMUTATIONS = 72
@@ -36,21 +36,11 @@ BROADCAST_IDS = 500_000
 #: Rows of one join key that a task gets at most.
 DEALT = 4000
 _SEED = np.random.default_rng(7919)
-_BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_SEED.integers(1, 2**63, 256, dtype=np.uint64)  # keeps the numbers below what they were
 _FLIP = _SEED.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
 _TIMES = _SEED.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 1 << 16
-
-
-def _powers(p: int, n: int) -> np.ndarray:
-    out = np.full(n, p, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP = _powers(int(_P), _STEP)
-_DOWN = _powers(pow(int(_P), -1, 2**64), _STEP)
+#: Seed of the words' hash.
+_WORD_SEED = 0x9E3779B97F4A7C15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -95,23 +85,22 @@ def shingle_sets(documents: list[str], width: int) -> list[np.ndarray]:
     """Of each text, the sorted distinct 64-bit hashes of its shingles of ``width`` words.
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case. A text of fewer words
-    is one shingle, a text without words none. A word's hash is a difference of running sums over
-    the bytes of all texts, so no word becomes a Python object.
+    is one shingle, a text without words none. Each distinct word of the batch is hashed as a whole, by XXH3: not
+    by a sum over its letters, for which there are words of any kind that no table of letters tells apart.
     """
-    data = "\n".join(documents).encode("utf-8", "surrogatepass")
-    low = np.frombuffer(data.lower(), dtype=np.uint8)
-    ends = np.cumsum([len(d.encode("utf-8", "surrogatepass")) + 1 for d in documents])
-    if not len(low):
-        return [np.empty(0, np.uint64) for _ in documents]
+    raw = [d.encode("utf-8", "surrogatepass") for d in documents]
+    low = np.frombuffer(b"\n".join(raw).lower(), dtype=np.uint8)
+    ends = np.cumsum([len(d) + 1 for d in raw])
     inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # sums restart at each block: powers go by the place in the word's own block
-    words = np.empty(len(starts), np.uint64)
-    for at in range(0, len(starts), 4096):
-        a, b = starts[at : at + 4096], stops[at : at + 4096]
-        words[at : at + len(a)] = _word_hashes(low[a[0] : b[-1]], a - a[0], b - a[0])
-    words = _mix(words)
+    words = np.empty(0, np.uint64)
+    if len(starts):
+        offsets = np.concatenate(([0], np.cumsum(stops - starts)))
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(low[inside].tobytes())]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, _WORD_SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        words = hashes[coded.indices.to_numpy(zero_copy_only=False)]
     first = np.searchsorted(starts, np.concatenate(([0], ends)))
     out = []
     for k in range(len(documents)):
@@ -127,17 +116,6 @@ def shingle_sets(documents: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def _word_hashes(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if len(low) >= _STEP:  # long words: each on its own
-        if len(a) > 1:
-            half = len(a) // 2
-            left = _word_hashes(low[: b[half - 1]], a[:half], b[:half])
-            return np.concatenate((left, _word_hashes(low[a[half] :], a[half:] - a[half], b[half:] - a[half])))
-        return np.array([xxhash.xxh3_64_intdigest(low[a[0] : b[0]].tobytes())], np.uint64)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[low] * _UP[: len(low)], dtype=np.uint64)))
-    return (sums[b] - sums[a]) * _DOWN[a]
-
-
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Least and greatest hash of each non-empty set under each permutation, upper 32 bits: (sets, 2 x permutations)."""
     out = np.empty((len(sets), 2 * PERMUTATIONS), np.uint32)
@@ -249,13 +227,16 @@ def _near(first: tuple[str, str], second: tuple[str, str], percent: int) -> Colu
 
 
 def _in_buckets(classes: DataFrame) -> DataFrame:
-    """Stored (bucket, id, n, sketch, head, head_n, head_sketch) of the buckets with several classes; the head shares most buckets."""
+    """Stored (bucket, id, n, sketch, head, head_n, head_sketch) of the buckets with several classes; the head shares most buckets.
+
+    A bucket may have most classes as members: join_hot() keeps them apart.
+    """
     banded = classes.select("id", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    weight = banded.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
+    sizes = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    weight = join_hot(banded, sizes, ["bucket"], "size").groupBy("id").agg(F.sum("size").alias("weight"))
     paired = classes.join(weight, "id").select(F.explode("bands").alias("bucket"), F.struct("weight", (-F.col("id")).alias("minus_id"), "n", "sketch").alias("m"))
-    heads = paired.groupBy("bucket").agg(F.max("m").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return cut(paired.join(heads, "bucket").select("bucket", (-F.col("m.minus_id")).alias("id"), "m.n", "m.sketch", (-F.col("h.minus_id")).alias("head"), F.col("h.n").alias("head_n"), F.col("h.sketch").alias("head_sketch")))
+    heads = cut(paired.groupBy("bucket").agg(F.max("m").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    return cut(join_hot(paired, heads, ["bucket"], "size").select("bucket", (-F.col("m.minus_id")).alias("id"), "m.n", "m.sketch", (-F.col("h.minus_id")).alias("head"), F.col("h.n").alias("head_n"), F.col("h.sketch").alias("head_sketch")))
 
 
 def _spokes(in_buckets: DataFrame, percent: int) -> DataFrame:

@@ -37,7 +37,10 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+#: Scripts without spaces between words: each character is a term.
+_UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: A run of letters and digits of any length: names of two letters, house and account numbers, postcodes, mixed tokens.
+_TERM = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 #: Secrets, an entity kind of the method's own: values assigned to a name that says so, keys of well-known forms, long hexadecimal strings.
 _SECRET = re.compile(
     r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?)([^\s"',;]{8,})"""
@@ -181,9 +184,14 @@ def _document_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flush()
 
 
-def _broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df``, which must be stored, if it has at most so many rows; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _text_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        hashes, terms = [], []
+        for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found = {w.lower() for w in set(_TERM.findall(text or ""))}
+            terms += found
+            hashes += [key] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(terms, pa.string())], ["text_hash", "term"])
 
 
 def telling_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -200,9 +208,15 @@ def telling_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     of_entity = cut(near.groupBy("entity").agg(witnesses.alias("n_entity"), F.count_distinct("term").alias("n_terms")))
     copies = cut(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     terms = cut(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_pairs")))
-    weighted = docs.join(_broadcast_if_small(copies, 200_000), "text_hash", "left").select("text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
-    counted = weighted.mapInArrow(_document_terms, "term string, n double")
-    of_term = counted.join(_broadcast_if_small(terms.select("term"), 200_000), "term", "left_semi").groupBy("term").agg(F.round(F.sum("n"), 6).alias("n_term"))
+    n_copies, n_terms = copies.count(), terms.count()
+    asked = F.broadcast(terms.select("term")) if n_terms <= 200_000 else terms.select("term")
+    if n_copies <= 200_000:
+        weighted = docs.join(F.broadcast(copies), "text_hash", "left").select("text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+        counted = weighted.mapInArrow(_document_terms, "term string, n double")
+        of_term = counted.join(asked, "term", "left_semi").groupBy("term").agg(F.round(F.sum("n"), 6).alias("n_term"))
+    else:  # texts are not shuffled to find their copies: their hashes are, with the terms that are asked for
+        counted = docs.select("text_hash", "text").mapInArrow(_text_terms, "text_hash long, term string").join(asked, "term", "left_semi")
+        of_term = counted.groupBy("term").agg(F.count_distinct("text_hash").cast("double").alias("n_term"))
     of_term = cut(of_term.join(terms, "term"))
     total = F.lit(float(found.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)))
     bits = F.log(total / F.col("n_entity"))
@@ -216,6 +230,9 @@ def telling_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64) and ``spans`` (kind, start, end) of each row of ``docs`` (doc_id, text), by start, then kind.
 
+    Terms are runs of letters and digits, in Chinese and Japanese writing single characters; they are compared in lower case.
+    Texts of any length are read whole; of their terms only places are held.
+
     Kinds are email, ip, card and phone, then secret, and for the terms that disclose such a value
     term_removed or, generalised, term_ and the kind of the value. Terms and secrets never overlap the
     others. Null and empty texts have no spans. Repeated rows and rows without an id are documents of

@@ -608,3 +608,93 @@ def test_exact_groups_with_hot_lists_and_ambiguous_identifiers(spark, monkeypatc
     monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect()}
     assert got == {i: (0, 6) for i in range(6)} | {6: (6, 2), 7: (6, 2), 8: (8, 1), 9: (9, 2), 10: (9, 2)}
+
+
+def test_words_that_no_table_of_letters_tells_apart_are_not_linked(spark):
+    a, b = "x", "y"
+    for _ in range(11):  # Thue-Morse words of 2,048 letters: equal under any polynomial modulo a power of two
+        a, b = a + b, b + a
+    sets = minhash.shingle_sets([f"one two {a} four", f"one two {b} four", f"one two {a} four"], 3)
+    assert not set(sets[0].tolist()) & set(sets[1].tolist()) and sets[0].tolist() == sets[2].tolist()
+    text = lambda w: " ".join([w] * 3 + [f"w{i}" for i in range(3)])
+    docs = spark.createDataFrame([(1, text(a)), (2, text(b)), (3, f"{b} {b}"), (4, f"{a} {a}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_short_and_mixed_terms_are_assessed(spark, monkeypatch):
+    filler = ["the weather of the day was fair and people went out to see it again " * 3 for _ in range(30)]
+    rows = [(i, t + str(i)) for i, t in enumerate(filler)] + [(100, "write to Li Wu 44715 apt 4B 王芳 at li@example.org now"), (101, None), (102, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = rows[30][1]
+    for limit in (200_000, -1):  # with -1 no copies are broadcast and the other way of counting is taken
+        if limit < 0:
+            source = pii.telling_terms.__code__
+            consts = tuple(limit if c == 200_000 else c for c in source.co_consts)
+            monkeypatch.setattr(pii.telling_terms, "__code__", source.replace(co_consts=consts))
+        spans = next(r.spans for r in pii.find_personal_data(docs).collect() if r.doc_id == 100)
+        found = {text[s.start : s.end] for s in spans if s.kind.startswith("term_")}
+        assert {"Li", "Wu", "44715", "4B", "王", "芳"} <= found and "the" not in found
+
+
+def test_html_media_queries_and_important_rules():
+    page = lambda css, body: html_text.extract(f"<style>{css}</style>{body}")
+    shown = "<p class=menu id=m>menu"
+    assert page("@media screen and (max-width:600px){.menu{display:none}}", shown) == "menu"
+    for query in ("(min-width: 600px)", "screen", "only screen and (min-width:40em)", "print, (width >= 800px)", "(400px <= width <= 1400px)", "not print", "(orientation: landscape)", "not (max-width: 600px)"):
+        assert page(f"@media {query} {{.menu{{display:none}}}}", shown) == "", query
+    for query in ("print", "(min-width: 2000px)", "(unknown: 1)", "not (unknown: 1)", "not screen", "(prefers-color-scheme: dark)", "(width < 800px)"):
+        assert page(f"@media {query} {{.menu{{display:none}}}}", shown) == "menu", query
+    assert page(".x{display:none !important}", "<p class=x style='display:block'>a</p>b") == "b"
+    assert page(".x{display:none}", "<p class=x style='display:block'>a</p>b") == "a\n\nb"
+    assert page(".x{display:none}", "<p class=x style='display:block' style='display:none'>a") == "a"
+    assert html_text.extract("<style media='(max-width: 9px)'>p{display:none}</style><p>a") == "a"
+
+
+def test_html_selectors_of_several_elements():
+    page = lambda css, body: html_text.extract(f"<style>{css}</style>{body}")
+    body = "<div class=a><section><p class=b>one</p></section></div><p class=b>two</p>"
+    assert page(".a .b{display:none}", body) == "two" and page(".a > .b{display:none}", body) == "one\n\ntwo"
+    assert page("div.a section > p{display:none}", body) == "two" and page("section .a p{display:none}", body) == "one\n\ntwo"
+    assert page(".a > i > b u{display:none}", "<div class=a><i><b><b><i><b><u>no</u></b></i></b></b></i></div>x") == "x"
+    assert page(".a > b u{display:none}", "<div class=a><i><b><u>yes</u></b></i></div>") == "yes"
+    assert page("p:hover, [x], a ~ b{display:none}", "<p x>y") == "y"
+    assert page("div div div div div u{display:none}", "<div>" * 3000 + "<u>no</u>") == ""
+
+
+def test_html_closed_boxes_buttons_and_cells():
+    assert html_text.extract("<dialog>no</dialog><dialog open>yes</dialog><div popover>no</div><ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>") == "yes\n漢kan"
+    assert html_text.extract("<input type=submit value='Send it'> <input value=typed><input type=hidden value=x>") == "Send it"
+    assert html_text.extract("<table><tr><td><p>one</p><p>two</p><ul><li>x<li>y</ul><td>a<br>b<tr><td>k<td>v</table>") == "one | a\ntwo | b\n- x |\n- y |\nk   | v"
+    assert html_text.extract("<table><tr><td>漢字<td>a<tr><td>abcd<td>b</table>") == "漢字 | a\nabcd | b"
+
+
+def naive(node):
+    """The text of a small page by recursion, with borders as characters."""
+    if isinstance(node, str):
+        return node
+    tag, hidden, kids = node
+    if hidden:
+        return ""
+    gap = {"p": "\2", "h1": "\2", "div": "\1", "section": "\1"}.get(tag, "")  # borders of paragraphs and of lines
+    return gap + "".join(map(naive, kids)) + gap
+
+
+def test_html_equals_a_naive_renderer_on_random_trees():
+    rng = np.random.default_rng(11)
+
+    def grow(depth, inline=False):
+        kids = []
+        for _ in range(rng.integers(0, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                kids.append(" ".join(rng.choice(["a", "bc", "d&amp;e", " "], rng.integers(1, 4))))
+            else:
+                tag = str(rng.choice(["span", "b"] if inline else ["div", "section", "span", "b", "p", "h1"]))
+                kids.append((tag, rng.random() < 0.15, grow(depth - 1, inline or tag in ("span", "b", "p", "h1"))))
+        return kids
+
+    write = lambda n: n if isinstance(n, str) else f"<{n[0]}{' hidden' * n[1]}>{''.join(map(write, n[2]))}</{n[0]}>"
+    for _ in range(400):
+        kids = grow(4)
+        flat = re.sub("[ \1\2]*[\1\2][ \1\2]*", lambda m: "\n\n" if "\2" in m[0] else "\n", re.sub(" +", " ", "".join(map(naive, kids))))
+        assert html_text.extract("".join(map(write, kids))) == flat.strip().replace("&amp;", "&")
+
