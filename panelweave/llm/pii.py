@@ -208,13 +208,13 @@ def telling_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     of_entity = cut(near.groupBy("entity").agg(witnesses.alias("n_entity"), F.count_distinct("term").alias("n_terms")))
     copies = cut(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     terms = cut(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_pairs")))
-    n_copies, n_terms = copies.count(), terms.count()
-    asked = F.broadcast(terms.select("term")) if n_terms <= 200_000 else terms.select("term")
-    if n_copies <= 200_000:
+    if copies.count() <= 200_000:
         weighted = docs.join(F.broadcast(copies), "text_hash", "left").select("text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
         counted = weighted.mapInArrow(_document_terms, "term string, n double")
-        of_term = counted.join(asked, "term", "left_semi").groupBy("term").agg(F.round(F.sum("n"), 6).alias("n_term"))
+        # added up before the join with the terms asked for: each task has most of these, so their matches would grow with tasks x terms
+        of_term = counted.groupBy("term").agg(F.round(F.sum("n"), 6).alias("n_term"))
     else:  # texts are not shuffled to find their copies: their hashes are, with the terms that are asked for
+        asked = F.broadcast(terms.select("term")) if terms.count() <= 200_000 else terms.select("term")
         counted = docs.select("text_hash", "text").mapInArrow(_text_terms, "text_hash long, term string").join(asked, "term", "left_semi")
         of_term = counted.groupBy("term").agg(F.count_distinct("text_hash").cast("double").alias("n_term"))
     of_term = cut(of_term.join(terms, "term"))
