@@ -265,11 +265,35 @@ def single_regression(spark, sf):
     return rounded(regress.cross_section_models(rows, "r", {"m0": ["x"]}), 6)
 
 
-query("A-15_multi_regression")(lambda spark, sf: rounded(regression(spark, sf), 6))
-query("R-19_cs_regression")(lambda spark, sf: rounded(regress.model_summary(regression(spark, sf)), 6))
+# Second moments by date, then one regressor after the other taken out of the rest: size, beta, and the factor last.
+_PAIRS = {"ff": ("factor", "factor"), "fc": ("factor", "beta"), "fz": ("factor", "size"), "fy": ("factor", "rex"), "cc": ("beta", "beta"), "cz": ("beta", "size"), "cy": ("beta", "rex"), "zz": ("size", "size"), "zy": ("size", "rex"), "yy": ("rex", "rex")}
 
 
-@query("R-20_core_summary")
+def _out(p: str, rest: str) -> str:
+    """The moments of ``rest`` after the regressor ``p`` is taken out."""
+    at = lambda a, b: a + b if a + b in _PAIRS else b + a
+    return ", ".join(f"{a}{b} - {at(a, p)} * {at(b, p)} / NULLIF({p}{p}, 0) AS {a}{b}" for i, a in enumerate(rest) for b in rest[i:])
+
+
+def _stats_sql(m: str, source: str, k: int, regular: str) -> str:
+    fit = f"CASE WHEN {regular} AND ff > 1e-12 * ff0 AND n > {k} AND yy0 > 0 AND yy - fy * fy / NULLIF(ff, 0) > 1e-14 * yy0 THEN "
+    return f"{m} AS (SELECT date, {fit}fy / ff / SQRT((yy - fy * fy / ff) / ((n - {k}) * ff)) END AS t_{m}, {fit}1 - (yy - fy * fy / ff) / yy0 END AS r2_{m} FROM {source})"
+
+
+_KEEP = "date, n, ff0, cc0, zz0, yy0"
+_MODELS = f"""mb AS (SELECT sym, date, r, LN(fv) AS size, x AS factor FROM s WHERE fv > 20000 AND CAST(sym AS INT) % 7 <> 0), mm AS (SELECT *, AVG(r) OVER (PARTITION BY date) AS rm FROM mb),
+  mv AS (SELECT date, r - 0.0001 AS rex, CASE WHEN COUNT(r) OVER w = 20 THEN REGR_SLOPE(r, rm) OVER w END AS beta, size, factor FROM mm WINDOW w AS (PARTITION BY sym ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+  ma AS (SELECT *, ff AS ff0, cc AS cc0, zz AS zz0, yy AS yy0 FROM (SELECT date, COUNT(*) AS n, {', '.join(f'COVAR_POP({a}, {b}) AS {k}' for k, (a, b) in _PAIRS.items())} FROM mv WHERE rex IS NOT NULL AND factor IS NOT NULL AND beta IS NOT NULL AND size IS NOT NULL GROUP BY 1)),
+  me AS (SELECT {_KEEP}, {_out('c', 'fy')} FROM ma), mz AS (SELECT {_KEEP}, zz, {_out('z', 'fcy')} FROM ma), mzb AS (SELECT {_KEEP}, zz, cc, {_out('c', 'fy')} FROM mz),
+  {_stats_sql('m0', 'ma', 2, 'TRUE')}, {_stats_sql('m1', 'me', 3, 'cc0 > 0')}, {_stats_sql('m2', 'mzb', 4, 'zz > 0 AND cc > 1e-12 * cc0')}, mj AS (SELECT * FROM m0 JOIN m1 USING (date) JOIN m2 USING (date)),
+  mr AS (SELECT date, {', '.join(f'CASE WHEN COUNT({c}) OVER w >= 30 THEN AVG({c}) OVER w END AS {n}' for n, c in (('gain_m1', '(r2_m1 - r2_m0)'), ('gain_m2', '(r2_m2 - r2_m0)'), ('share_t', 'CAST(ABS(t_m2) > 2 AS INT)')))} FROM mj WINDOW w AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))"""
+_FITS, _GAINS = " ".join(f"t_{m} r2_{m}" for m in MODELS), "gain_m1 gain_m2 share_t"
+query("A-15_multi_regression", rounded_sql(f"WITH s AS ({FXS_SQL}), {_MODELS}\nFINALLY SELECT * FROM mj", _FITS, "date", 6))(lambda spark, sf: rounded(regression(spark, sf), 6))
+query("R-19_cs_regression", rounded_sql(f"WITH s AS ({FXS_SQL}), {_MODELS}\nFINALLY SELECT * FROM mr", _GAINS, "date", 6))(lambda spark, sf: rounded(regress.model_summary(regression(spark, sf)), 6))
+_COUNTS = "cn AS (SELECT date, COUNT(*) AS tno, COUNT(*) FILTER (sample = 1) AS sfno, COUNT(factor) AS fno, COUNT(*) FILTER (sample <> 0) AS sno, COUNT(*) FILTER (sample = -1) AS xno FROM d GROUP BY 1)"
+
+
+@query("R-20_core_summary", rounded_sql(f"{SMOOTHED}, {_MODELS}, {_COUNTS}, cv AS (SELECT {_SHARES} FROM cn)\nFINALLY SELECT * FROM mr FULL JOIN y2 USING (date) FULL JOIN cv USING (date)", f"{_GAINS} {_names(AC)} {CVG}", "date", 6))
 def core_summary(spark, sf):
     rows = data(spark, sf)
     return rounded(align_by_date([regress.model_summary(regression(spark, sf)), testers.autocorrelation(rows, SPEC, smooth=True), testers.coverage(rows)]), 6)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import FXS_SQL, event_panel, supplier_panel, table
 from ..functions import cross_section as cs
+from ..functions import order_statistics as order
 from ..functions import scalar as sc
 from ..functions import time_series as ts
 from .registry import SQL, E, S, column, query, r, rounded
@@ -73,6 +74,13 @@ rolling("T-09_ts_std", lambda: ts.ts_std("x", 10), "STDDEV_SAMP(x) OVER w")
 rolling("T-09_ts_var", lambda: ts.ts_var("x", 10), "VAR_SAMP(x) OVER w")
 rolling("T-10_ts_median", lambda: ts.ts_median("x", 10), "MEDIAN(x) OVER w")
 rolling("T-10_ts_quantile", lambda: ts.ts_quantile("x", 10, 0.2), "QUANTILE_CONT(x, 0.2) OVER w")
+
+
+@query("T-10_sliding_quantiles", f"{S} SELECT sym, date, {r('CASE WHEN COUNT(x) OVER v = 60 THEN QUANTILE_CONT(x, 0.1) OVER v END')} AS low, {r('CASE WHEN COUNT(x) OVER v = 60 THEN MEDIAN(x) OVER v END')} AS mid, {r('CASE WHEN COUNT(x) OVER v = 60 THEN QUANTILE_CONT(x, 0.95) OVER v END')} AS high FROM s WINDOW v AS (PARTITION BY sym ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")
+def sliding_quantiles(spark, sf):
+    return rounded(order.with_quantiles(supplier_panel(spark, sf).select("sym", "date", "x"), "x", 60, {"low": 0.1, "mid": 0.5, "high": 0.95}, block_rows=1000).drop("x"))
+
+
 MOMENTS = "(SELECT sym, date, x, n, m1 AS m, m2 - m1 * m1 AS v, m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1 AS c3, m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1 AS c4 FROM (SELECT sym, date, x, COUNT(x) OVER w AS n, AVG(x) OVER w AS m1, AVG(x * x) OVER w AS m2, AVG(x * x * x) OVER w AS m3, AVG(x * x * x * x) OVER w AS m4 FROM s " + W + "))"
 column("T-11_ts_kurtosis", lambda: F.when(ts.ts_var("x", 10) > 1e-6, ts.ts_kurtosis("x", 10)), "CASE WHEN n = 10 AND v > 1e-6 THEN c4 / (v * v) - 3 END", source=MOMENTS, digits=5)
 column("T-11_ts_skew", lambda: F.when(ts.ts_var("x", 10) > 1e-6, ts.ts_skew("x", 10)), "CASE WHEN n = 10 AND v > 1e-6 THEN c3 / POW(v, 1.5) END", source=MOMENTS, digits=5)
