@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import table
@@ -77,3 +78,11 @@ def _cross(spark, sf):
 
 query("G-08_topological_levels", f"WITH e AS ({LAYERS}), {_NODES} SELECT id, CASE SUBSTR(id, 1, 1) WHEN 'r' THEN 2 WHEN 'n' THEN 1 ELSE 0 END AS level FROM n")(lambda spark, sf: gr.topological_levels(layers(spark, sf)))
 
+
+
+@query("G-08_levels_of_long_chains", "SELECT 'e' || event_id AS id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS level FROM events WHERE user_id IS NOT NULL QUALIFY COUNT(*) OVER (PARTITION BY user_id) > 1")
+def chains(spark, sf):
+    """Each event follows the one before it of its user: one chain for each user, as deep as the user has events."""
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = table(spark, sf, "events").where("user_id is not null").select(F.lag("event_id").over(by_user).alias("src"), F.col("event_id").alias("dst"))
+    return gr.topological_levels(before.where("src is not null").select(F.concat(F.lit("e"), "src").alias("src"), F.concat(F.lit("e"), "dst").alias("dst")))

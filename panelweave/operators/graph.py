@@ -109,22 +109,61 @@ def cross_layer_check(column_edges: DataFrame, owners: DataFrame, asset_edges: D
     return owned.join(paths.toDF("src_owner", "dst_owner"), ["src_owner", "dst_owner"], "left_anti").select("src", "dst", "src_owner", "dst_owner")
 
 
-def topological_levels(edges: DataFrame) -> DataFrame:
+def topological_levels(edges: DataFrame, share: float = 0.125) -> DataFrame:
     """id and level: the longest way from a node without in-edges. A cycle is an error.
 
-    Each round takes away at least one node, so the rounds end.
+    A node with a single edge left to it lies that edge's length below its source, so such nodes are taken out together where
+    they are at least ``share`` of what is left: pointers are doubled up to the nearest node that stays, and edges from
+    there carry the length of the way. Otherwise the nodes without in-edges go, and hand their levels on. A chain, a tree or a
+    chain with trees at its side thus takes a number of rounds that grows with the logarithm of its length; a graph whose nodes keep
+    several ways into them takes a round for each level. Rows with a null end are no edges.
     """
-    left = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    todo = cut(left.select("src").union(left.select("dst")).distinct().toDF("id"))
-    done, level = todo.limit(0).withColumn("level", F.lit(0)), 0
-    while todo.take(1):
-        free = cut(todo.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        if not free.take(1):
+    links = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct().withColumn("w", F.lit(1)))
+    nodes = links.select("src").union(links.select("dst")).distinct().toDF("id").withColumn("least", F.lit(0))
+    levels, hops, rounds = nodes.limit(0).toDF("id", "level"), [], 0
+    while True:
+        into = links.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.max("src").alias("src"), F.max("w").alias("w"))
+        state = nodes.join(into.withColumnRenamed("dst", "id"), "id", "left")
+        kind = F.when(F.col("n").isNull(), "free").when((F.col("n") == 1) & (F.col("least") <= F.col("w")), "single").otherwise("later")
+        state = cut(state.withColumn("kind", kind))
+        sizes = {k: n for k, n in state.groupBy("kind").count().collect()}
+        total, single = sum(sizes.values()), sizes.get("single", 0)
+        if not total:
+            break
+        rounds += 1
+        if single and single >= share * total:
+            up = _anchors(state.where("kind = 'single'").select("id", F.col("src").alias("anchor"), F.col("w").alias("far")), single)
+            hops.append(up)
+            stay = links.join(up.select(F.col("id").alias("dst")), "dst", "left_anti").join(up.withColumnRenamed("id", "src"), "src", "left")
+            stay = stay.select(F.coalesce("anchor", "src").alias("src"), "dst", (F.col("w") + F.coalesce("far", F.lit(0))).alias("w"))
+            links = cut(stay.groupBy("src", "dst").agg(F.max("w").alias("w")))
+            nodes = state.where("kind <> 'single'").select("id", "least")
+        elif "free" in sizes:
+            free = state.where("kind = 'free'").select("id", F.col("least").alias("level"))
+            levels = levels.union(free)
+            handed = links.join(free.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("level") + F.col("w")).alias("handed"))
+            nodes = cut(state.where("kind <> 'free'").select("id", "least").join(handed, "id", "left").select("id", F.greatest("least", "handed").alias("least")))
+            links = cut(links.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+            if rounds % 64 == 0:
+                levels = cut(levels)  # so that the plan of many levels stays short
+        else:
             raise ValueError("the edges have a cycle")
-        done = done.union(free.withColumn("level", F.lit(level)))
-        todo = cut(todo.join(free, "id", "left_anti"))
-        left = cut(left.join(free.toDF("src"), "src", "left_anti"))
-        level += 1
-        if level % 64 == 0:
-            done = cut(done)  # so that the plan of many levels stays short
-    return done
+    for up in reversed(hops):
+        below = up.join(levels.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("level") + F.col("far")).alias("level"))
+        levels = cut(levels.union(below))
+    return levels
+
+
+def _anchors(up: DataFrame, n: int) -> DataFrame:
+    """``up`` (id, anchor, far) with every anchor replaced by the first one above it that is no id of ``up``, and its distance."""
+    span = 1
+    while True:
+        next_ = up.toDF("anchor", "above", "more")
+        after = up.join(next_, "anchor", "left").select("id", F.coalesce("above", "anchor").alias("anchor"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("above").isNotNull().alias("open"))
+        after = cut(after)
+        up = after.drop("open")
+        if not after.where("open").take(1):
+            return up
+        if span > n:  # a way of more nodes than there are
+            raise ValueError("the edges have a cycle")
+        span *= 2
