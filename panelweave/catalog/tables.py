@@ -222,6 +222,27 @@ def _profile(spark, sf, group):
 
 query("A-01_A-03_profile", _profile_sql("all"))(lambda spark, sf: _profile(spark, sf, "all"))
 query("A-02_A-03_profile_by_group", _profile_sql("l_returnflag"))(lambda spark, sf: _profile(spark, sf, "l_returnflag"))
+_SET_FIELDS = {"l_quantity": "numeric", "l_discount": "numeric", "l_linestatus": "string", "l_shipdate": "temporal"}
+
+
+def _set_sql(g: str, c: str) -> str:
+    number = f"MIN({c}) AS lo, MAX({c}) AS hi, AVG({c}) AS mean" if _SET_FIELDS[c] == "numeric" else "NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS mean"
+    when = f"STRFTIME(MIN({c}), '%Y-%m-%d') AS min_date, STRFTIME(MAX({c}), '%Y-%m-%d') AS max_date" if _SET_FIELDS[c] == "temporal" else "NULL::VARCHAR AS min_date, NULL::VARCHAR AS max_date"
+    value = "'all'" if g == "all" else f"CAST({g} AS VARCHAR)"
+    return f"SELECT '{g}' AS grouping_by, {value} AS grp, '{c}' AS field, COUNT(*) AS cnt, COUNT(*) - COUNT({c}) AS null_count, {number}, {when} FROM lineitem GROUP BY 1, 2"
+
+
+_SETS = ("all", "l_returnflag", "l_linenumber", "l_linestatus", "l_suppkey")
+
+
+@query("A-04_profile_sets_one_scan", rounded_sql(" UNION ALL ".join(_set_sql(g, c) for g in _SETS for c in _SET_FIELDS if c != g), "lo hi mean", "grouping_by grp field cnt null_count min_date max_date", 6))
+def profile_sets(spark, sf):
+    columns = list(dict.fromkeys([*_SET_FIELDS, *_SETS[1:]]))
+    out = pf.profile_sets(table(spark, sf, "lineitem").select(*columns), _SETS, list(_SET_FIELDS), accuracy=1000)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return rounded(out.select(F.col("grouping").alias("grouping_by"), F.col("group").alias("grp"), "field", F.col("count").alias("cnt"), "null_count", F.col("min").alias("lo"), F.col("max").alias("hi"), "mean", day("min_date"), day("max_date")), 6)
+
+
 
 
 @query("A-04_profile_many", "SELECT 'all' AS grouping_by, 'l_quantity' AS field, COUNT(*) AS cnt, COUNT(DISTINCT l_quantity) AS nunique FROM lineitem UNION ALL SELECT l_returnflag, 'l_quantity', COUNT(*), COUNT(DISTINCT l_quantity) FROM lineitem GROUP BY l_returnflag")

@@ -92,23 +92,59 @@ def _complete(agg: DataFrame, field: str, dtype: str) -> DataFrame:
 
 
 def _approximate(df: DataFrame, g: Column, kinds: Mapping[str, str], types: Mapping[str, str]) -> DataFrame:
+    aggs = _described(kinds, types)
+    wide = df.groupBy(g.alias("group")).agg(*aggs)
+    return wide.select("group", F.explode(F.array(*(f"__{i}" for i in range(len(aggs))))).alias("s")).select("group", "s.*")
+
+
+def _described(kinds: Mapping[str, str], types: Mapping[str, str], accuracy: int = 10_000) -> list[Column]:
+    """For each column one struct of the profile's values, from aggregates of bounded size."""
     aggs = []
     for c, kind in kinds.items():
         x = F.col(c)
         null = F.lit(None).cast("double")
         number = kind == "numeric"
-        q = F.percentile_approx(x.cast("double"), [0.25, 0.5, 0.75]) if number else F.array(null, null, null)
+        q = F.percentile_approx(x.cast("double"), [0.25, 0.5, 0.75], accuracy) if number else F.array(null, null, null)
         when = (F.min(x).cast("timestamp"), F.max(x).cast("timestamp")) if kind == "temporal" else (F.lit(None).cast("timestamp"),) * 2
         values = [F.lit(c), F.lit(types[c]), F.count(F.lit(1)), F.count_if(x.isNull()), F.approx_count_distinct(x) + F.max(x.isNull().cast("int")), F.min(x.cast("double")) if number else null, q[0], q[1], q[2], F.max(x.cast("double")) if number else null, F.avg(x) if number else null, *when]
         aggs.append(F.struct(*(v.alias(n) for v, n in zip(values, COLUMNS[1:], strict=True))).alias(f"__{len(aggs)}"))
-    wide = df.groupBy(g.alias("group")).agg(*aggs)
-    return wide.select("group", F.explode(F.array(*(f"__{i}" for i in range(len(aggs))))).alias("s")).select("group", "s.*")
+    return aggs
 
 
-def profile_many(df: DataFrame, groupings: Sequence[str], fields: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """A profile for each grouping, "all" or a column; unknown names are an error."""
+def profile_sets(df: DataFrame, groupings: Sequence[str], fields: Sequence[str] | None = None, accuracy: int = 10_000) -> DataFrame:
+    """The profiles of all groupings, "all" or a column, from one scan: ``grouping`` and COLUMNS, a row for each group and column.
+
+    Counts, nulls, ranges and means are exact. Quantiles are existing values whose rank is off by at most 1/``accuracy`` of
+    the group's rows, distinct values come from a sketch (5 % relative standard deviation). Each task adds up its groups by
+    grouping sets before the one shuffle. A null group is "null"; a grouping does not describe its own column. Columns
+    that are neither numbers, strings nor times are left out; with nothing to describe there is no row.
+    """
+    _known(df, groupings)
+    by = list(dict.fromkeys(g for g in groupings if g != "all"))
+    kinds = {c: k for c, t in df.dtypes if (k := _kind(t)) and (fields is None or c in fields)}
+    # the groups are columns of their own, so that the columns described keep their values in every set
+    rows = df.select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(f"__by_{c}") for c in by))
+    which, value = F.lit("all"), F.lit("all")
+    for c in by:
+        here = F.grouping(f"__by_{c}") == 0
+        which, value = F.when(here, c).otherwise(which), F.when(here, F.col(f"__by_{c}")).otherwise(value)
+    aggs = _described(kinds, dict(df.dtypes), accuracy) or [F.struct(F.lit("").alias("field"), *(F.lit(None).alias(n) for n in COLUMNS[2:])).alias("__0")]
+    whole = [[]] if "all" in groupings else []
+    sets = rows.groupingSets([*whole, *([F.col(f"__by_{c}")] for c in by)], *(F.col(f"__by_{c}") for c in by))
+    wide = sets.agg(which.alias("grouping"), value.alias("group"), *aggs)
+    long = wide.select("grouping", "group", F.explode(F.array(*(f"__{i}" for i in range(len(aggs))))).alias("s")).select("grouping", "group", "s.*")
+    # the set of the whole table has a row even where the table has none
+    return long.where("grouping <> field and count > 0") if kinds else long.limit(0)
+
+
+def _known(df: DataFrame, groupings: Sequence[str]) -> None:
     if unknown := [g for g in groupings if g != "all" and g not in df.columns]:
         raise ValueError(f"no such column: {', '.join(unknown)}")
+
+
+def profile_many(df: DataFrame, groupings: Sequence[str], fields: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """A profile for each grouping, "all" or a column; unknown names are an error."""
+    _known(df, groupings)
     return {g: profile(df, None if g == "all" else g, fields) for g in groupings}
 
 
