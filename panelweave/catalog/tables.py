@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import FXE_SQL, FXS_SQL, event_panel, supplier_panel, table
@@ -13,6 +14,8 @@ from ..operators import panel as pn
 from ..operators import predicates as pr
 from ..operators import profile as pf
 from ..session import shared_folder
+from ..sources import bucketed as bk
+from ..sources import footers as ft
 from ..sources import parquet as pq
 from .registry import E, S, query, r, rounded, rounded_sql
 
@@ -84,6 +87,32 @@ query("S-11_auto_granularity", "SELECT COUNT(*) AS n_rows, CAST(MIN(l_shipdate)
 )
 query("S-12_partition_span", "SELECT YEAR(MAX(o_orderdate)) > YEAR(MIN(o_orderdate)) AS spans_years FROM orders")(lambda spark, sf: pq.auto_granularity(table(spark, sf, "orders"), "o_orderdate").select("spans_years"))
 
+_NEAREST = "SELECT *, CASE WHEN ABS(GREATEST(1, span // 365) - n_rows / {0}) <= ABS(GREATEST(1, span // 30) - n_rows / {0}) AND ABS(GREATEST(1, span // 365) - n_rows / {0}) <= ABS(GREATEST(1, span) - n_rows / {0}) THEN 'year' WHEN ABS(GREATEST(1, span // 30) - n_rows / {0}) <= ABS(GREATEST(1, span) - n_rows / {0}) THEN 'month' ELSE 'day' END AS granularity"
+query("S-11_partition_plan", " UNION ALL ".join(
+    f"SELECT n_rows, min_date, max_date, '{d}' AS partition_by, granularity FROM ({_NEAREST.format(per)} FROM (SELECT COUNT(*) AS n_rows, CAST(MIN({d}) AS DATE) AS min_date, CAST(MAX({d}) AS DATE) AS max_date, DATE_DIFF('day', CAST(MIN({d}) AS DATE), CAST(MAX({d}) AS DATE)) AS span FROM {t}))"
+    for t, d, per in (("lineitem", "l_shipdate", 10), ("orders", "o_orderdate", 300), ("lineitem", "l_shipdate", 100_000_000))
+))(lambda spark, sf: pq.partition_plan(table(spark, sf, "lineitem"), ["l_orderkey", "l_shipdate"], flat_below=1000, per_bucket=10)
+   .union(pq.partition_plan(table(spark, sf, "orders"), ["o_orderdate"], flat_below=1000, per_bucket=300))
+   .union(pq.partition_plan(table(spark, sf, "lineitem"), ["l_shipdate"], flat_below=1000, per_bucket=100_000_000)))
+
+
+@query("S-11_partition_plan_mirrored", "SELECT COUNT(*) AS n_rows, CAST(DATE_TRUNC('month', MIN(l_shipdate)) AS DATE) AS min_date, CAST(DATE_TRUNC('month', MAX(l_shipdate)) AS DATE) AS max_date, 'month' AS partition_by, 'identity' AS granularity FROM lineitem")
+def mirrored_plan(spark, sf):
+    """Items are stored as the index of orders is: by its column month."""
+    index = scratch(spark)
+    month = lambda t, c: table(spark, sf, t).withColumn("month", F.trunc(c, "MM"))
+    month("orders", "o_orderdate").select("o_orderkey", "month").repartition("month").write.partitionBy("month").parquet(index)
+    return pq.partition_plan(month("lineitem", "l_shipdate"), ["l_shipdate"], like=index)
+
+
+query("S-03_stored_row_count", "SELECT COUNT(*) AS n_rows FROM lineitem")(lambda spark, sf: ft.stored_row_count(spark, f"{sf}/lineitem.parquet"))
+query("S-08_column_bounds", " UNION ALL ".join(
+    f"SELECT '{c}' AS field, COUNT(*) AS n_rows, {'' if t else 'CAST('}MIN({c}){'' if t else ' AS VARCHAR)'} AS lo, {'' if t else 'CAST('}MAX({c}){'' if t else ' AS VARCHAR)'} AS hi, COUNT(*) - COUNT({c}) AS null_count FROM lineitem" for c, t in (("l_orderkey", 0), ("l_linenumber", 0), ("l_quantity", 0), ("l_returnflag", 1))
+))(lambda spark, sf: ft.column_bounds(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]))
+query("S-08_column_bounds_by_bucket", f"{S} SELECT CAST(YEAR(date) AS VARCHAR) AS part, 'date' AS field, COUNT(*) AS n_rows, CAST(MIN(date) AS VARCHAR) AS lo, CAST(MAX(date) AS VARCHAR) AS hi, 0 AS null_count FROM s GROUP BY 1 UNION ALL SELECT CAST(YEAR(date) AS VARCHAR), 'x', COUNT(*), CAST(MIN(x) AS VARCHAR), CAST(MAX(x) AS VARCHAR), 0 FROM s GROUP BY 1")(
+    lambda spark, sf: ft.column_bounds(spark, _bucketed(spark, sf), ["date", "x"], by=["part"]).withColumn("part", F.col("part").cast("string"))
+)
+
 # ---- predicates and projections
 
 LI = ["l_orderkey", "l_linenumber", "l_quantity"]
@@ -129,6 +158,18 @@ def member(spark, sf):
 
 
 query("J-01_left_panel", rounded_sql(f"{S}, m AS ({M1})\nFINALLY SELECT s.*, m.name FROM s LEFT JOIN m USING (sym)", "r fv x", "sym date ic name"))(lambda spark, sf: rounded(pn.left_panel(supplier_panel(spark, sf), [member(spark, sf)])))
+
+
+@query("J-01_bucketed_panel", rounded_sql(f"{S}, m AS ({M1})\nFINALLY SELECT s.*, m.name, LAG(r) OVER (PARTITION BY sym ORDER BY date) AS before, AVG(x) OVER (PARTITION BY sym ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean10 FROM s LEFT JOIN m USING (sym)", "r fv x before mean10", "sym date ic name"))
+def bucketed_panel(spark, sf):
+    """A panel and windows by symbol on stored buckets: no exchange."""
+    names = [f"panel_{uuid.uuid4().hex}" for _ in range(2)]
+    for name, df in zip(names, (supplier_panel(spark, sf), member(spark, sf)), strict=True):
+        bk.write_bucketed(df, name, 16, path=scratch(spark))
+    by = Window.partitionBy("sym").orderBy("date")
+    return rounded(bk.bucketed_panel(spark, names[0], names[1:]).withColumns({"before": F.lag("r").over(by), "mean10": F.avg("x").over(by.rowsBetween(-9, 0))}))
+
+
 ASOF_L = "SELECT CAST(o_custkey AS VARCHAR) AS sym, CAST(o_orderdate AS DATE) AS date, SUM(o_totalprice) AS total FROM orders GROUP BY 1, 2"
 ASOF_R = "SELECT CAST(o_custkey AS VARCHAR) AS sym, CAST(l_shipdate AS DATE) AS date, MAX(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
 
@@ -280,8 +321,6 @@ query("L-02_page_with_total", "SELECT o_orderkey, o_totalprice, (SELECT COUNT(*)
 
 @query("L-03_storage_order", f"{S} SELECT STRFTIME(date, '%Y') AS part, 0 AS out_of_order FROM s GROUP BY 1")
 def storage_order(spark, sf):
-    from pyspark.sql import Window
-
     rows = spark.read.parquet(_bucketed(spark, sf)).withColumn("at", F.monotonically_increasing_id())
     w = Window.partitionBy("part").orderBy("at")
     key = F.struct("date", "sym")

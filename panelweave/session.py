@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "panelweave", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -38,3 +38,22 @@ def shared_folder(spark: SparkSession) -> str:
     if not named and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def variant(spark: SparkSession, **conf: str) -> SparkSession:
+    """A session on the same cluster and catalog with some settings of its own; ``spark``'s other settings are taken over and it keeps them.
+
+    Plans of its DataFrames are made under its settings. Join them only with one another.
+    """
+    other = spark.newSession()
+    for key, value in ({k: v for k, v in spark.conf.getAll.items() if spark.conf.isModifiable(k)} | conf).items():
+        other.conf.set(key, value)
+    return other
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` stored in the checkpoint folder, so that plans stay short and survive lost executors."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)

@@ -134,6 +134,38 @@ def auto_granularity(df: DataFrame, date: str = "date", flat_below: int = 1_000_
     return s.select("n_rows", "min_date", "max_date", pick.alias("granularity"), (F.year("max_date") > F.year("min_date")).alias("spans_years"))
 
 
+def hive_keys(spark: SparkSession, root: str) -> DataFrame:
+    """position and name of the partition columns of a stored table, from the folders' names; no row for a flat one."""
+    folders = F.regexp_extract_all(F.regexp_replace("path", "[^/]*$", ""), F.lit("/([^/=]+)=[^/]*"), 1)
+    return manifest(spark, root).select(F.posexplode(folders).alias("position", "name")).distinct()
+
+
+def partition_plan(df: DataFrame, keys: Sequence[str], like: str | None = None, flat_below: int = 1_000_000, per_bucket: int = 500_000) -> DataFrame:
+    """One row: how to store ``df``, as partition_by (a column or null) and granularity, with n_rows, min_date and max_date.
+
+    ``identity`` where the table stored at ``like`` is partitioned by a date or timestamp that ``df`` has too: the new table takes the
+    same column, so that refreshes touch the same buckets. Else by the first date or timestamp of ``keys``: ``flat`` below ``flat_below`` rows,
+    beyond it that of year, month and day whose number of buckets is nearest to one for each ``per_bucket`` rows (a year counts 365 days, a
+    month 30; of equally near ones the coarser). Without such a key, or without a date in it, ``flat``.
+    """
+    temporal = {f.name for f in df.schema.fields if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz")}
+    mirrored = []
+    if like is not None:
+        found = hive_keys(df.sparkSession, like).where(F.col("name").isin(sorted(temporal))).orderBy("position").limit(1).collect()
+        mirrored = [k.name for k in found]
+    timed = mirrored or [k for k in keys if k in temporal]
+    day = F.col(timed[0]).cast("date") if timed else F.lit(None).cast("date")
+    s = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(day).alias("min_date"), F.max(day).alias("max_date"))
+    if mirrored:
+        pick = F.lit("identity")
+    else:
+        span, wanted = F.datediff("max_date", "min_date"), F.col("n_rows") / per_bucket
+        off = [F.struct(F.abs(F.greatest(F.floor(span / days), F.lit(1)) - wanted).alias("off"), F.lit(i).alias("at"), F.lit(name).alias("name")) for i, (name, days) in enumerate((("year", 365), ("month", 30), ("day", 1)))]
+        pick = F.when((F.col("n_rows") < flat_below) | span.isNull(), "flat").otherwise(F.least(*off)["name"])
+    by = F.when(F.col("granularity") != "flat", F.lit(timed[0] if timed else None).cast("string"))
+    return s.withColumn("granularity", pick).select("n_rows", "min_date", "max_date", by.alias("partition_by"), "granularity")
+
+
 def storage_profile(files: DataFrame, key: str | None = None) -> DataFrame:
     """Bytes and files of a manifest, in total or for each value of a partition key."""
     if key is None:
