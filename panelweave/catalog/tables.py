@@ -483,6 +483,20 @@ def stream_versions(spark, sf):
     return rounded(pq.scan(spark, root))
 
 
+@query("I-09_stream_newest", rounded_sql(f"{S}, m AS (SELECT MAX(date) - 365 AS late FROM s)\nFINALLY SELECT sym, date, r, ic, fv + CASE WHEN date > late THEN 0 ELSE 1 END AS fv, x, CASE WHEN date > late THEN 3 ELSE 2 END AS v FROM s, m", "r fv x", "sym date ic v"))
+def stream_state(spark, sf):
+    """Versions of all rows come in three batches; those of the third are late but for the last 365 days."""
+    from ..streaming.refresh import stream_newest as start
+
+    source, root = scratch(spark), scratch(spark)
+    df = supplier_panel(spark, sf)
+    changed = lambda v: df.withColumns({"fv": F.col("fv") + 3 - v, "v": F.lit(v)})
+    for rows in (changed(1).union(changed(2)).union(changed(2)), changed(0), changed(3)):
+        rows.coalesce(1).write.mode("append").parquet(source)
+    start(spark, source, changed(0).schema, root, scratch(spark), "v", delay="365 days", files_per_batch=1).awaitTermination()
+    return rounded(pq.scan(spark, root))
+
+
 @query("I-09_stream_refresh", rounded_sql(f"{S}\nFINALLY SELECT * FROM s", "r fv x", "sym date ic"))
 def stream_refresh(spark, sf):
     from ..streaming.refresh import stream_refresh as start

@@ -107,6 +107,11 @@ def ols_two(spark, sf):
 column("T-14_ts_weighted_beta", lambda: ts.ts_weighted_beta("r", "x", 10, 5), "b", source="""(WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sym ORDER BY date) AS k FROM s),
   g AS (SELECT a.sym, a.date, COUNT(*) AS m, SUM(w) AS sw, SUM(w * b.x) AS sx, SUM(w * b.r) AS sy, SUM(w * b.x * b.x) AS sxx, SUM(w * b.x * b.r) AS sxy FROM n a JOIN (SELECT *, 1 AS one FROM n) b ON a.sym = b.sym AND b.k BETWEEN a.k - 9 AND a.k, LATERAL (SELECT POW(2, (b.k - a.k) / 5.0) AS w) GROUP BY 1, 2)
   SELECT sym, date, CASE WHEN m = 10 THEN (sw * sxy - sx * sy) / NULLIF(sw * sxx - sx * sx, 0) END AS b FROM g)""")
+query("T-14_weighted_beta_blocks", f"""{S}, n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sym ORDER BY date) AS k FROM s),
+  g AS (SELECT a.sym, a.date, COUNT(*) AS m, SUM(w) AS sw, SUM(w * b.x) AS sx, SUM(w * b.r) AS sy, SUM(w * b.x * b.x) AS sxx, SUM(w * b.x * b.r) AS sxy FROM n a JOIN n b ON a.sym = b.sym AND b.k BETWEEN a.k - 59 AND a.k, LATERAL (SELECT POW(2, (b.k - a.k) / 20.0) AS w) GROUP BY 1, 2)
+  SELECT sym, date, {r('CASE WHEN m = 60 THEN (sw * sxy - sx * sy) / NULLIF(sw * sxx - sx * sx, 0) END', 7)} + 0.0 AS v FROM g""")(
+    lambda spark, sf: rounded(ts.with_weighted_beta(supplier_panel(spark, sf), "v", "r", "x", 60, 20).select("sym", "date", "v"), 7)
+)
 column("T-15_ffill", lambda: ts.ffill(F.when(F.col("x") > 30, F.col("x"))), "LAST_VALUE(CASE WHEN x > 30 THEN x END IGNORE NULLS) OVER (PARTITION BY sym ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 column("T-16_rolling_min_samples", lambda: ts.ts_avg("x", 10, least=3), "CASE WHEN COUNT(x) OVER w >= 3 THEN AVG(x) OVER w END", W)
 column("T-17_cumulative_compound", lambda: ts.cumulative_compound(F.col("r") / 100), "EXP(SUM(LN(1 + r / 100)) OVER (PARTITION BY sym ORDER BY date)) - 1", digits=7)

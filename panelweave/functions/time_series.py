@@ -241,6 +241,39 @@ def ts_weighted_beta(y: Column | str, x: Column | str, d: int, half_life: float,
     return F.when(F.size(whole) == d, slope)
 
 
+def with_weighted_beta(df: DataFrame, name: str, y: Column | str, x: Column | str, d: int, half_life: float, sym: str = SYM, date: str = DATE) -> DataFrame:
+    """``df`` with ts_weighted_beta() in column ``name``, by blocks of ``d`` rows, so that a row costs the same for any ``d``.
+
+    A window of d rows is the end of one block and the start of the next: decayed sums run from each block's start forward and from its
+    end back, and a row adds its own to that of the row where its window begins. All windows go by symbol, so there is one
+    shuffle. Rows older than 64 half-lives have no weight that a double shows, so blocks are no longer than that; all d rows must be whole nonetheless, and a NaN or infinite value among them gives NaN.
+    """
+    y, x = _col(y).cast("double"), _col(x).cast("double")
+    whole = x.isNotNull() & y.isNotNull()
+    span = max(1, min(d, math.ceil(64 * half_life)))
+    growth = math.log(2) / half_life
+    place = F.col("__at") % span
+    of = ("__w", "__wx", "__wy", "__wxx", "__wxy")
+    values = [F.when(whole, v).otherwise(0.0) for v in (F.lit(1.0), x, y, x * x, x * y)]
+    out = df.withColumn("__at", F.row_number().over(series(sym, date)) - 1).withColumn("__block", F.floor(F.col("__at") / span))
+    out = out.withColumns(dict(zip(of, (v * F.exp(place * growth) for v in values), strict=True)))
+    inside = Window.partitionBy(sym, "__block")
+    forward, back = (inside.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("__at"), F.desc("__at")))
+    out = out.withColumns({f"{n}{k}": F.sum(n).over(w) for n in of for k, w in (("f", forward), ("b", back))})
+    by = series(sym, date)
+    # the block before ends ``span`` rows before this one does: its factors are smaller by 2 ** (span / half_life)
+    far = math.exp(-span * growth)
+    here = F.when(place == span - 1, 0.0).otherwise(far)
+    begun = {n: F.col(f"{n}f") + here * F.coalesce(F.lag(f"{n}b", span - 1).over(by), F.lit(0.0)) for n in of} if span > 1 else {n: F.col(f"{n}f") for n in of}
+    counts = {"__whole": whole, "__odd": whole & F.isnan(x - x + y - y)}
+    out = out.withColumns(begun | {n: F.sum(c.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) for n, c in counts.items()})
+    out = out.withColumns({n: F.col(n) - F.coalesce(F.lag(n, d).over(by), F.lit(0)) for n in counts})
+    # every sum of this block is larger by 2 ** (place / half_life) than the row's own weights: they cancel in the slope but for size
+    w, wx, wy, wxx, wxy = (F.col(n) * F.exp(-place * growth) for n in of)
+    slope = F.when(F.col("__odd") > 0, F.lit(float("nan"))).otherwise(F.try_divide(w * wxy - wx * wy, w * wxx - wx * wx))
+    return out.withColumn(name, F.when(F.col("__whole") == d, slope)).select(*(c for c in df.columns if c != name), name)
+
+
 def ffill(x: Column | str, w: WindowSpec | None = None) -> Column:
     return F.last(_col(x), ignorenulls=True).over((w or series()).rowsBetween(Window.unboundedPreceding, 0))
 
