@@ -269,6 +269,51 @@ def test_held_out_accuracy(spark, name, column, least):
     assert np.mean([r.predicted == r[column] for r in rows]) >= least
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """The 20,000 labelled rows with the least hashes are good ones, so a sample of that size knows no bad ones."""
+    ids = spark.range(27_000).select(F.col("id").alias("doc_id"))
+    first = ids.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id")).limit(20_000).select("doc_id", F.lit(1).alias("quality"))
+    labels = ids.join(first, "doc_id", "left").fillna(0, ["quality"])
+    docs = labels.select("doc_id", F.when(F.col("quality") == 1, "The quiet river runs past the old mill.").otherwise("WIN WIN $$$ now!!! 777").alias("text"))
+    got = quality.score_quality(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.min("score").alias("low"), F.max("score").alias("high")).collect()
+    scores = {r.quality: r for r in got}
+    assert scores[0].high < quality.CUT_SCORE <= scores[1].low
+
+
+def test_quality_equals_brute_force_over_all_pairs(spark):
+    rng, n, width = np.random.default_rng(3), 240, quality.BINS + 1
+    x = np.round(rng.gamma(2, 1, (n, quality.N_FEATURES)), 1).astype(np.float32)  # many ties
+    x[:, 5] = 0
+    y = x[:, 0] - x[:, 1] + rng.normal(0, 2, n) > 0
+    good, bad = np.where(y, rng.integers(1, 3, n), 0), np.where(y, rng.integers(0, 2, n), 1)
+    rows = spark.createDataFrame([(r, int(g), int(b)) for r, g, b in zip(x.tolist(), good, bad, strict=True)], "x array<float>, good long, bad long")
+    model, other = quality.fit(rows.repartition(7).cache()), quality.fit(rows.coalesce(1))
+    assert np.array_equal(model.weights, other.weights) and (model.cut, model.slope) == (other.cut, other.slope)
+    want = np.quantile(np.repeat(x, good + bad, axis=0), quality.QUANTILES, axis=0, method="higher")
+    assert np.array_equal(np.stack(model.edges, axis=1), want)
+    one_hot = np.zeros((n, quality.N_FEATURES * width))
+    np.put_along_axis(one_hot, model.bins(x), 1.0, axis=1)
+    d = (np.repeat(one_hot, good, axis=0)[:, None] - np.repeat(one_hot, bad, axis=0)[None]).reshape(-1, one_hot.shape[1])
+    p = 1 / (1 + np.exp(d @ model.weights))
+    grad = -(p @ d) / len(d) + quality.RIDGE * model.weights
+    curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + quality.RIDGE * np.eye(d.shape[1])
+    assert 0 <= grad @ np.linalg.solve(curve, grad) / 2 < 1e-6  # what the loss over all pairs is above its least
+    raw = model.raw(x)
+    errors = lambda c: good[raw < c].sum() + bad[raw >= c].sum()
+    assert errors(model.cut) == min(map(errors, [*raw, np.inf]))
+    two = np.array([[1.0] * quality.N_FEATURES, [2.0] * quality.N_FEATURES], np.float32)
+    low, high = quality.fit(spark.createDataFrame([(two[0].tolist(), 0, 1), (two[1].tolist(), 1, 0)], "x array<float>, good long, bad long")).score(two)
+    assert low < quality.CUT_SCORE <= high
+
+
+def test_quality_counts_every_label_and_every_row_of_an_id(spark):
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:2]
+    out = next(i for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 0)
+    measured = spark.createDataFrame([(a, [1.0]), (a, [2.0]), (b, [3.0]), (out, [4.0]), (None, [5.0])], "doc_id long, x array<float>")
+    labels = spark.createDataFrame([(a, 1), (a, 0), (a, 1), (b, None), (b, 0), (b, 7), (out, 1), (None, 1)], "doc_id long, quality int")
+    assert sorted((*r.x, r.good, r.bad) for r in quality.labelled(measured, labels).collect()) == [(1.0, 2, 1), (2.0, 2, 1), (3.0, 0, 1)]
+
+
 def test_grammar_weighs_clauses():
     m = toxicity.Matcher()
     score = lambda t: sum(s for _, _, s in m.clauses(t))
