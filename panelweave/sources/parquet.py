@@ -40,26 +40,28 @@ def with_part(df: DataFrame, granularity: str = "year", date: str = "date") -> D
     return df.withColumn(PART, F.date_format(date, FORMATS[granularity]))
 
 
-def rebalanced(df: DataFrame, sym: str = "sym", date: str = "date") -> DataFrame:
+def rebalanced(df: DataFrame, sym: str = "sym", date: str = "date", whole: bool = False) -> DataFrame:
     """``df`` (with its bucket) gathered by bucket and sorted by date and symbol, for a partitioned write.
 
     The rows are shuffled once. Adaptive execution then splits a bucket that is larger than the session's
     advisory partition size over several tasks and files, and lets small ones share a task: by the measured
-    sizes, so nothing is counted beforehand and the input runs once.
+    sizes, so nothing is counted beforehand and the input runs once. With ``whole`` a bucket is one task, whose sort spills.
     """
-    return df.hint("rebalance", F.col(PART)).sortWithinPartitions(PART, date, sym)
+    gathered = df.repartition(F.col(PART)) if whole else df.hint("rebalance", F.col(PART))
+    return gathered.sortWithinPartitions(PART, date, sym)
 
 
-def write_all(df: DataFrame, out: str, granularity: str | None = "year", date: str = "date", sym: str = "sym") -> None:
+def write_all(df: DataFrame, out: str, granularity: str | None = "year", date: str = "date", sym: str = "sym", whole: bool = False) -> None:
     """Replace a table, in buckets by date (or flat for None), rows sorted by date and symbol within files.
 
-    A large bucket becomes several files, see rebalanced(). Old buckets go; an empty table keeps its schema.
+    A large bucket becomes several files, see rebalanced(). With ``whole`` it is one file of any size, so the whole bucket is in order
+    and a manifest has one line for each bucket; it is then written by one task. Old buckets go; an empty table keeps its schema.
     """
     if granularity is None:
         df.sortWithinPartitions(date, sym).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(out)
         return
-    parted = rebalanced(with_part(df, granularity, date), sym, date)
-    parted.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(out)
+    parted = rebalanced(with_part(df, granularity, date), sym, date, whole).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (parted.option("maxRecordsPerFile", 0) if whole else parted).partitionBy(PART).parquet(out)
 
 
 def write_file(df: DataFrame, path: str) -> None:
