@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Shelf, cut
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
@@ -72,23 +72,65 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and component (its least id), by least-neighbour labels with a shortcut to the label's label in each round.
+def components(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """id and component (its least id); without ``nodes`` of all ends of edges, else of these alone. Edges may repeat.
 
-    Labels only fall, so the rounds end, however long the chains are.
+    Each node's edges to its least and its greatest neighbour, two a node at most, are merged first. The edges then take the ids of what
+    their ends were merged to, and those within one are gone, mostly all. What is left goes through the same again.
+    Of a round only its edges and the map of merged ids stay on disk.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("a", "b").where("a <> b").distinct()
-    both = cut(both)
-    labels = nodes.select("id").distinct().withColumn("component", F.col("id"))
+    shelf = Shelf(edges.sparkSession)
+    links, everyone = edges.select("src", "dst").toDF("a", "b"), None
+    if nodes is not None:
+        everyone = shelf.put("everyone", nodes.select("id").distinct())
+        links = links.join(everyone.toDF("a"), "a", "left_semi").join(everyone.toDF("b"), "b", "left_semi").select("a", "b")
+    links, whole = shelf.put("links", links), None
     while True:
-        near = both.join(labels.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("c"))
-        next_ = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("was"), F.least("component", "c").alias("m"))
-        jump = next_.select(F.col("id").alias("m"), F.col("m").alias("mm"))
-        after = cut(next_.join(jump, "m", "left").select("id", "was", F.least("m", "mm").alias("component")))
-        moved = after.where("was <> component").take(1)
-        labels = after.select("id", "component")
-        if not moved:
-            return labels
+        ends = _both(links).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+        ends = shelf.put("ends" if whole is not None or nodes is not None else "everyone", ends)
+        if everyone is None:
+            everyone = ends.select("id")
+        some = ends.select("id", "lo").union(ends.select("id", "hi")).toDF("a", "b").where("a <> b").distinct()
+        merged = _merged(shelf, some)
+        whole = shelf.put("whole", merged if whole is None else _onwards(whole, merged))
+        links = shelf.put("links", _between(links, merged))
+        if not links.take(1):
+            shelf.drop("links", "ends", "some", "up", "merged")
+            return everyone.join(whole, "id", "left").select("id", F.coalesce("anchor", "id").alias("component"))
+
+
+def _both(links: DataFrame) -> DataFrame:
+    return links.union(links.select("b", "a"))
+
+
+def _between(links: DataFrame, merged: DataFrame) -> DataFrame:
+    """The edges between what the ids of ``merged`` (id, anchor) were merged to."""
+    for end, other in (("a", "b"), ("b", "a")):
+        links = links.join(merged.toDF(end, "to"), end, "left").select(F.coalesce("to", end).alias(end), other)
+    return links.select("a", "b").where("a <> b").distinct()
+
+
+def _onwards(first: DataFrame, then: DataFrame) -> DataFrame:
+    """One map for two (id, anchor), of which the second has no id of the first."""
+    return first.join(then.toDF("anchor", "to"), "anchor", "left").select("id", F.coalesce("to", "anchor").alias("anchor")).union(then)
+
+
+def _merged(shelf: Shelf, links: DataFrame) -> DataFrame:
+    """id and anchor, the least id of its component, of all ids that are not the least of theirs.
+
+    In a round each id goes to its least neighbour if that is less, and from there, by pointer doubling, to the first that stays. An id that stays
+    has taken up another one or has a lesser neighbour in the next round: at most half of them are left after two rounds.
+    """
+    links, whole = shelf.put("some", links), None
+    while True:
+        up = _both(links).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("anchor")).where("anchor < id")
+        up = shelf.put("up", up)
+        while up.join(up.select(F.col("id").alias("anchor")), "anchor", "left_semi").take(1):
+            up = shelf.put("up", up.join(up.toDF("anchor", "above"), "anchor", "left").select("id", F.coalesce("above", "anchor").alias("anchor")))
+        whole = shelf.put("merged", up if whole is None else _onwards(whole, up))
+        links = shelf.put("some", _between(links, up))
+        if not links.take(1):
+            return whole
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
