@@ -10,7 +10,7 @@ from panelweave.catalog import tables
 from panelweave.session import shared_folder
 
 
-@pytest.mark.parametrize("name", ["I-09_stream_refresh_versions"])
+@pytest.mark.parametrize("name", ["I-09_stream_newest", "I-09_stream_refresh_versions"])
 def test_versions_come_in_files_that_tasks_share(name, spark, sf_dir, same, monkeypatch):
     monkeypatch.setattr(tables, "_stored_panel", functools.partial(tables._stored_panel, rows_per_file=2000))
     folder = Path(shared_folder(spark).removeprefix("file:"))
