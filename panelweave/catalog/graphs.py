@@ -44,7 +44,7 @@ def trade_ranks(spark, sf):
     nation, customer = table(spark, sf, "nation"), table(spark, sf, "customer")
     edge = lambda df, a, ka, b, kb: df.select(F.concat(F.lit(a), ka).alias("src"), F.concat(F.lit(b), kb).alias("dst"))
     edges = purchases(spark, sf).union(edge(customer, "n", "c_nationkey", "c", "c_custkey")).union(edge(nation, "r", "n_regionkey", "n", "n_nationkey"))
-    return rounded(gr.pagerank_push(nodes(edges), edges, tolerance=1e-13, hub=4), 10)
+    return rounded(gr.pagerank_push(None, edges, tolerance=1e-13, hub=4), 10)
 
 
 query("G-02_degree", f"""WITH e AS ({EDGES}), d AS (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e)

@@ -26,39 +26,49 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return scores
 
 
-def pagerank_push(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, hub: int = 100_000) -> DataFrame:
+def pagerank_push(nodes: DataFrame | None, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, hub: int = 100_000) -> DataFrame:
     """id and score, off the fixed point of pagerank() by ``tolerance`` at most, added up over all nodes.
 
     Each node holds a residual that its score lacks yet. In a round only nodes whose residual is over a quarter of the mean one push it:
     their scores take it, their neighbours get the damped shares of it. These nodes hold at least three quarters of what is
     left, so a round takes a fixed share off it, and nodes that have settled do not travel. Edges of a node with more than ``hub``
     of them lie in parts, by their targets; sums at a target are combined before the shuffle. Nodes without out-edges lose their
-    mass, edges to unknown or null nodes do not count, repeated edges count as often as they occur. Without nodes there is no row.
+    mass, edges to unknown or null nodes do not count, repeated edges count as often as they occur. Without ``nodes`` they are all ends of
+    edges. Without any there is no row. Disk holds the edges, what the nodes have pushed, and one round.
     """
-    ids = cut(nodes.select("id").where("id is not null").distinct())
+    shelf = Shelf(edges.sparkSession)
+    pairs = edges.select("src", "dst")
+    if nodes is None:
+        known = shelf.put("known", pairs)
+        ids = shelf.put("ids", known.select("src").union(known.select("dst")).toDF("id").where("id is not null").distinct())
+        known = known.where("src is not null and dst is not null")
+    else:
+        ids = shelf.put("ids", nodes.select("id").where("id is not null").distinct())
+        known = pairs.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
     n = ids.count()
-    known = edges.select("src", "dst").join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
-    fans = cut(known.groupBy("src").agg(F.count(F.lit(1)).alias("fan")).withColumn("parts", F.ceil(F.col("fan") / hub).cast("int")))
+    fans = shelf.put("fans", known.groupBy("src").agg(F.count(F.lit(1)).alias("fan")).withColumn("parts", F.ceil(F.col("fan") / hub).cast("int")))
     wide = fans.where("parts > 1").select("src", "parts")
     parted = known.join(wide, "src", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int"))
-    links = cut(parted.groupBy("src", "part", "dst").agg(F.count(F.lit(1)).alias("times")))
-    residuals = ids.withColumn("residual", F.lit((1 - damping) / n if n else 0.0))
+    links = shelf.put("links", parted.groupBy("src", "part", "dst").agg(F.count(F.lit(1)).alias("times")))
+    shelf.drop("known")
+    residuals = shelf.put("residuals", ids.withColumn("residual", F.lit((1 - damping) / n if n else 0.0)))
     scores = ids.withColumn("score", F.lit(0.0))
     rounds = 0
     while n:
-        residuals = cut(residuals)
         left, holders = residuals.agg(F.sum("residual"), F.count(F.lit(1))).first()
         if left is None or left <= tolerance * (1 - damping):
             break
         rounds += 1
         hot = F.col("residual") > left / (4 * holders)
-        active = residuals.where(hot)
+        active = shelf.put(f"pushed{rounds}", residuals.where(hot))
         shares = active.join(fans.withColumnRenamed("src", "id"), "id").select(F.col("id").alias("src"), (damping * F.col("residual") / F.col("fan")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         gained = links.join(shares, ["src", "part"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("times")).alias("residual"))
         scores = scores.union(active.toDF("id", "score"))
-        residuals = residuals.where(~hot).union(gained).groupBy("id").agg(F.sum("residual").alias("residual"))
+        residuals = shelf.put("residuals", residuals.where(~hot).union(gained).groupBy("id").agg(F.sum("residual").alias("residual")))
         if rounds % 16 == 0:
-            scores = cut(scores.groupBy("id").agg(F.sum("score").alias("score")))
+            scores = shelf.put("scores", scores.groupBy("id").agg(F.sum("score").alias("score")))
+            shelf.drop(*(f"pushed{i}" for i in range(rounds - 15, rounds + 1)))
+    shelf.drop("links", "fans")
     return scores.union(residuals.toDF("id", "score")).groupBy("id").agg(F.sum("score").alias("score"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,12 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
 class Shelf:
     """Named tables of an iteration, as compressed Parquet below the shared folder; a new one of a name takes the place of the old.
 
-    The old one's files are deleted once the new ones are written, and the driver's heap is swept, upon which Spark deletes the shuffles of
-    plans that nothing refers to any more. So disk holds one round, not all. Plans made from an old table of a name are void.
+    The old one's files are deleted once the new ones are written, and the driver's heap is swept every few seconds, upon which Spark deletes the
+    shuffles of plans that nothing refers to any more. So disk holds a round or two, not all. Plans made from an old table of a name are void.
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.swept = spark, {}, 0.0
         self.folder = f"{shared_folder(spark).rstrip('/')}/shelf-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
@@ -83,4 +84,6 @@ class Shelf:
             if path:
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.spark._jvm.System.gc()
+        if time.monotonic() - self.swept > 5:  # small rounds leave little and are not to pay for it
+            self.spark._jvm.System.gc()
+            self.swept = time.monotonic()
